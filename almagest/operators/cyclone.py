@@ -76,7 +76,9 @@ def _polygon(rings: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in g.items()])
 
 
-def apply_geometry(alerts: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
+def apply_geometry(
+    alerts: DataFrame, cache: DataFrame, now: Column, ttl_ms: int = TRACK_TTL_MS
+) -> DataFrame:
     """Alert records with tracks in place of points, plus derived cone records.
 
     Records without fresh geometry keep their point. The cone repeats the record's
@@ -87,7 +89,7 @@ def apply_geometry(alerts: DataFrame, cache: DataFrame, now: Column) -> DataFram
     keyed = alerts.withColumns(
         {"event_id": F.when(is_active, event), "episode_id": F.when(is_active, episode)}
     )
-    matched = match_geometry(keyed, cache, now).withColumns(
+    matched = match_geometry(keyed, cache, now, ttl_ms).withColumns(
         {
             "lon": F.coalesce(F.get("centroid", F.lit(0)), F.col("lon")),
             "lat": F.coalesce(F.get("centroid", F.lit(1)), F.col("lat")),

@@ -470,7 +470,7 @@ def tc_cache_join(spark, sf):
 
 @query
 def tc_apply(spark, sf):
-    rows = cyclone.apply_geometry(_active_alerts(spark, sf), _geometry_cache(spark, sf), S.from_ms(X.T_MS))
+    rows = cyclone.apply_geometry(_active_alerts(spark, sf), _geometry_cache(spark, sf), S.from_ms(X.T_MS), 25 * X.HOUR_MS)
     return rows.select("id", F.col("geometry.type").alias("type"), F.col("alert.geometry_kind").alias("kind"), "lon", "lat", "status")
 
 
@@ -527,10 +527,11 @@ def file_stamps(spark, sf):
 
 @query
 def put_if_absent(spark, sf):
-    rows = X.table(spark, sf, "events").select(S.slot_of("ts", 3600).alias("file_sec"), "event_id")
+    key = F.concat_ws("/", (F.col("user_id") % 7).cast("string"), S.slot_of("ts").cast("string"))
+    rows = X.table(spark, sf, "events").select(key.alias("file_key"), "event_id")
     known = rows.where(eid() % 2 == 0)
-    new = rows.where(eid() % 2 == 1).groupBy("file_sec").agg(F.count(F.lit(1)).alias("n"))
-    return landed.absent_only(new, known, "file_sec")
+    new = rows.where(eid() % 2 == 1).groupBy("file_key").agg(F.count(F.lit(1)).alias("n"))
+    return landed.absent_only(new, known, "file_key")
 
 
 @query
