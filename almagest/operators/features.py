@@ -133,31 +133,42 @@ def densify(lines: DataFrame, keys: list[str], step_deg: float, line: str = "lin
             F.get("l.b", F.lit(0)).alias("lon_b"), F.get("l.b", F.lit(1)).alias("lat_b"),
         )
     )
+    # Everything that belongs to a leg is computed before the leg is split into steps.
     va = unit_vector(F.col("lon_a"), F.col("lat_a"))
     vb = unit_vector(F.col("lon_b"), F.col("lat_b"))
-    dot = clamp(va[0] * vb[0] + va[1] * vb[1] + va[2] * vb[2], -1, 1)
-    angle = F.acos(dot)
-    steps = F.greatest(F.lit(1), F.ceil(F.degrees(F.col("angle")) / step_deg).cast("int"))
-    stepped = cut.withColumn("angle", angle).withColumn("steps", steps)
-    stepped = stepped.withColumn(
-        "step",
-        F.explode_outer(
-            F.when(F.col("leg") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("steps")))
-        ),
+    ends = {f"a{i}": v for i, v in enumerate(va)} | {f"b{i}": v for i, v in enumerate(vb)}
+    leg = cut.withColumns(ends)
+    angle = F.acos(clamp(F.col("a0") * F.col("b0") + F.col("a1") * F.col("b1") + F.col("a2") * F.col("b2"), -1, 1))
+    leg = leg.withColumn("angle", angle).withColumns(
+        {
+            "sine": F.sin("angle"),
+            "steps": F.greatest(F.lit(1), F.ceil(F.degrees("angle") / step_deg).cast("int")),
+        }
+    )
+    numbers = F.when(F.col("leg") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("steps")))
+    step = leg.withColumn("step", F.explode_outer(numbers)).withColumn("t", F.col("step") / F.col("steps"))
+    step = step.withColumns(
+        {
+            "k0": F.try_divide(F.sin((1 - F.col("t")) * F.col("angle")), F.col("sine")),
+            "k1": F.try_divide(F.sin(F.col("t") * F.col("angle")), F.col("sine")),
+        }
     )
-    t = F.col("step") / F.col("steps")
-    k0 = F.try_divide(F.sin((1 - t) * F.col("angle")), F.sin("angle"))
-    k1 = F.try_divide(F.sin(t * F.col("angle")), F.sin("angle"))
     short = F.col("angle") < 1e-9
-    xyz = [F.when(short, b).otherwise(a * k0 + b * k1) for a, b in zip(va, vb)]
-    lon, lat = vector_position(*xyz)
-    is_first = F.col("leg") == 0
+    step = step.withColumns(
+        {
+            f"p{i}": F.when(short, F.col(f"b{i}")).otherwise(F.col(f"a{i}") * F.col("k0") + F.col(f"b{i}") * F.col("k1"))
+            for i in range(3)
+        }
+    )
+    lon, lat = vector_position(F.col("p0"), F.col("p1"), F.col("p2"))
     # Rounding to 1e-9 degree keeps the last bits of the trigonometry from deciding
     # which way a leg over a pole is unwrapped.
-    return stepped.select(
+    step = step.withColumns({"lon": F.floor(lon * 1e9 + 0.5) / 1e9, "lat": lat})
+    is_first = F.col("leg") == 0
+    return step.select(
         *keys, "leg", "step",
-        F.when(is_first, F.col("lon_a")).otherwise(unwrap_near(F.round(lon, 9), F.col("lon_a"))).alias("lon"),
-        F.when(is_first, F.col("lat_a")).otherwise(lat).alias("lat"),
+        F.when(is_first, F.col("lon_a")).otherwise(unwrap_near(F.col("lon"), F.col("lon_a"))).alias("lon"),
+        F.when(is_first, F.col("lat_a")).otherwise(F.col("lat")).alias("lat"),
     )
 
 

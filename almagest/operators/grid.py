@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from almagest.functions.geo import valid_position
+from almagest.functions.geo import valid_lon_lat
 from almagest.functions.scalars import blank_to_null, finite, news_rank, number_text, text_number
+from almagest.operators.keys import computed_once
 from almagest.schema import GRID_DEG
 
 
@@ -23,19 +24,19 @@ def news_rows(lines: DataFrame) -> DataFrame:
 
     Blank coordinates are dropped before parsing: as a number they would be 0.
     """
-    lon, lat = text_number("lon"), text_number("lat")
-    has_text = (F.col("lat") != "") & (F.col("lon") != "")
-    return lines.select(
-        "file_sec",
-        "line_no",
-        text_number("mentions").alias("mentions"),
-        text_number("articles").alias("articles"),
-        blank_to_null("place").alias("place"),
-        blank_to_null("url").alias("url"),
-        lon.alias("lon"),
-        lat.alias("lat"),
-        F.coalesce(has_text & valid_position(F.array(lon, lat)), F.lit(False)).alias("kept"),
+    typed = computed_once(
+        lines,
+        ["file_sec", "line_no"],
+        [
+            text_number("mentions").alias("mentions"),
+            text_number("articles").alias("articles"),
+            blank_to_null("place").alias("place"),
+            blank_to_null("url").alias("url"),
+            F.when(F.col("lon") != "", text_number("lon")).alias("lon"),
+            F.when(F.col("lat") != "", text_number("lat")).alias("lat"),
+        ],
     )
+    return typed.withColumn("kept", valid_lon_lat("lon", "lat"))
 
 
 def news_cells(rows: DataFrame, deg: float = GRID_DEG) -> DataFrame:

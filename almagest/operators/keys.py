@@ -19,6 +19,19 @@ def unnest(df: DataFrame, array: Column, keep: list[Column | str], pos: str, val
     return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())
 
 
+def computed_once(df: DataFrame, keep: list[Column | str], fields: list[Column]) -> DataFrame:
+    """Select costly columns so that they are evaluated exactly once per row.
+
+    A later filter on a plain projection is moved below it, and then every column it
+    uses is computed again there, once per mention. Passing the columns through a
+    one-element generator ends that: filters on its output stay above it.
+    """
+    row = "__row"
+    names = [row + "." + f for f in df.select(F.struct(*fields).alias(row)).schema[row].dataType.names]
+    kept = df.select(*keep).columns
+    return df.select(*keep, F.explode_outer(F.array(F.struct(*fields))).alias(row)).select(*kept, *names)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Keep the first row of every key.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almagest.functions.scalars import clamp, number_or, number_text, text_number
+from almagest.operators.keys import computed_once
 from almagest.schema import LAYER_KEYS, LINK_DEFAULTS
 
 LAYERS = [layer for layer, _ in LAYER_KEYS]
@@ -28,7 +29,8 @@ def layer_to_short(layers: Column) -> Column:
 
 
 def _decoded(text: Column) -> Column:
-    return F.coalesce(F.try_url_decode(text), text)
+    """Percent decoding; text without escapes is passed through, malformed text too."""
+    return F.when(text.rlike("[%+]"), F.coalesce(F.try_url_decode(text), text)).otherwise(text)
 
 
 def parse_links(df: DataFrame, url: str = "url") -> DataFrame:
@@ -41,17 +43,18 @@ def parse_links(df: DataFrame, url: str = "url") -> DataFrame:
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
         lambda p: F.struct(
-            _decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("name"),
-            _decoded(F.when(F.instr(p, "=") > 0, F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("value"),
+            _decoded(F.substring_index(p, "=", 1)).alias("name"),
+            F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise("").alias("value"),
         ),
     )
-    base = df.withColumn("__params", pairs)
+    base = computed_once(df, df.columns, [pairs.alias("__params")])
 
     def param(name: str) -> Column:
-        return F.get(F.filter("__params", lambda p: p["name"] == name), F.lit(0))["value"]
+        return F.get(F.filter("__params", lambda p: p["name"] == name), F.lit(0))["value"].alias(f"__{name}")
 
-    raw = {n: param(n) for n in ("lat", "lng", "z", "t", "l", "sel", "play", "rate", "pin")}
-    base = base.withColumns({f"__{n}": c for n, c in raw.items()})
+    names = ("lat", "lng", "z", "t", "l", "sel", "play", "rate", "pin")
+    base = computed_once(base, df.columns, [param(n) for n in names])
+    base = base.withColumns({f"__{n}": _decoded(F.col(f"__{n}")) for n in names})
     t = text_number("__t")
     whole = (t == F.floor(t)) & (t >= 0) & (t < 9e18)
     shorts = F.split("__l", ",")
@@ -70,7 +73,7 @@ def parse_links(df: DataFrame, url: str = "url") -> DataFrame:
             "pin": F.col("__pin"),
         }
     )
-    return out.drop("__params", *[f"__{n}" for n in raw])
+    return out.drop(*[f"__{n}" for n in names])
 
 
 def write_links(df: DataFrame, out: str = "query") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almagest.functions import variant as V
-from almagest.functions.geo import ring_centroid, valid_position, valid_ring
+from almagest.functions.geo import ring_centroid, valid_lon_lat, valid_position, valid_ring
 from almagest.functions.scalars import (
     alert_rank,
     blank_to_null,
@@ -26,7 +26,7 @@ from almagest.functions.scalars import (
     slot_of_seconds,
     utc_time,
 )
-from almagest.operators.keys import unnest
+from almagest.operators.keys import computed_once, unnest
 from almagest.schema import BUCKET_SEC, EXPIRED_GRACE_MS, GEOMETRY, SLOT_MAX_SEC, SLOT_MIN_SEC, SLOT_SEC
 
 OK, DROPPED, SKIPPED = "ok", "dropped", "skipped"
@@ -51,8 +51,9 @@ def document_status(docs: DataFrame, container: str) -> DataFrame:
 
 def elements(docs: DataFrame, container: str, carry: list[Column | str]) -> DataFrame:
     """One row per element of every good document, carrying only the named columns."""
-    opened = parsed(docs, container)
-    rows = unnest(opened, F.col("items"), [*carry, "doc_no"], "pos", "item")
+    opened = computed_once(docs, [c for c in docs.columns if c != "body"], [V.parse("body").alias("doc")])
+    items = V.elements(F.col("doc"), f"$.{container}")
+    rows = unnest(opened, items, [*carry, "doc_no"], "pos", "item")
     return rows.withColumn("arrival_seq", F.col("doc_no") * F.lit(2**32) + F.col("pos"))
 
 
@@ -84,10 +85,7 @@ def point(*coordinates: Column) -> Column:
 def quakes(docs: DataFrame) -> DataFrame:
     """Earthquake documents (doc_no, body, ingested_at) to occurrences."""
     item = F.col("item")
-    raw = elements(docs, "features", ["ingested_at"]).select(
-        "doc_no",
-        "arrival_seq",
-        "ingested_at",
+    raw = computed_once(elements(docs, "features", ["ingested_at"]), ["doc_no", "arrival_seq", "ingested_at"], [
         F.nullif(V.text(item, "$.id"), F.lit("")).alias("source_id"),
         V.number(item, "$.properties.time").alias("time_ms"),
         V.number(item, "$.properties.updated").alias("updated_ms"),
@@ -98,9 +96,9 @@ def quakes(docs: DataFrame) -> DataFrame:
         V.number(item, "$.properties.tsunami").alias("tsunami"),
         V.text(item, "$.properties.status").alias("status_text"),
         V.text(item, "$.properties.url").alias("url"),
-    )
+    ])
     lon, lat, depth = (F.get("pos", F.lit(i)) for i in range(3))
-    good = F.col("source_id").isNotNull() & F.col("time_ms").isNotNull() & valid_position(F.col("pos"))
+    good = F.col("source_id").isNotNull() & F.col("time_ms").isNotNull() & valid_lon_lat(lon, lat)
     at = from_ms(F.col("time_ms").cast("bigint"))
     return raw.select(
         F.concat(F.lit("usgs:"), F.col("source_id")).alias("id"),
@@ -140,13 +138,9 @@ def aircraft(docs: DataFrame) -> DataFrame:
     """Aircraft documents (doc_no, body, ingested_at, scheduled_at, region_id) to observations."""
     item = F.col("item")
     now = F.coalesce(V.number(F.col("doc"), "$.now"), epoch_ms("ingested_at").cast("double"))
-    raw = elements(docs, "ac", ["ingested_at", "scheduled_at", "region_id", now.alias("now_ms")]).select(
-        "doc_no",
-        "arrival_seq",
-        "ingested_at",
-        "region_id",
-        "now_ms",
-        slot_of_seconds(F.unix_seconds("scheduled_at"), BUCKET_SEC).alias("bucket"),
+    rows = elements(docs, "ac", ["ingested_at", "scheduled_at", "region_id", now.alias("now_ms")])
+    bucket = slot_of_seconds(F.unix_seconds("scheduled_at"), BUCKET_SEC).alias("bucket")
+    raw = computed_once(rows, ["doc_no", "arrival_seq", "ingested_at", "region_id", "now_ms", bucket], [
         F.lower(blank_to_null(V.text(item, "$.hex"))).alias("hex"),
         V.number(item, "$.lon").alias("lon"),
         V.number(item, "$.lat").alias("lat"),
@@ -159,10 +153,10 @@ def aircraft(docs: DataFrame) -> DataFrame:
         blank_to_null(V.text(item, "$.r")).alias("registration"),
         blank_to_null(V.text(item, "$.category")).alias("category"),
         V.number(item, "$.seen_pos").alias("seen_pos_sec"),
-    )
+    ])
     source_id = F.concat_ws(":", "hex", "bucket")
     at = from_ms((F.col("now_ms") - F.coalesce("seen_pos_sec", F.lit(0.0)) * 1000.0).cast("bigint"))
-    good = F.col("hex").isNotNull() & valid_position(F.array("lon", "lat"))
+    good = F.col("hex").isNotNull() & valid_lon_lat("lon", "lat")
     return raw.select(
         F.concat(F.lit("adsblol:"), source_id).alias("id"),
         F.lit("adsblol").alias("source"),
@@ -201,10 +195,7 @@ def alerts(docs: DataFrame, grace_ms: int = EXPIRED_GRACE_MS) -> DataFrame:
     """
     item = F.col("item")
     p = "$.properties"
-    raw = elements(docs, "features", ["ingested_at"]).select(
-        "doc_no",
-        "arrival_seq",
-        "ingested_at",
+    raw = computed_once(elements(docs, "features", ["ingested_at"]), ["doc_no", "arrival_seq", "ingested_at"], [
         V.number(item, f"{p}.eventid").alias("event_id"),
         V.number(item, f"{p}.episodeid").alias("episode_id"),
         blank_to_null(V.text(item, f"{p}.eventtype")).alias("event_type"),
@@ -219,7 +210,7 @@ def alerts(docs: DataFrame, grace_ms: int = EXPIRED_GRACE_MS) -> DataFrame:
         V.number(item, f"{p}.severitydata.severity").alias("raw"),
         blank_to_null(V.text(item, f"{p}.country")).alias("area_desc"),
         blank_to_null(V.text(item, f"{p}.url.report")).alias("url"),
-    )
+    ])
     lon, lat = F.get("pos", F.lit(0)), F.get("pos", F.lit(1))
     rank = alert_rank("alert_level")
     complete = (
@@ -228,7 +219,7 @@ def alerts(docs: DataFrame, grace_ms: int = EXPIRED_GRACE_MS) -> DataFrame:
         & F.col("event_type").isNotNull()
         & rank.isNotNull()
         & F.col("valid_from").isNotNull()
-        & valid_position(F.col("pos"))
+        & valid_lon_lat(lon, lat)
     )
     over = ~F.col("current") & (
         F.col("observed_until").isNull()

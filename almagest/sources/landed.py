@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.functions.scalars import hour_of, stamp_time
+from almagest.operators.keys import computed_once
 from almagest.schema import NEWS_COLUMNS, OVERSIZE_BYTES, REGIONS
 
 EXPORT_NAME = r"([0-9]{14})\.export\.CSV\.zip$"
@@ -114,10 +115,11 @@ def news_lines(lines: DataFrame) -> DataFrame:
     A line that lacks a wanted column gives null columns, which the grid job counts as
     dropped.
     """
-    parts = F.split(F.col("line"), "\t", -1)
-    full = F.size(parts) > max(NEWS_COLUMNS.values())
-    wanted = {name: F.when(full, F.get(parts, F.lit(i))).alias(name) for name, i in NEWS_COLUMNS.items()}
-    return lines.where(~F.col("line").isin("", "\r")).select("file_sec", "line_no", *wanted.values())
+    rows = lines.where(~F.col("line").isin("", "\r"))
+    parts = computed_once(rows, ["file_sec", "line_no"], [F.split(F.col("line"), "\t", -1).alias("parts")])
+    full = F.size("parts") > max(NEWS_COLUMNS.values())
+    wanted = [F.when(full, F.get("parts", F.lit(i))).alias(name) for name, i in NEWS_COLUMNS.items()]
+    return parts.select("file_sec", "line_no", *wanted)
 
 
 def archive_raw(docs: DataFrame, root: str) -> None:
