@@ -77,9 +77,13 @@ def same_content(left: DataFrame, right: DataFrame, content: list[str]) -> DataF
     return both.agg(((F.count(F.lit(1)) != 1) & (F.count_distinct("hash") <= 1)).alias("same"))
 
 
-def changed_slots(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Fingerprints of `after` whose hash differs from the one published."""
-    known = before.select(*SLOT_KEY, F.col("hash").alias("old_hash"))
+def changed_slots(before: DataFrame, after: DataFrame, carry: dict[str, str] | None = None) -> DataFrame:
+    """Fingerprints of `after` whose hash differs from the one published.
+
+    `carry` names columns of `before` to bring along, under new names.
+    """
+    extra = [F.col(old).alias(new) for old, new in (carry or {}).items()]
+    known = before.select(*SLOT_KEY, F.col("hash").alias("old_hash"), *extra)
     return (
         after.join(known, SLOT_KEY, "left")
         .where(~F.col("hash").eqNullSafe(F.col("old_hash")))
@@ -170,10 +174,8 @@ class SlotTable:
         try:
             hashes = fingerprint(merged, SLOT_KEY, content)
             counts = incoming.groupBy(*SLOT_KEY).agg(F.count(F.lit(1)).alias("incoming"))
-            old = pointers.select(*SLOT_KEY, F.col("generation").alias("old_generation"))
             fresh = (
-                changed_slots(pointers, hashes)
-                .join(old, SLOT_KEY, "left")
+                changed_slots(pointers, hashes, carry={"generation": "old_generation"})
                 .join(counts, SLOT_KEY, "left")
                 .select(
                     "layer",

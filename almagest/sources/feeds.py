@@ -38,12 +38,12 @@ def parsed(docs: DataFrame, container: str) -> DataFrame:
     return docs.withColumn("doc", doc).withColumn("items", V.elements(F.col("doc"), f"$.{container}"))
 
 
-def document_status(docs: DataFrame, container: str) -> DataFrame:
+def document_status(docs: DataFrame, container: str, keep: list[str] | None = None) -> DataFrame:
     """Per document: failed (no array), empty, or ok, with the element count."""
     opened = parsed(docs, container)
     size = F.when(F.col("items").isNotNull(), F.size("items"))
     return opened.select(
-        "doc_no",
+        *(keep or ["doc_no"]),
         F.when(size.isNull(), "failed").when(size == 0, "empty").otherwise("ok").alias("outcome"),
         size.alias("elements"),
     )
