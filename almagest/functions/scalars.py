@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 
 from almagest.schema import ALERT_RANK, SLOT_SEC
 
+# The characters that count as white space around a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 NUMBER_PATTERN = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
 
@@ -23,7 +28,7 @@ def col(c: Column | str) -> Column:
 
 def trimmed(c: Column | str) -> Column:
     """Strip every kind of white space, not only blanks."""
-    return F.regexp_replace(col(c), r"(?U)^[\s﻿]+|[\s﻿]+$", "")
+    return F.trim(col(c), F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c: Column | str) -> Column:

@@ -18,7 +18,8 @@ def json_type(v: Column, path: str = "$") -> Column:
 
 def number(v: Column, path: str = "$") -> Column:
     """A JSON number; text that looks like one is not."""
-    is_number = json_type(v, path).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    # BIGINT, DOUBLE, FLOAT or DECIMAL(p,s); the type is looked at once.
+    is_number = F.left(json_type(v, path), F.lit(3)).isin("BIG", "DOU", "FLO", "DEC")
     return F.when(is_number, finite(F.try_variant_get(v, path, "double")))
 
 

@@ -86,8 +86,14 @@ def apply_geometry(
     """
     event, episode = _ids()
     is_active = (F.col("alert.event_type") == "TC") & (F.col("status") == "active")
+    # Most alerts are no cyclones. As one null key they would all meet in one task, so
+    # they get negative keys, which no cache row has, spread by their id.
+    elsewhere = F.lit(-1).cast("bigint") - F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     keyed = alerts.withColumns(
-        {"event_id": F.when(is_active, event), "episode_id": F.when(is_active, episode)}
+        {
+            "event_id": F.coalesce(F.when(is_active, event), elsewhere),
+            "episode_id": F.coalesce(F.when(is_active, episode), F.lit(-1).cast("bigint")),
+        }
     )
     matched = match_geometry(keyed, cache, now, ttl_ms).withColumns(
         {

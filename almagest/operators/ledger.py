@@ -153,23 +153,28 @@ def poll_summary(polls: DataFrame) -> DataFrame:
     )
 
 
-def error_counts(polls: DataFrame, summary: DataFrame) -> DataFrame:
+def error_counts(polls: DataFrame, summary: DataFrame, layers: list[str] | None = None) -> DataFrame:
     """Consecutive errors per layer since the last success that cleared them.
 
+    The summary is cut to the named layers, so it has at most that many rows and is
+    broadcast; the poll log is not shuffled by a key that a few layers own.
+
     A good answer always clears; "not modified" clears only while no schema error is
     open. So of the rows after the last good answer, those before the first schema
     error may still clear.
     """
-    since = polls.join(summary.select("layer", "last_ok"), "layer").where(
+    known = F.col("layer").isin(layers or list(STALE_AFTER_MS))
+    few = summary.where(known).select("layer", "last_ok")
+    since = polls.join(F.broadcast(few), "layer").where(
         F.col("last_ok").isNull() | (F.col("at") > F.col("last_ok"))
     )
     broken = since.groupBy("layer").agg(
         F.min(F.when(F.col("outcome") == "schema_error", F.col("at"))).alias("broken_at")
     )
-    marked = since.join(broken, "layer")
+    marked = since.join(F.broadcast(broken), "layer")
     clears = (F.col("outcome") == "not_modified") & (F.col("broken_at").isNull() | (F.col("at") < F.col("broken_at")))
     cleared = marked.groupBy("layer").agg(F.max(F.when(clears, F.col("at"))).alias("cleared_at"))
-    left = marked.join(cleared, "layer").where(F.col("cleared_at").isNull() | (F.col("at") > F.col("cleared_at")))
+    left = marked.join(F.broadcast(cleared), "layer").where(F.col("cleared_at").isNull() | (F.col("at") > F.col("cleared_at")))
     return left.groupBy("layer").agg(F.count_if(F.col("outcome").isin("error", "schema_error")).alias("error_count"))
 
 
@@ -232,6 +237,11 @@ def usage(objects: DataFrame, prefix: str, size: str, limit_bytes: int = CAPACIT
     )
 
 
+def halt_rows(usage_rows: DataFrame) -> DataFrame:
+    """The row that stops later jobs; empty while usage is within its limit."""
+    return usage_rows.where(F.coalesce("over_limit", F.lit(False)))
+
+
 def budget_flag(requests: DataFrame, budget: int = DAILY_BUDGET, share: float = BUDGET_SHARE) -> DataFrame:
     """Per date: relaxed when the requests exceed the share of the budget, else cleared."""
     return requests.groupBy("date").agg(F.sum("requests").cast("bigint").alias("requests")).withColumn(

@@ -26,7 +26,7 @@ from pyspark.sql import Window
 from almagest.functions.scalars import date_of_slot, digest_lanes, row_digest, slot_of, slot_of_seconds
 from almagest.operators.keys import first_per_key
 from almagest.operators.merge import BY_REVISION, merge
-from almagest.schema import SLOT_SEC
+from almagest.schema import SLOT_SEC, STAGING_HOURS
 
 SLOT_KEY = ["layer", "slot"]
 NOT_CONTENT = {"ingested_at", "generation", "publish_id", "dt", "slot", "layer", "slot_duration_sec", "arrival_seq"}
@@ -211,6 +211,11 @@ def retained(df: DataFrame, date: str, now_ms: int, days: int) -> DataFrame:
     return df.where(F.col(date) >= oldest)
 
 
+def abandoned_cycles(staged: DataFrame, cycle_ms: str, now_ms: int, hours: int = STAGING_HOURS) -> DataFrame:
+    """Staged rows of cycles that started too long ago to be finished."""
+    return staged.where(F.col(cycle_ms) < now_ms - hours * 3_600_000)
+
+
 def gaps(manifest: DataFrame, layer: str, from_slot: int, to_slot: int, width_sec: int = SLOT_SEC) -> DataFrame:
     """Slots without a published generation, as ranges per day: (dt, gap_from, gap_to, slots).
 

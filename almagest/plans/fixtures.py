@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.functions.scalars import epoch_ms, slot_of
+from almagest.operators.keys import spread
 from almagest.session import use_utc
 
 T_MS = 1_705_276_800_000  # 2024-01-15 00:00:00
@@ -92,7 +93,7 @@ def news_text(spark: SparkSession, sf_dir: str, file_sec: int = 900) -> DataFram
     """Events as the text columns of a news export."""
     e = F.col("event_id")
     coordinate = lambda c: F.when(e % 97 == 0, "").otherwise(F.col(c).cast("string"))
-    return events(spark, sf_dir).select(
+    return spread_events(spark, sf_dir).select(
         slot_of("ts", file_sec).alias("file_sec"),
         e.alias("line_no"),
         (e % 20).cast("string").alias("mentions"),
@@ -104,6 +105,11 @@ def news_text(spark: SparkSession, sf_dir: str, file_sec: int = 900) -> DataFram
     )
 
 
+def spread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon, lat = lon_lat(F.col("event_id"))
+    return spread(table(spark, sf_dir, "events")).withColumns({"lon": lon, "lat": lat})
+
+
 def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows rendered as 61-column lines; every 89th line is cut short."""
     named = {31: "mentions", 33: "articles", 52: "place", 56: "lat", 57: "lon", 60: "url"}
@@ -170,7 +176,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One box per customer; keys 0 and 24 modulo 24 touch the antimeridian."""
     key = F.col("c_custkey")
     lon, lat = box_centre(key)
-    rows = table(spark, sf_dir, "customer").select(key.alias("id"), lon.alias("lon"), lat.alias("lat"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(key.alias("id"), lon.alias("lon"), lat.alias("lat"))
     return rows.select("id", square(F.col("id"), F.col("lon"), F.col("lat")).alias("rings"))
 
 

@@ -270,7 +270,7 @@ def _quake_docs(spark, sf) -> DataFrame:
         F.concat_ws(",", F.col("lon").cast("string"), F.col("lat").cast("string"), F.when(e % 5 != 0, (e % 700).cast("string"))),
         F.lit("]}}"),
     )
-    docs = X.documents(X.events(spark, sf), (e / 50).cast("bigint"), item, "event_id", '{"features":[', "]}")
+    docs = X.documents(X.spread_events(spark, sf), (e / 50).cast("bigint"), item, "event_id", '{"features":[', "]}")
     broken = F.col("doc_no") % 29 == 28
     return docs.select(
         "doc_no",
@@ -306,7 +306,7 @@ def _aircraft_docs(spark, sf) -> DataFrame:
         ),
         F.lit("}"),
     )
-    docs = X.documents(X.events(spark, sf), (e / 50).cast("bigint"), item, "event_id", '{"ac":[', "]}")
+    docs = X.documents(X.spread_events(spark, sf), (e / 50).cast("bigint"), item, "event_id", '{"ac":[', "]}")
     now = F.lit(1_704_067_200_000) + F.col("doc_no") * 60_000
     names = F.array(*[F.lit(r[0]) for r in REGIONS])
     return docs.select(
@@ -349,7 +349,7 @@ def _alert_docs(spark, sf) -> DataFrame:
         F.lit(',"severitytext":"s"},"url":{"report":"u"}},"geometry":{"type":"Point","coordinates":['),
         F.concat_ws(",", F.col("lon").cast("string"), F.col("lat").cast("string")), F.lit("]}}"),
     )
-    docs = X.documents(X.events(spark, sf), (e / 100).cast("bigint"), item, "event_id", '{"features":[', "]}")
+    docs = X.documents(X.spread_events(spark, sf), (e / 100).cast("bigint"), item, "event_id", '{"features":[', "]}")
     return docs.withColumn("ingested_at", S.from_ms(X.T_MS))
 
 
@@ -408,7 +408,7 @@ def _cyclone_docs(spark, sf) -> DataFrame:
         F.when(kind == 0, "Point").when(kind == 2, "LineString").otherwise("Polygon"),
         F.lit('","coordinates":'), F.when(kind == 0, point).otherwise(ring), F.lit("}}"),
     )
-    return X.documents(X.events(spark, sf), (e / 40).cast("bigint"), item, "event_id", '{"features":[', "]}")
+    return X.documents(X.spread_events(spark, sf), (e / 40).cast("bigint"), item, "event_id", '{"features":[', "]}")
 
 
 @query
@@ -779,7 +779,7 @@ def _status(spark, sf) -> DataFrame:
 def layer_status(spark, sf):
     polls = X.polls(spark, sf)
     summary = ledger.poll_summary(polls)
-    counts = ledger.error_counts(polls, summary)
+    counts = ledger.error_counts(polls, summary, list(POLL_LIMITS))
     status = ledger.layer_status(summary, X.LAST_MS, POLL_LIMITS, ("click", "purchase"))
     return status.join(counts, "layer", "left").withColumn("error_count", F.coalesce("error_count", F.lit(0)))
 
@@ -822,7 +822,7 @@ def detail_labels(spark, sf):
     e = eid()
     level = F.when(e % 4 == 0, "Red")
     cap = F.when(e % 3 == 0, "Severe")
-    rows = X.table(spark, sf, "events")
+    rows = X.spread_events(spark, sf)
     return rows.select(
         "event_id",
         encode.magnitude_label(F.when(e % 9 != 0, F.col("value"))).alias("magnitude"),
@@ -939,7 +939,7 @@ def token_bucket(spark, sf):
 
 def _links(spark, sf) -> DataFrame:
     e = eid()
-    rendered = X.events(spark, sf).select(
+    rendered = X.spread_events(spark, sf).select(
         F.concat(F.lit("e"), e.cast("string")).alias("link_id"),
         F.concat(
             F.lit("/world?lat="), F.col("lat").cast("string"), F.lit("&lng="), F.col("lon").cast("string"),

@@ -103,6 +103,8 @@ def test_capacity_limit_is_strict(spark):
     total = lambda limit: {r.prefix: (r.bytes, r.objects, r.over_limit) for r in ledger.usage(df, "p", "b", limit).collect()}
     assert total(100) == {"raw": (80, 2, None), "norm": (20, 1, None), "(total)": (100, 3, False)}
     assert total(99)["(total)"][2] is True
+    assert ledger.halt_rows(ledger.usage(df, "p", "b", 99)).count() == 1
+    assert ledger.halt_rows(ledger.usage(df, "p", "b", 100)).count() == 0
 
 
 def test_budget_is_strict(spark):

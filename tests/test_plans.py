@@ -63,7 +63,17 @@ def test_columns_are_pruned(spark):
 
 @pytest.mark.parametrize("name", ["hatch_polygons", "unwrap_polygons", "ring_centroid", "link_state", "detail_labels"])
 def test_row_local_work_does_not_shuffle(spark, name):
-    assert "Exchange" not in plan_of(QUERIES[name](spark, SMALL)).split("== Physical Plan ==")[1]
+    plan = plan_of(QUERIES[name](spark, SMALL))
+    # Only small inputs are spread over the cores; nothing is hashed or sorted into place.
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "SinglePartition" not in plan
+
+
+def test_large_inputs_are_not_spread(spark):
+    from almagest.operators.keys import spread
+
+    many = spark.range(0, 100, 1, 32)
+    assert spread(many) is many
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
 @pytest.mark.parametrize("name", ["newest_arrivals", "event_log", "record_lookup"])

@@ -110,6 +110,13 @@ def test_gaps(spark):
     assert sum(n for _, _, n in got) == 3 and got[0][0] == 900
 
 
+def test_retention_and_leftovers(spark):
+    df = spark.createDataFrame([("2026-01-01",), ("2026-01-03",), ("2026-01-10",)], "dt string")
+    assert {r.dt for r in slots.retained(df, "dt", 1_768_003_200_000, 7).collect()} == {"2026-01-03", "2026-01-10"}
+    cycles = spark.createDataFrame([(0,), (3_600_000,), (7_200_000,)], "cycle bigint")
+    assert [r.cycle for r in slots.abandoned_cycles(cycles, "cycle", 3 * 3_600_000 + 1).collect()] == [0]
+
+
 def heads(spark, rows):
     return spark.createDataFrame(rows, "part string, as_of bigint")
 
