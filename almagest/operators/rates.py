@@ -56,19 +56,15 @@ def order_statistics(df: DataFrame, key: str, value: str, ranks: dict[str, Colum
         .where((F.col("w.rank") >= F.col("below")) & (F.col("w.rank") < F.col("below") + F.col("c")))
         .select(key, "bucket", "n", "w.stat", (F.col("w.rank") - F.col("below")).alias("rest"))
     )
+    upto_value = Window.partitionBy(key, "stat").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = (
         df.select(key, bucket.alias("bucket"), F.col(value).alias("v"))
-        .join(located.select(key, "bucket").distinct(), [key, "bucket"], "left_semi")
-        .groupBy(key, "bucket", "v")
+        .join(located, [key, "bucket"])
+        .groupBy(key, "stat", "n", "rest", "v")
         .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn(
-            "seen",
-            F.sum("c").over(
-                Window.partitionBy(key, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
+        .withColumn("seen", F.sum("c").over(upto_value))
     )
-    hit = inside.join(located, [key, "bucket"]).where((F.col("rest") < F.col("seen")) & (F.col("rest") >= F.col("seen") - F.col("c")))
+    hit = inside.where((F.col("rest") < F.col("seen")) & (F.col("rest") >= F.col("seen") - F.col("c")))
     return hit.groupBy(key).agg(
         F.max("n").alias("n"), *[F.max(F.when(F.col("stat") == k, F.col("v"))).alias(k) for k in ranks]
     )

@@ -10,20 +10,41 @@ from pyspark.sql import SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def build_session(app: str = "almagest", master: str | None = None, **conf: str) -> SparkSession:
+SHUFFLE_TARGET_BYTES = 256 * 1024**2
+
+
+def shuffle_partitions(input_bytes: int, cores: int) -> int:
+    """Shuffle partitions for an input: about 256 MB each, at least two per core.
+
+    AQE merges partitions that turn out small but cannot split a whole shuffle, so the
+    number has to be large enough from the start: 100 TB ask for 400,000.
+    """
+    return max(2 * cores, -(-input_bytes // SHUFFLE_TARGET_BYTES))
+
+
+def build_session(
+    app: str = "almagest",
+    master: str | None = None,
+    input_bytes: int | None = None,
+    cores: int = 8,
+    **conf: str,
+) -> SparkSession:
     """A session with the settings the operators are written for.
 
-    Sizes are left to AQE: the initial partition number is a ceiling that AQE
-    coalesces, so the same job runs on eight cores and on a thousand executors.
+    `input_bytes` and `cores` size the shuffles; explicit settings win.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if input_bytes is not None:
+        conf = {"spark.sql.shuffle.partitions": str(shuffle_partitions(input_bytes, cores)), **conf}
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
