@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.functions import variant as V
 from almagest.operators.keys import first_per_key
+from almagest.session import read_table
 
 
 def replace_newer(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -63,3 +67,67 @@ def changed_parts(previous: DataFrame, current: DataFrame) -> DataFrame:
 def freshest(parts: DataFrame) -> DataFrame:
     """Newest as_of over all parts; parts without a time are ignored."""
     return parts.agg(F.max("as_of").alias("as_of"))
+
+
+@dataclass(frozen=True)
+class LatestTable:
+    """Newest snapshot per part, records included, on append-only parquet.
+
+    Records are written before the header that makes them visible, as in the slot
+    table; the header of a part is its newest as_of, the first one among equal times.
+    One writer at a time.
+    """
+
+    spark: SparkSession
+    root: str
+
+    @property
+    def records_path(self) -> str:
+        return f"{self.root}/records"
+
+    @property
+    def headers_path(self) -> str:
+        return f"{self.root}/headers"
+
+    def headers(self) -> DataFrame | None:
+        rows = read_table(self.spark, self.headers_path, [])
+        if rows is None:
+            return None
+        return first_per_key(rows, ["part"], [F.col("as_of").desc(), F.col("uploaded_at").asc(), F.col("publish_id").asc()])
+
+    def publish(self, records: DataFrame, as_of: DataFrame, at_ms: int | None = None) -> DataFrame:
+        """Replace the parts named in `as_of` (part, as_of) whose time is strictly newer.
+
+        A part without records is published empty. Returns the accepted headers.
+        """
+        publish_id = uuid.uuid4().hex
+        stored = self.headers()
+        now = F.timestamp_millis(F.lit(at_ms)) if at_ms is not None else F.current_timestamp()
+        fresh = as_of
+        if stored is not None:
+            old = stored.select("part", F.col("as_of").alias("old_as_of"))
+            fresh = as_of.join(old, "part", "left").where(
+                F.col("old_as_of").isNull() | (F.col("old_as_of") < F.col("as_of"))
+            ).drop("old_as_of")
+        # Decided once: the headers written last must name what was written first.
+        fresh = fresh.withColumns({"publish_id": F.lit(publish_id), "uploaded_at": now}).persist()
+        try:
+            records.join(fresh.select("part", "publish_id"), "part").hint("rebalance", "part").write.partitionBy(
+                "part"
+            ).mode("append").parquet(self.records_path)
+            fresh.write.mode("append").parquet(self.headers_path)
+        finally:
+            fresh.unpersist()
+        return self.spark.read.parquet(self.headers_path).where(F.col("publish_id") == publish_id)
+
+    def read(self, part: str | None = None) -> DataFrame | None:
+        """Current records of all parts or of one; one part's folder is all that is opened then."""
+        current = self.headers()
+        if current is None:
+            return None
+        rows = read_table(self.spark, self.records_path, ["part"])
+        if rows is None:
+            return None
+        if part is not None:
+            rows, current = rows.where(F.col("part") == part), current.where(F.col("part") == part)
+        return rows.join(current.select("part", "publish_id"), ["part", "publish_id"], "left_semi")

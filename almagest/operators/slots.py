@@ -18,7 +18,6 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -27,6 +26,7 @@ from almagest.functions.scalars import date_of_slot, digest_lanes, row_digest, s
 from almagest.operators.keys import first_per_key
 from almagest.operators.merge import BY_REVISION, merge
 from almagest.schema import SLOT_SEC, STAGING_HOURS
+from almagest.session import read_table
 
 SLOT_KEY = ["layer", "slot"]
 NOT_CONTENT = {"ingested_at", "generation", "publish_id", "dt", "slot", "layer", "slot_duration_sec", "arrival_seq"}
@@ -105,12 +105,7 @@ class SlotTable:
         return f"{self.root}/manifest"
 
     def _read(self, path: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+        return read_table(self.spark, path, ["layer", "dt"])
 
     def manifest(self) -> DataFrame | None:
         """Every published generation."""
@@ -202,7 +197,7 @@ class SlotTable:
                 fresh.unpersist()
         finally:
             merged.unpersist()
-        return self.spark.read.parquet(self.manifest_path).where(F.col("publish_id") == publish_id)
+        return self.manifest().where(F.col("publish_id") == publish_id)
 
 
 def retained(df: DataFrame, date: str, now_ms: int, days: int) -> DataFrame:

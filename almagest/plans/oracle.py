@@ -413,6 +413,17 @@ PARTS = f"""hd AS (SELECT event_type || ':' || user_id % 6 AS part, event_id % 2
   WHERE ts <= make_timestamp({T} * 1000) GROUP BY 1, 2)"""
 ORACLE["publish_monotone"] = f"""
 WITH {PARTS} SELECT part, as_of, side = 1 AS replaced FROM hd QUALIFY row_number() OVER (PARTITION BY part ORDER BY as_of DESC, side) = 1"""
+ORACLE["latest_publish"] = f"""
+WITH {EV}, e AS (SELECT CAST(user_id % 6 AS VARCHAR) AS part, event_id, ts, ms FROM ev),
+o AS (SELECT *, 0 AS n FROM e WHERE ts BETWEEN make_timestamp({T - DAY} * 1000) AND make_timestamp({T} * 1000)
+  UNION ALL SELECT *, 1 FROM e WHERE part < '3' AND ts BETWEEN make_timestamp({T} * 1000) AND make_timestamp({T + DAY} * 1000)
+  UNION ALL SELECT *, 1 FROM e WHERE part >= '3' AND ts BETWEEN make_timestamp({T - 2 * DAY} * 1000) AND make_timestamp({T - DAY} * 1000)),
+h AS (SELECT part, n, max(ms) AS as_of FROM o GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY part ORDER BY max(ms) DESC, n) = 1)
+SELECT part, count(*) AS records, max(event_id) AS last_id, any_value(as_of) AS as_of FROM o JOIN h USING (part, n) GROUP BY part"""
+ORACLE["region_survivors"] = f"""
+WITH {OBS}, k AS (SELECT *, {T} - sampled_ms > {12 * HOUR} AS stale FROM obs WHERE sampled_ms <= {T}
+  QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY sampled_ms DESC, arrival_seq) = 1)
+SELECT arrival_seq % 6 AS region, count(*) AS entities, count(*) FILTER (stale) AS stale, max(sampled_ms) AS freshest_ms FROM k GROUP BY 1"""
 ORACLE["freshest_part"] = f"WITH {PARTS} SELECT max(as_of) AS as_of FROM hd WHERE side = 0"
 ORACLE["latest_assembly"] = """
 WITH last AS (SELECT event_type || ':' || user_id % 6 AS part, ts, event_id % 7 <> 0 AS valid FROM events

@@ -716,6 +716,34 @@ def changed_parts(spark, sf):
     return latest.changed_parts(snapshot(X.T_MS - X.DAY_MS), snapshot(X.T_MS))
 
 
+@query
+def latest_publish(spark, sf):
+    """Two publishes of region snapshots; an older snapshot of a region leaves it as it was."""
+    region = (F.col("user_id") % 6).cast("string")
+    rows = X.table(spark, sf, "events").select(region.alias("part"), "event_id", "ts", "value")
+    at = S.epoch_ms(F.max("ts"))
+    table = latest.LatestTable(X.use_utc(spark), shared_dir(spark, "latest"))
+    first = temporal.slice_occurrence(rows, X.T_MS, X.DAY_MS, at="ts")
+    table.publish(first, first.groupBy("part").agg(at.alias("as_of")), at_ms=X.T_MS)
+    # Regions 0 to 2 move a day on, the others come with a snapshot of the day before.
+    later = temporal.slice_occurrence(rows, X.T_MS + X.DAY_MS, X.DAY_MS, at="ts").where(F.col("part") < "3")
+    older = temporal.slice_occurrence(rows, X.T_MS - X.DAY_MS, X.DAY_MS, at="ts").where(F.col("part") >= "3")
+    second = later.unionByName(older)
+    table.publish(second, second.groupBy("part").agg(at.alias("as_of")), at_ms=X.T_MS + 60_000)
+    counted = table.read().groupBy("part").agg(F.count(F.lit(1)).alias("records"), F.max("event_id").alias("last_id"))
+    return counted.join(table.headers().select("part", "as_of"), "part")
+
+
+@query
+def region_survivors(spark, sf):
+    """Newest sample per entity over all regions, told back to the region it came from."""
+    rows = X.observations(spark, sf).withColumn("region", F.col("arrival_seq") % 6)
+    kept = temporal.latest_per_entity(rows, X.T_MS, 12 * X.HOUR_MS)
+    return kept.groupBy("region").agg(
+        F.count(F.lit(1)).alias("entities"), F.count_if("stale").alias("stale"), S.epoch_ms(F.max("sampled_at")).alias("freshest_ms")
+    )
+
+
 @query
 def freshest_part(spark, sf):
     return latest.freshest(_part_headers(spark, sf, 0))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -73,3 +75,19 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="almagest-")
         spark.conf.set(CHECKPOINT_KEY, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def read_table(spark: SparkSession, path: str, partitions: list[str]) -> DataFrame | None:
+    """A written parquet table, or None when nothing has been written yet.
+
+    Partition values are text and stay text: left alone, Spark would read a part
+    named 01 as the number 1 and a date folder as a date.
+    """
+    try:
+        found = spark.read.parquet(path).schema
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    typed = [T.StructField(f.name, T.StringType()) if f.name in partitions else f for f in found.fields]
+    return spark.read.schema(T.StructType(typed)).parquet(path)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +14,7 @@ from almagest.operators.arrivals import arrivals
 from almagest.operators.keys import first_per_key
 from almagest.operators.merge import BY_REVISION
 from almagest.operators.slots import SlotTable, commit_window, with_slot
+from almagest.session import read_table
 from almagest.sources import feeds
 
 
@@ -101,12 +101,7 @@ class ArrivalLog:
     root: str
 
     def _snapshot(self, batch_id: int) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/snapshots/n={batch_id}")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
+        return read_table(self.spark, f"{self.root}/snapshots/n={batch_id}", [])
 
     def batch(self, snapshot: DataFrame, batch_id: int, arrived_ms: int) -> None:
         """`snapshot` has id. The first snapshot is backfill and brings no arrivals."""

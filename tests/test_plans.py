@@ -10,7 +10,7 @@ from conftest import SMALL
 
 from almagest.plans.queries import QUERIES
 
-STREAMS = {"slot_tumbling_stream", "poll_status_stream", "slot_publish"}
+STREAMS = {"slot_tumbling_stream", "poll_status_stream", "slot_publish", "latest_publish"}
 
 
 def plan_of(df) -> str:

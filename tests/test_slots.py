@@ -143,6 +143,21 @@ def test_assembly(spark, parts, want):
     assert (r.partial, r.invalid, r.updated_at, r.present, r.publish) == want
 
 
+def test_latest_table(spark, tmp_path):
+    table = latest.LatestTable(spark, str(tmp_path / "latest"))
+    rows = lambda *xs: spark.createDataFrame(xs, "part string, id string")
+    assert table.read() is None and table.headers() is None
+    table.publish(rows(("a", "1"), ("b", "2")), heads(spark, [("a", 5), ("b", 5)]))
+    out = table.publish(rows(("a", "3"), ("b", "4"), ("c", "6")), heads(spark, [("a", 5), ("b", 6), ("c", 1)]))
+    assert {r.part for r in out.collect()} == {"b", "c"}
+    assert {(r.part, r.id) for r in table.read().collect()} == {("a", "1"), ("b", "4"), ("c", "6")}
+    table.publish(rows(("x", "0")).limit(0), heads(spark, [("b", 9)]))  # an empty world is a result too
+    assert {(r.part, r.id) for r in table.read().collect()} == {("a", "1"), ("c", "6")}
+    assert [r.id for r in table.read("c").collect()] == ["6"]
+    table.publish(rows(("01", "7")), heads(spark, [("01", 1)]))  # part names stay text
+    assert [(r.part, r.id) for r in table.read("01").collect()] == [("01", "7")]
+
+
 def test_body_check(spark):
     df = spark.createDataFrame([('{"a":1}',), ('{"a":',), ("{}",), ("[1,2]",), (None,)], "b string")
     assert [r.v for r in df.select(latest.body_is_object("b").alias("v")).collect()] == [True, False, False, False, False]

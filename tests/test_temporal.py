@@ -112,6 +112,20 @@ def test_lookup_prefers_the_first_layer(spark):
     assert temporal.lookup(df, "x", ["earthquake", "flight", "weather", "news"]).collect()[0].layer == "flight"
 
 
+def test_kind_is_narrowed_with_its_payload(spark):
+    df = frame(spark, [("a", "occurrence"), ("b", "interval")], "id string, kind string").select(
+        "id", "kind", F.lit("earthquake").alias("layer"), F.struct(F.lit(5.0).alias("magnitude")).alias("quake")
+    )
+    rows = temporal.of_kind(df, "occurrence", "quake").collect()
+    assert [(r.id, r.magnitude) for r in rows] == [("a", 5.0)]
+
+
+def test_world_state_takes_new_layers(spark):
+    events = frame(spark, [(1, T), (2, T - 99)], "id int, ms bigint").withColumn("occurred_at", F.timestamp_millis("ms"))
+    out = temporal.world_state({"tides": events}, T, {"tides": ("instant", 50)})
+    assert [(r.layer, r.id, r.stale) for r in out.collect()] == [("tides", 1, False)]
+
+
 def test_news_instant(spark):
     row = spark.range(1).select(temporal.news_instant(F.lit(5), F.lit(9)).alias("t")).first()
     assert row.t == 9
