@@ -370,8 +370,8 @@ WITH {LINE} SELECT {LINE_COLS}, l_suppkey % 3 AS list_seq FROM li
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC, l_suppkey % 3 DESC, {LINE_TIES}) = 1"""
 
 SIDES = f"""u AS (SELECT {slot(86400)} AS slot, user_id AS id, event_id % 7 AS revision, value, event_id AS seq FROM events),
-stored AS (SELECT * FROM u WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY slot, id ORDER BY revision DESC, seq DESC) = 1),
-incoming AS (SELECT * FROM u WHERE (seq % 2 = 0) <> ((slot // 86400) % 3 = 0)),
+stored AS (SELECT * FROM u WHERE seq % 2 = 0 OR (slot // 86400) % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY slot, id ORDER BY revision DESC, seq DESC) = 1),
+incoming AS (SELECT * FROM u WHERE seq % 2 = 1 OR (slot // 86400) % 3 <> 0),
 merged AS (SELECT * FROM (SELECT *, 0 AS side FROM stored UNION ALL SELECT *, 1 FROM incoming)
   QUALIFY row_number() OVER (PARTITION BY slot, id ORDER BY revision DESC, side DESC, seq DESC) = 1),
 diff AS (
@@ -424,7 +424,7 @@ ORACLE["region_survivors"] = f"""
 WITH {OBS}, k AS (SELECT *, {T} - sampled_ms > {12 * HOUR} AS stale FROM obs WHERE sampled_ms <= {T}
   QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY sampled_ms DESC, arrival_seq) = 1)
 SELECT arrival_seq % 6 AS region, count(*) AS entities, count(*) FILTER (stale) AS stale, max(sampled_ms) AS freshest_ms FROM k GROUP BY 1"""
-ORACLE["freshest_part"] = f"WITH {PARTS} SELECT max(as_of) AS as_of FROM hd WHERE side = 0"
+ORACLE["freshest_part"] = f"WITH {PARTS} SELECT max(as_of) AS as_of FROM hd"
 ORACLE["latest_assembly"] = """
 WITH last AS (SELECT event_type || ':' || user_id % 6 AS part, ts, event_id % 7 <> 0 AS valid FROM events
   QUALIFY row_number() OVER (PARTITION BY event_type, user_id % 6 ORDER BY ts DESC) = 1),
@@ -444,9 +444,9 @@ FROM a FULL OUTER JOIN b ON a.part = b.part WHERE a.v IS DISTINCT FROM b.v"""
 FRESH = f"""{EV}, fresh AS (SELECT event_id AS id, ms AS arrived_ms, event_type FROM ev
   WHERE ts <= make_timestamp({T} * 1000) AND ts > make_timestamp({T - 12 * HOUR} * 1000))"""
 ORACLE["arrivals"] = f"WITH {FRESH} SELECT id, arrived_ms FROM fresh"
-ORACLE["recent_present"] = f"WITH {FRESH} SELECT id, arrived_ms AS occurred_ms FROM fresh WHERE {T} - arrived_ms < {4 * HOUR} AND id % 4 <> 0"
+ORACLE["recent_present"] = f"WITH {FRESH} SELECT id, arrived_ms AS occurred_ms FROM fresh WHERE {T} - arrived_ms < {4 * HOUR} AND event_type <> 'view'"
 ORACLE["newest_arrivals"] = f"WITH {FRESH} SELECT id, arrived_ms FROM fresh ORDER BY arrived_ms DESC, id LIMIT 100"
-ORACLE["newest_present"] = f"WITH {FRESH} SELECT id, arrived_ms FROM fresh WHERE id % 4 <> 0 ORDER BY arrived_ms DESC, id LIMIT 1"
+ORACLE["newest_present"] = f"WITH {FRESH} SELECT id, arrived_ms FROM fresh WHERE event_type <> 'view' ORDER BY arrived_ms DESC, id LIMIT 1"
 ORACLE["event_log"] = f"""
 WITH {EV} SELECT CASE WHEN event_type = 'error' THEN 'alert' ELSE 'quake' END AS kind, ms AS sort_ms, CAST(event_id AS VARCHAR) AS id FROM ev
 WHERE ts >= make_timestamp({T - DAY} * 1000) AND ts <= make_timestamp({T} * 1000) ORDER BY sort_ms DESC, kind DESC, id LIMIT 50"""

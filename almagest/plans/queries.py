@@ -574,8 +574,8 @@ def dedupe_pages(spark, sf):
 def _slot_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Records of users in day slots: what is stored, and what arrives.
 
-    On two days of three the arrivals repeat what is stored; on the third they bring
-    the other events.
+    On two days of three the arrivals repeat what is stored; on the third one half of
+    the events is stored and the other half arrives.
     """
     rows = X.table(spark, sf, "events").select(
         F.lit("earthquake").alias("layer"), S.slot_of("ts", 86_400).alias("slot"), F.col("user_id").cast("string").alias("id"),
@@ -583,8 +583,8 @@ def _slot_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     )
     brings = (F.col("slot") / 86_400).cast("bigint") % 3 == 0
     even = F.col("arrival_seq") % 2 == 0
-    stored = merge.dedupe_lists(rows.where(even), ["layer", "slot", "id"], "arrival_seq", [])
-    incoming = rows.where(even != brings)
+    stored = merge.dedupe_lists(rows.where(even | ~brings), ["layer", "slot", "id"], "arrival_seq", [])
+    incoming = rows.where(~even | ~brings)
     return stored, incoming
 
 
@@ -746,7 +746,7 @@ def region_survivors(spark, sf):
 
 @query
 def freshest_part(spark, sf):
-    return latest.freshest(_part_headers(spark, sf, 0))
+    return latest.freshest(latest.replace_newer(_part_headers(spark, sf, 0), _part_headers(spark, sf, 1)))
 
 
 # --- arrivals -----------------------------------------------------------------------------
@@ -770,8 +770,8 @@ def arrivals(spark, sf):
 def recent_present(spark, sf):
     before, now = _snapshots(spark, sf)
     fresh = A.alive(A.arrivals(before, now, S.epoch_ms("occurred_at")), X.T_MS, 4 * X.HOUR_MS)
-    gone = now.where(F.col("id") % 4 != 0)
-    return A.still_present(gone, fresh).select("id", ms("occurred_at", "occurred_ms"))
+    remaining = now.where(F.col("event_type") != "view")
+    return A.still_present(remaining, fresh).select("id", ms("occurred_at", "occurred_ms"))
 
 
 @query
@@ -783,7 +783,7 @@ def newest_arrivals(spark, sf):
 @query
 def newest_present(spark, sf):
     before, now = _snapshots(spark, sf)
-    return A.newest_present(now.where(F.col("id") % 4 != 0), A.arrivals(before, now, S.epoch_ms("occurred_at"))).select("id", "arrived_ms")
+    return A.newest_present(now.where(F.col("event_type") != "view"), A.arrivals(before, now, S.epoch_ms("occurred_at"))).select("id", "arrived_ms")
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from almagest.functions.scalars import date_of_slot, slot_of
 from almagest.operators.arrivals import arrivals
-from almagest.operators.keys import first_per_key
+from almagest.operators.latest import LatestTable
 from almagest.operators.merge import BY_REVISION
 from almagest.operators.slots import SlotTable, commit_window, with_slot
 from almagest.session import read_table
@@ -22,9 +22,9 @@ from almagest.sources import feeds
 class Ingest:
     """One feed's job. Each micro-batch is safe to repeat.
 
-    Slots: publishing the same content again changes nothing. Latest: a header is only
-    used when it is strictly newer. Ledger and headers: a batch writes to a folder of
-    its own number and so replaces itself. A document that fails is recorded and left
+    Slots: publishing the same content again changes nothing. Latest: a snapshot is
+    only replaced by a strictly newer one. Ledger: a batch writes to a folder of its own
+    number and so replaces itself. A document that fails is recorded and left
     out; it never touches other documents' data.
     """
 
@@ -40,6 +40,10 @@ class Ingest:
     def table(self) -> SlotTable:
         return SlotTable(self.spark, f"{self.root}/slots")
 
+    @property
+    def snapshot(self) -> LatestTable:
+        return LatestTable(self.spark, f"{self.root}/latest")
+
     def _save(self, df: DataFrame, name: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/n={batch_id}")
 
@@ -66,7 +70,11 @@ class Ingest:
                 .where(F.col("as_of").isNotNull())
                 .select(F.lit(self.layer).alias("part"), "as_of")
             )
-            self._save(header, "latest", batch_id)
+            # The snapshot is what the newest document says; the header is one row.
+            newest = records.withColumn("part", F.lit(self.layer)).join(
+                F.broadcast(header.select(F.col("as_of").alias("ingested_at"))), "ingested_at", "left_semi"
+            )
+            self.snapshot.publish(newest, header)
             late = placed.agg(
                 F.count_if("committed").alias("committed"), F.count_if(~F.col("committed")).alias("too_late")
             )
@@ -84,11 +92,6 @@ class Ingest:
             .start()
         )
 
-    def latest(self) -> DataFrame:
-        """Current header: the newest as_of; among equal ones the first published."""
-        rows = self.spark.read.parquet(f"{self.root}/latest")
-        return first_per_key(rows, ["part"], [F.col("as_of").desc(), F.col("n").asc()]).drop("n")
-
     def status(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/status").withColumn("dt", date_of_slot("slot"))
 

@@ -69,7 +69,7 @@ def test_ingest(spark, tmp_path):
     table = job.table
     assert {r.id for r in table.read().collect()} == {"usgs:q1"}  # the old slot is outside the commit window
     assert {r.path[-6:]: r.outcome for r in job.status().collect()} == {"b.json": "failed", "c.json": "empty"}
-    assert job.latest().select(F.unix_seconds("as_of").alias("s")).first().s == DAY0 + 2
+    assert job.snapshot.headers().select(F.unix_seconds("as_of").alias("s")).first().s == DAY0 + 2
     late = spark.read.parquet(f"{job.root}/lateness").agg(F.sum("committed").alias("c"), F.sum("too_late").alias("l")).first()
     assert (late.c, late.l) == (1, 1)
 
@@ -82,10 +82,11 @@ def test_ingest(spark, tmp_path):
     assert table.read().first().quake.magnitude == 6.0
 
     # Everything once more from the start: no new generation, nothing lost, latest not moved back.
-    before = job.latest().collect()
+    before = job.snapshot.headers().collect()
+    assert [r.quake.magnitude for r in job.snapshot.read("earthquake").collect()] == [4.0]  # as the newest document says
     run(str(tmp_path / "check-again"))
     assert table.manifest().count() == 2 and table.read().first().quake.magnitude == 6.0
-    assert job.latest().collect() == before
+    assert job.snapshot.headers().collect() == before
 
 
 def test_arrival_log(spark, tmp_path):
