@@ -133,6 +133,11 @@ class SlotTable:
             wanted = manifest.where(F.col("generation") == generation)
         else:
             wanted = first_per_key(manifest, SLOT_KEY, [F.col("generation").desc()])
+        return self._of(bodies, wanted)
+
+    @staticmethod
+    def _of(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Bodies of the wanted manifest rows; layer and date prune folders while joining."""
         key = ["layer", "dt", "slot", "generation", "publish_id"]
         return bodies.join(wanted.select(*key), key, "left_semi")
 
@@ -153,16 +158,18 @@ class SlotTable:
         publish_id = uuid.uuid4().hex
         incoming = incoming.withColumn("dt", date_of_slot("slot"))
         content = sorted(set(incoming.columns) - NOT_CONTENT)
-        current = self.read()
+        bodies = self._read(self.bodies_path)
         pointers = self.pointers()
-        if current is None or pointers is None:
+        if bodies is None or pointers is None:
             merged = merge(incoming.limit(0), incoming, rule, [*SLOT_KEY, "id"], ties)
             pointers = self.spark.createDataFrame(
                 [], "layer string, slot bigint, generation bigint, hash string"
             )
         else:
-            touched = incoming.select("layer", "dt", "slot").distinct()
-            existing = current.join(touched, ["layer", "dt", "slot"], "left_semi").drop("generation", "publish_id")
+            # The small manifest is cut to the touched slots first; bodies are read once.
+            touched = incoming.select(*SLOT_KEY).distinct()
+            wanted = pointers.join(touched, SLOT_KEY, "left_semi")
+            existing = self._of(bodies, wanted).drop("generation", "publish_id")
             merged = merge(existing, incoming, rule, [*SLOT_KEY, "id"], ties)
         # Used twice: once for the hashes, once for the rows to write.
         merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
@@ -187,11 +194,11 @@ class SlotTable:
                 .persist(StorageLevel.MEMORY_AND_DISK)
             )
             try:
-                bodies = merged.join(
+                changed = merged.join(
                     fresh.select("layer", "dt", "slot", "generation", "publish_id"), ["layer", "dt", "slot"]
                 )
                 # Rebalance: one date's rows meet in few files, and a hot date is still split.
-                bodies.hint("rebalance", "layer", "dt").write.partitionBy("layer", "dt").mode("append").parquet(self.bodies_path)
+                changed.hint("rebalance", "layer", "dt").write.partitionBy("layer", "dt").mode("append").parquet(self.bodies_path)
                 fresh.write.partitionBy("layer", "dt").mode("append").parquet(self.manifest_path)
             finally:
                 fresh.unpersist()
