@@ -28,7 +28,7 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     and not computed again from the start.
     """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almagest.llm import quality_rules, sharding, token_files
+from almagest.llm import quality_rules, repeats, secret_links, sharding, token_files
 from almagest.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,16 @@ def op3_quality_rules(spark, sf):
 @query
 def op8_shard_ring(spark, sf):
     return sharding.places(documents(spark, sf), 24)
+
+
+@query
+def op6_secret_links(spark, sf):
+    return secret_links.scan(documents(spark, sf))
+
+
+ORACLE["op6_secret_links"] = secret_links.SQL
+
+
+@query
+def op5_repeat_removal(spark, sf):
+    return repeats.remove_repeats(documents(spark, sf))
