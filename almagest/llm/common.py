@@ -85,3 +85,104 @@ def mixed(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(factor)
     x ^= x >> np.uint64(32)
     return x
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BLOCK = 1 << 20
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 .. n - 1 of an odd base modulo 2**64, and of its inverse."""
+
+    def run(base: int) -> np.ndarray:
+        out = np.full(n, base, dtype=np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
+    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie end to end, and the text of each word."""
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    edge = offsets[(offsets > 0) & (offsets < len(data))]
+    starts[edge] |= inside[edge]
+    ends[edge - 1] |= inside[edge - 1]
+    at, to = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    out = np.empty(len(at), dtype=np.uint64)
+    done = 0
+    while done < len(at):  # in blocks of whole words, so that long texts need no long tables
+        first = at[done]
+        until = max(done + 1, int(np.searchsorted(to, first + _BLOCK, side="right")))
+        part = data[first : to[until - 1]].astype(np.uint64) + np.uint64(1)
+        up, down = powers(len(part))
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * up, out=sums[1:])
+        a, b = at[done:until] - first, to[done:until] - first
+        out[done:until] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)
+        done = until
+    return mixed(out), np.searchsorted(offsets, at, side="right") - 1
+
+
+def shingles(words: np.ndarray, text: np.ndarray, n_texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of `size` words, and the n + 1 offsets of the texts.
+
+    A text with fewer words has one shingle of all of them, a text without words none.
+    """
+    counts = np.bincount(text, minlength=n_texts)
+    offsets = np.concatenate(([0], np.cumsum(counts)))
+    have = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    out_offsets = np.concatenate(([0], np.cumsum(have)))
+    owner = np.repeat(np.arange(n_texts), have)
+    first = np.arange(len(owner)) - out_offsets[owner] + offsets[owner]
+    short = counts[owner] < size
+    h = np.zeros(len(owner), dtype=np.uint64)
+    for i in range(size):
+        there = ~short | (i < counts[owner])
+        word = words[np.minimum(first + i, max(len(words) - 1, 0))] if len(words) else h
+        h = np.where(there, (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + word, h)
+    return mixed(h), out_offsets
+
+
+def labelled(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hashes joined with how often they occurred before in the same text."""
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    key = mixed(h + owner.astype(np.uint64) * np.uint64(_BASE))
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(key) else np.zeros(0, dtype=bool)
+    run = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, dtype=np.int64)
+    out = h.copy()
+    again = run > 0
+    out[order[again]] = mixed(h[order[again]] + run[again].astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+    return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of the connected components of (a, b); label is the smallest node.
+
+    Minimum labels travel along edges and then jump to the label's label, so the number
+    of rounds grows with the logarithm of a component's width. Only a count per round
+    reaches the driver.
+    """
+    both = settled(
+        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges"
+    )
+    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "component-labels")
+    while True:
+        heard = (
+            both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("h_node")).agg(F.min("label").alias("heard"))
+        )
+        told = labels.join(heard, F.col("node") == F.col("h_node"), "left").select(
+            "node", F.col("label").alias("old"), F.least("label", "heard").alias("label")
+        )
+        target = labels.select(F.col("node").alias("t_node"), F.col("label").alias("t_label"))
+        jumped = told.join(target, F.col("label") == F.col("t_node")).select("node", "old", F.least("label", "t_label").alias("label"))
+        after = settled(jumped, "component-labels")
+        labels = after.drop("old")
+        if after.where("old <> label").isEmpty():
+            return labels

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almagest.llm import quality_rules, repeats, secret_links, sharding, token_files
+from almagest.llm import order_minhash, quality_rules, repeats, secret_links, sharding, token_files
 from almagest.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ ORACLE["op6_secret_links"] = secret_links.SQL
 @query
 def op5_repeat_removal(spark, sf):
     return repeats.remove_repeats(documents(spark, sf))
+
+
+@query
+def op9_order_minhash(spark, sf):
+    return order_minhash.near_duplicates(documents(spark, sf))

@@ -35,22 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almagest.llm.common import bytes_of, mixed, settled, sliced, text_or_empty
+from almagest.llm.common import bytes_of, mixed, powers, settled, sliced, text_or_empty
 
 LENGTH = 200
 K = 48
 MAX_CLASSES = 20_000
 BLOCK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
 
 
 def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -58,7 +48,7 @@ def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
     return mixed((sums[k:] - sums[:-k]) * down[:n])
