@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from almagest.llm import order_minhash, quality_rules, repeats, secret_links, sharding, token_files
+from almagest.llm import decontamination, order_minhash, quality_rules, repeats, secret_links, sharding, token_files
 from almagest.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,12 @@ def op5_repeat_removal(spark, sf):
 @query
 def op9_order_minhash(spark, sf):
     return order_minhash.near_duplicates(documents(spark, sf))
+
+
+@query
+def op10_decontamination(spark, sf):
+    found = decontamination.leaks(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"))
+
+
+ORACLE["op10_decontamination"] = decontamination.SQL
