@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almagest.llm import decontamination, order_minhash, quality_rules, repeats, secret_links, sharding, token_files
-from almagest.llm.common import documents
+from almagest.llm import (
+    decontamination,
+    mixture,
+    order_minhash,
+    quality_rules,
+    repeats,
+    reply_trees,
+    secret_links,
+    sharding,
+    token_counts,
+    token_files,
+)
+from almagest.llm.common import documents, settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +78,29 @@ def op10_decontamination(spark, sf):
 
 
 ORACLE["op10_decontamination"] = decontamination.SQL
+
+
+@query
+def op2_soft_mixture(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows, _ = mixture.rated(documents(spark, sf), mixture.quality_domains(labels), mixture.WEIGHTS)
+    parts = [F.round(F.col("p")[i], 6).alias(f"p_{d}") for i, d in enumerate(mixture.WEIGHTS)]
+    return rows.select("doc_id", "n_tokens", *parts, F.round("rate", 4).alias("rate"), "copies")
+
+
+@query
+def op4_reply_trees(spark, sf):
+    conversations = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], conversations.schema)
+    messages = settled(reply_trees.by_turn(conversations.unionByName(extra)), "tree-messages")
+    written = settled(reply_trees.formatted(messages, reply_trees.paths(messages, per_tree=1)), "tree-texts")
+    return reply_trees.read_back(written)
+
+
+@query
+def op7_token_counts(spark, sf):
+    import public_tokenizers
+
+    docs = documents(spark, sf).select("doc_id", "text")
+    return token_counts.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
