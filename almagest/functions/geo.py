@@ -16,11 +16,11 @@ from almagest.functions.scalars import clamp, col
 # --- fixed values -----------------------------------------------------------------
 MEAN_LON_EPS = 1e-9
 HATCH_LINES = 12
-HATCH_MAX_SEGMENTS = 240
-HATCH_SPAN_LIMIT = 170.0
 DEAD_RECKON_LAT_LIMIT = 85.0
 DEAD_RECKON_MIN_COS = 0.2
 
+UNWRAP_CHUNK = 128
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Name a value inside an expression, so that it is evaluated once."""
@@ -111,7 +111,20 @@ def unwrap_line(line: Column, anchor: Column | None = None) -> Column:
             lambda x: F.struct(x.alias("prev"), F.concat(acc["out"], F.array(F.array(x, p[1]))).alias("out")),
         )
 
-    return F.aggregate(line, F.struct(start.alias("prev"), empty.alias("out")), step, lambda acc: acc["out"])
+    def fold(points: Column, prev: Column) -> Column:
+        return F.aggregate(points, F.struct(prev.alias("prev"), empty.alias("out")), step)
+
+    def chunk(acc: Column, at: Column) -> Column:
+        return let(
+            fold(F.slice(line, at, UNWRAP_CHUNK), acc["prev"]),
+            lambda part: F.struct(part["prev"].alias("prev"), F.concat(acc["out"], part["out"]).alias("out")),
+        )
+
+    # A fold copies what it has built at every step, so it works on short chunks, and
+    # only whole chunks are appended to the long result.
+    starts = F.sequence(F.lit(1), F.size(line), F.lit(UNWRAP_CHUNK))
+    whole = F.aggregate(starts, F.struct(start.alias("prev"), empty.alias("out")), chunk, lambda acc: acc["out"])
+    return F.when(F.size(line) > 0, whole).otherwise(line)
 
 
 def unwrap_rings(rings: Column) -> Column:
@@ -175,9 +188,11 @@ def valid_ring(ring: Column) -> Column:
     return let(kept, lambda k: F.when(F.size(k) >= 3, k))
 
 
-def hatch(rings: Column) -> Column:
+def hatch(rings: Column, max_segments: int | None = None, span_limit: float | None = None) -> Column:
     """Clip a family of 45-degree lines to a polygon.
 
+    All segments are returned; a renderer's limits apply only where the caller sets them.
+
     In u = lat - lon and v = lat + lon the lines are u = const, so each is a
     scanline: its crossings with the edges are sorted by v and paired, which cuts
     holes out by itself. Returns an array of struct(line, lon0, lat0, lon1, lat1).
@@ -230,18 +245,17 @@ def hatch(rings: Column) -> Column:
         return F.flatten(F.transform(crossed, lambda c: pairs(c["k"], c["u"], c["v"])))
 
     def clip(usable: Column, b: Column) -> Column:
-        drawable = (
-            (b["u_max"] > b["u_min"])
-            & (b["lon_span"] <= HATCH_SPAN_LIMIT)
-            & (b["lat_span"] <= HATCH_SPAN_LIMIT)
-        )
+        drawable = b["u_max"] > b["u_min"]
+        if span_limit is not None:
+            drawable = drawable & (b["lon_span"] <= span_limit) & (b["lat_span"] <= span_limit)
         edges = F.flatten(F.transform(usable, lambda r: F.transform(r, lambda p, i: edge(r, p, i))))
         frame = F.struct(
             b["u_min"].alias("low"),
             ((b["u_max"] - b["u_min"]) / float(HATCH_LINES + 1)).alias("spacing"),
             edges.alias("edges"),
         )
-        return F.when(drawable, F.slice(let(frame, scan), 1, HATCH_MAX_SEGMENTS))
+        segments = let(frame, scan)
+        return F.when(drawable, segments if max_segments is None else F.slice(segments, 1, max_segments))
 
     usable_rings = F.filter(rings, lambda r: F.size(r) >= 3)
     clipped = let(usable_rings, lambda u: let(_bounds(F.flatten(u)), lambda b: clip(u, b)))

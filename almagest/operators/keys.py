@@ -19,16 +19,6 @@ def unnest(df: DataFrame, array: Column, keep: list[Column | str], pos: str, val
     return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy row-local work on an input with few splits.
-
-    A small file is one split and would be worked on by one task. Inputs with at least
-    as many splits as cores pass unchanged, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def computed_once(df: DataFrame, keep: list[Column | str], fields: list[Column]) -> DataFrame:
     """Select costly columns so that they are evaluated exactly once per row.
 

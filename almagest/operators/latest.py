@@ -75,7 +75,8 @@ class LatestTable:
 
     Records are written before the header that makes them visible, as in the slot
     table; the header of a part is its newest as_of, the first one among equal times.
-    One writer at a time.
+    Records lie in folders of their part and publish, so a read opens the current ones
+    only, however many were published before. One writer at a time.
     """
 
     spark: SparkSession
@@ -113,7 +114,7 @@ class LatestTable:
         fresh = fresh.withColumns({"publish_id": F.lit(publish_id), "uploaded_at": now}).persist()
         try:
             records.join(fresh.select("part", "publish_id"), "part").hint("rebalance", "part").write.partitionBy(
-                "part"
+                "part", "publish_id"
             ).mode("append").parquet(self.records_path)
             fresh.write.mode("append").parquet(self.headers_path)
         finally:
@@ -125,9 +126,12 @@ class LatestTable:
         current = self.headers()
         if current is None:
             return None
-        rows = read_table(self.spark, self.records_path, ["part"])
+        rows = read_table(self.spark, self.records_path, ["part", "publish_id"])
         if rows is None:
             return None
         if part is not None:
             rows, current = rows.where(F.col("part") == part), current.where(F.col("part") == part)
+        # One id per part at most: a filter on folders.
+        ids = [r.publish_id for r in current.select("publish_id").distinct().collect()]
+        rows = rows.where(F.col("publish_id").isin(ids))
         return rows.join(current.select("part", "publish_id"), ["part", "publish_id"], "left_semi")

@@ -145,7 +145,7 @@ def poll_summary(polls: DataFrame) -> DataFrame:
     reached = F.col("outcome").isin("ok", "not_modified")
     return polls.groupBy("layer").agg(
         F.max(F.when(good, F.col("at"))).alias("last_ok"),
-        F.max_by("as_of_ms", F.when(good, F.col("at"))).alias("as_of_ms"),
+        F.max(F.when(good, F.struct("at", "as_of_ms")))["as_of_ms"].alias("as_of_ms"),
         F.max(F.when(reached, F.col("at"))).alias("last_success"),
         F.max(F.when(F.col("outcome") == "schema_error", F.col("at"))).alias("last_schema_error"),
         F.max(F.when(F.col("outcome") == "error", F.col("at"))).alias("last_error"),
@@ -153,28 +153,26 @@ def poll_summary(polls: DataFrame) -> DataFrame:
     )
 
 
-def error_counts(polls: DataFrame, summary: DataFrame, layers: list[str] | None = None) -> DataFrame:
+def error_counts(polls: DataFrame, summary: DataFrame) -> DataFrame:
     """Consecutive errors per layer since the last success that cleared them.
 
-    The summary is cut to the named layers, so it has at most that many rows and is
-    broadcast; the poll log is not shuffled by a key that a few layers own.
+    The summaries have one row per layer, however many layers there are; Spark sends
+    them to the poll log if they are small and splits a hot layer if they are not.
 
     A good answer always clears; "not modified" clears only while no schema error is
     open. So of the rows after the last good answer, those before the first schema
     error may still clear.
     """
-    known = F.col("layer").isin(layers or list(STALE_AFTER_MS))
-    few = summary.where(known).select("layer", "last_ok")
-    since = polls.join(F.broadcast(few), "layer").where(
+    since = polls.join(summary.select("layer", "last_ok"), "layer").where(
         F.col("last_ok").isNull() | (F.col("at") > F.col("last_ok"))
     )
     broken = since.groupBy("layer").agg(
         F.min(F.when(F.col("outcome") == "schema_error", F.col("at"))).alias("broken_at")
     )
-    marked = since.join(F.broadcast(broken), "layer")
+    marked = since.join(broken, "layer")
     clears = (F.col("outcome") == "not_modified") & (F.col("broken_at").isNull() | (F.col("at") < F.col("broken_at")))
     cleared = marked.groupBy("layer").agg(F.max(F.when(clears, F.col("at"))).alias("cleared_at"))
-    left = marked.join(F.broadcast(cleared), "layer").where(F.col("cleared_at").isNull() | (F.col("at") > F.col("cleared_at")))
+    left = marked.join(cleared, "layer").where(F.col("cleared_at").isNull() | (F.col("at") > F.col("cleared_at")))
     return left.groupBy("layer").agg(F.count_if(F.col("outcome").isin("error", "schema_error")).alias("error_count"))
 
 

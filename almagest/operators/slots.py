@@ -111,14 +111,17 @@ class SlotTable:
         """Every published generation."""
         return self._read(self.manifest_path)
 
-    def pointers(self, dt: str | None = None) -> DataFrame | None:
-        """Current generation per slot; with a date, only that partition is read."""
+    def pointers(self, dt: str | list[str] | None = None) -> DataFrame | None:
+        """Current generation per slot; with dates, only those partitions are read.
+
+        A slot lies in one date, so its generations are ranked within the date.
+        """
         manifest = self.manifest()
         if manifest is None:
             return None
-        if dt:
-            manifest = manifest.where(F.col("dt") == dt)
-        return first_per_key(manifest, SLOT_KEY, [F.col("generation").desc()])
+        if dt is not None:
+            manifest = manifest.where(F.col("dt").isin([dt] if isinstance(dt, str) else dt))
+        return first_per_key(manifest, ["dt", *SLOT_KEY], [F.col("generation").desc()])
 
     def read(self, layer: str | None = None, generation: int | None = None, known_at_ms: int | None = None) -> DataFrame | None:
         """Records of the current generation, of a pinned one, or as known at a time."""
@@ -158,18 +161,21 @@ class SlotTable:
         publish_id = uuid.uuid4().hex
         incoming = incoming.withColumn("dt", date_of_slot("slot"))
         content = sorted(set(incoming.columns) - NOT_CONTENT)
-        bodies = self._read(self.bodies_path)
-        pointers = self.pointers()
+        # Their dates, at most one per folder of the table, prune what is read of it.
+        dates = [r.dt for r in incoming.select("dt").distinct().collect()]
+        bodies = self._read(self.bodies_path) if dates else None
+        pointers = self.pointers(dates) if dates else None
         if bodies is None or pointers is None:
             merged = merge(incoming.limit(0), incoming, rule, [*SLOT_KEY, "id"], ties)
             pointers = self.spark.createDataFrame(
                 [], "layer string, slot bigint, generation bigint, hash string"
             )
         else:
-            # The small manifest is cut to the touched slots first; bodies are read once.
-            touched = incoming.select(*SLOT_KEY).distinct()
-            wanted = pointers.join(touched, SLOT_KEY, "left_semi")
-            existing = self._of(bodies, wanted).drop("generation", "publish_id")
+            # The manifest is cut to the touched slots before anything of it is ranked.
+            touched = incoming.select("dt", *SLOT_KEY).distinct()
+            rows = self.manifest().where(F.col("dt").isin(dates)).join(touched, ["dt", *SLOT_KEY], "left_semi")
+            pointers = first_per_key(rows, ["dt", *SLOT_KEY], [F.col("generation").desc()])
+            existing = self._of(bodies.where(F.col("dt").isin(dates)), pointers).drop("generation", "publish_id")
             merged = merge(existing, incoming, rule, [*SLOT_KEY, "id"], ties)
         # Used twice: once for the hashes, once for the rows to write.
         merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
@@ -204,7 +210,10 @@ class SlotTable:
                 fresh.unpersist()
         finally:
             merged.unpersist()
-        return self.manifest().where(F.col("publish_id") == publish_id)
+        published = self.manifest()
+        if published is None:  # nothing was ever written: no row, but the same columns
+            return self.spark.createDataFrame([], fresh.schema)
+        return published.where(F.col("publish_id") == publish_id)
 
 
 def retained(df: DataFrame, date: str, now_ms: int, days: int) -> DataFrame:

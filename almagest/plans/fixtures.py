@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almagest.functions.scalars import epoch_ms, slot_of
-from almagest.operators.keys import spread
 from almagest.session import use_utc
 
 T_MS = 1_705_276_800_000  # 2024-01-15 00:00:00
@@ -105,9 +104,14 @@ def news_text(spark: SparkSession, sf_dir: str, file_sec: int = 900) -> DataFram
     )
 
 
+def over_all_tasks(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all tasks, because documents and rings are rendered from them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = lon_lat(F.col("event_id"))
-    return spread(table(spark, sf_dir, "events")).withColumns({"lon": lon, "lat": lat})
+    return over_all_tasks(table(spark, sf_dir, "events")).withColumns({"lon": lon, "lat": lat})
 
 
 def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +180,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One box per customer; keys 0 and 24 modulo 24 touch the antimeridian."""
     key = F.col("c_custkey")
     lon, lat = box_centre(key)
-    rows = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(key.alias("id"), lon.alias("lon"), lat.alias("lat"))
+    rows = over_all_tasks(table(spark, sf_dir, "customer").select("c_custkey")).select(key.alias("id"), lon.alias("lon"), lat.alias("lat"))
     return rows.select("id", square(F.col("id"), F.col("lon"), F.col("lat")).alias("rings"))
 
 

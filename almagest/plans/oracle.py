@@ -190,7 +190,7 @@ edge AS (
     coalesce(lead(lat - lon) OVER w, first_value(lat - lon) OVER w) AS ub, coalesce(lead(lat + lon) OVER w, first_value(lat + lon) OVER w) AS vb
   FROM {rings} WINDOW w AS (PARTITION BY id, ring ORDER BY pos)),
 bound AS (SELECT id, min(lat - lon) AS lo, max(lat - lon) AS hi FROM {rings} GROUP BY id
-  HAVING max(lat - lon) > min(lat - lon) AND max(lon) - min(lon) <= 170 AND max(lat) - min(lat) <= 170),
+  HAVING max(lat - lon) > min(lat - lon)),
 scan AS (SELECT id, k AS line, lo + (hi - lo) / 13 * k AS u FROM bound, range(1, 13) r(k)),
 cross_ AS (
   SELECT s.id, s.line, s.u, e.va + (s.u - e.ua) / (e.ub - e.ua) * (e.vb - e.va) AS v
@@ -409,16 +409,14 @@ SELECT dt, min(slot) AS gap_from, max(slot) AS gap_to, count(*) AS slots FROM is
 
 # --- latest -------------------------------------------------------------------------------
 
-PARTS = f"""hd AS (SELECT event_type || ':' || user_id % 6 AS part, event_id % 2 AS side, (epoch_us(max(ts)) // 1000) AS as_of FROM events
-  WHERE ts <= make_timestamp({T} * 1000) GROUP BY 1, 2)"""
+PARTS = f"""hd AS (SELECT event_type || ':' || user_id % 6 AS part, event_id % 2 AS side, (epoch_us(max(ts)) // 1000) AS as_of FROM events GROUP BY 1, 2)"""
 ORACLE["publish_monotone"] = f"""
 WITH {PARTS} SELECT part, as_of, side = 1 AS replaced FROM hd QUALIFY row_number() OVER (PARTITION BY part ORDER BY as_of DESC, side) = 1"""
 ORACLE["latest_publish"] = f"""
 WITH {EV}, e AS (SELECT CAST(user_id % 6 AS VARCHAR) AS part, event_id, ts, ms FROM ev),
-o AS (SELECT *, 0 AS n FROM e WHERE ts BETWEEN make_timestamp({T - DAY} * 1000) AND make_timestamp({T} * 1000)
-  UNION ALL SELECT *, 1 FROM e WHERE part < '3' AND ts BETWEEN make_timestamp({T} * 1000) AND make_timestamp({T + DAY} * 1000)
-  UNION ALL SELECT *, 1 FROM e WHERE part >= '3' AND ts BETWEEN make_timestamp({T - 2 * DAY} * 1000) AND make_timestamp({T - DAY} * 1000)),
-h AS (SELECT part, n, max(ms) AS as_of FROM o GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY part ORDER BY max(ms) DESC, n) = 1)
+o AS (SELECT *, event_id % 2 AS n FROM e),
+h AS (SELECT part, n, max(ms) + CASE WHEN n = 0 THEN 0 WHEN part < '3' THEN {40 * DAY} ELSE {-40 * DAY} END AS as_of FROM o GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY as_of DESC, n) = 1)
 SELECT part, count(*) AS records, max(event_id) AS last_id, any_value(as_of) AS as_of FROM o JOIN h USING (part, n) GROUP BY part"""
 ORACLE["region_survivors"] = f"""
 WITH {OBS}, k AS (SELECT *, {T} - sampled_ms > {12 * HOUR} AS stale FROM obs WHERE sampled_ms <= {T}
@@ -434,8 +432,8 @@ SELECT coalesce(string_agg(part, ',' ORDER BY part) FILTER (ts IS NULL), '') AS
   (epoch_us(max(ts) FILTER (valid)) // 1000) AS updated_ms, count(*) FILTER (valid) AS present,
   count(*) FILTER (NOT valid) = 0 AND count(*) FILTER (valid) > 0 AS publish FROM j"""
 ORACLE["changed_parts"] = f"""
-WITH {EV}, a AS (SELECT user_id AS part, max(ms) AS v FROM ev WHERE ts BETWEEN make_timestamp({T - 4 * DAY} * 1000) AND make_timestamp({T - DAY} * 1000) GROUP BY 1),
-b AS (SELECT user_id AS part, max(ms) AS v FROM ev WHERE ts BETWEEN make_timestamp({T - 3 * DAY} * 1000) AND make_timestamp({T} * 1000) GROUP BY 1)
+WITH {EV}, a AS (SELECT user_id AS part, max(ms) AS v FROM ev WHERE ms <= {T - DAY} GROUP BY 1),
+b AS (SELECT user_id AS part, max(ms) AS v FROM ev WHERE ms <= {T} GROUP BY 1)
 SELECT coalesce(a.part, b.part) AS part, a.v AS old_as_of, b.v AS as_of, CASE WHEN a.part IS NULL THEN 'added' WHEN b.part IS NULL THEN 'removed' ELSE 'moved' END AS change
 FROM a FULL OUTER JOIN b ON a.part = b.part WHERE a.v IS DISTINCT FROM b.v"""
 
@@ -444,9 +442,9 @@ FROM a FULL OUTER JOIN b ON a.part = b.part WHERE a.v IS DISTINCT FROM b.v"""
 FRESH = f"""{EV}, fresh AS (SELECT event_id AS id, ms AS arrived_ms, event_type FROM ev
   WHERE ts <= make_timestamp({T} * 1000) AND ts > make_timestamp({T - 12 * HOUR} * 1000))"""
 ORACLE["arrivals"] = f"WITH {FRESH} SELECT id, arrived_ms FROM fresh"
-ORACLE["recent_present"] = f"WITH {FRESH} SELECT id, arrived_ms AS occurred_ms FROM fresh WHERE {T} - arrived_ms < {4 * HOUR} AND event_type <> 'view'"
+ORACLE["recent_present"] = f"WITH {FRESH} SELECT id, arrived_ms AS occurred_ms FROM fresh WHERE {T} - arrived_ms < {4 * HOUR}"
 ORACLE["newest_arrivals"] = f"WITH {FRESH} SELECT id, arrived_ms FROM fresh ORDER BY arrived_ms DESC, id LIMIT 100"
-ORACLE["newest_present"] = f"WITH {FRESH} SELECT id, arrived_ms FROM fresh WHERE event_type <> 'view' ORDER BY arrived_ms DESC, id LIMIT 1"
+ORACLE["newest_present"] = f"WITH {FRESH} SELECT id, arrived_ms FROM fresh ORDER BY arrived_ms DESC, id LIMIT 1"
 ORACLE["event_log"] = f"""
 WITH {EV} SELECT CASE WHEN event_type = 'error' THEN 'alert' ELSE 'quake' END AS kind, ms AS sort_ms, CAST(event_id AS VARCHAR) AS id FROM ev
 WHERE ts >= make_timestamp({T - DAY} * 1000) AND ts <= make_timestamp({T} * 1000) ORDER BY sort_ms DESC, kind DESC, id LIMIT 50"""

@@ -534,12 +534,6 @@ def put_if_absent(spark, sf):
     return landed.absent_only(new, known, "file_key")
 
 
-@query
-def raw_listing(spark, sf):
-    X.use_utc(spark)
-    return landed.listing(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-
-
 @query
 def region_dimension(spark, sf):
     """Events per collection region, with the region's position."""
@@ -677,7 +671,7 @@ def gap_bands(spark, sf):
 
 def _part_headers(spark, sf, side: int) -> DataFrame:
     part = F.concat_ws(":", "event_type", (F.col("user_id") % 6).cast("string"))
-    rows = X.table(spark, sf, "events").where((eid() % 2 == side) & (F.col("ts") <= S.instant(X.table(spark, sf, "events"), "ts", X.T_MS)))
+    rows = X.table(spark, sf, "events").where(eid() % 2 == side)
     return rows.groupBy(part.alias("part")).agg(S.epoch_ms(F.max("ts")).alias("as_of"))
 
 
@@ -710,7 +704,8 @@ def changed_parts(spark, sf):
     rows = X.table(spark, sf, "events")
 
     def snapshot(t: int) -> DataFrame:
-        seen = rows.where(F.col("ts").between(S.instant(rows, "ts", t - 3 * X.DAY_MS), S.instant(rows, "ts", t)))
+        """Each user's newest event as of t."""
+        seen = rows.where(F.col("ts") <= S.instant(rows, "ts", t))
         return seen.groupBy(F.col("user_id").alias("part")).agg(S.epoch_ms(F.max("ts")).alias("as_of"))
 
     return latest.changed_parts(snapshot(X.T_MS - X.DAY_MS), snapshot(X.T_MS))
@@ -718,18 +713,19 @@ def changed_parts(spark, sf):
 
 @query
 def latest_publish(spark, sf):
-    """Two publishes of region snapshots; an older snapshot of a region leaves it as it was."""
+    """Two publishes of region snapshots; an older snapshot of a region leaves it as it was.
+
+    The first one holds the even events. The second one holds the odd events, 40 days
+    newer for regions 0 to 2 and 40 days older for the others.
+    """
     region = (F.col("user_id") % 6).cast("string")
     rows = X.table(spark, sf, "events").select(region.alias("part"), "event_id", "ts", "value")
     at = S.epoch_ms(F.max("ts"))
+    shift = F.when(F.col("part") < "3", 40 * X.DAY_MS).otherwise(-40 * X.DAY_MS)
     table = latest.LatestTable(X.use_utc(spark), shared_dir(spark, "latest"))
-    first = temporal.slice_occurrence(rows, X.T_MS, X.DAY_MS, at="ts")
+    first, second = rows.where(eid() % 2 == 0), rows.where(eid() % 2 == 1)
     table.publish(first, first.groupBy("part").agg(at.alias("as_of")), at_ms=X.T_MS)
-    # Regions 0 to 2 move a day on, the others come with a snapshot of the day before.
-    later = temporal.slice_occurrence(rows, X.T_MS + X.DAY_MS, X.DAY_MS, at="ts").where(F.col("part") < "3")
-    older = temporal.slice_occurrence(rows, X.T_MS - X.DAY_MS, X.DAY_MS, at="ts").where(F.col("part") >= "3")
-    second = later.unionByName(older)
-    table.publish(second, second.groupBy("part").agg(at.alias("as_of")), at_ms=X.T_MS + 60_000)
+    table.publish(second, second.groupBy("part").agg((at + shift).alias("as_of")), at_ms=X.T_MS + 60_000)
     counted = table.read().groupBy("part").agg(F.count(F.lit(1)).alias("records"), F.max("event_id").alias("last_id"))
     return counted.join(table.headers().select("part", "as_of"), "part")
 
@@ -770,8 +766,7 @@ def arrivals(spark, sf):
 def recent_present(spark, sf):
     before, now = _snapshots(spark, sf)
     fresh = A.alive(A.arrivals(before, now, S.epoch_ms("occurred_at")), X.T_MS, 4 * X.HOUR_MS)
-    remaining = now.where(F.col("event_type") != "view")
-    return A.still_present(remaining, fresh).select("id", ms("occurred_at", "occurred_ms"))
+    return A.still_present(now, fresh).select("id", ms("occurred_at", "occurred_ms"))
 
 
 @query
@@ -783,7 +778,7 @@ def newest_arrivals(spark, sf):
 @query
 def newest_present(spark, sf):
     before, now = _snapshots(spark, sf)
-    return A.newest_present(now.where(F.col("event_type") != "view"), A.arrivals(before, now, S.epoch_ms("occurred_at"))).select("id", "arrived_ms")
+    return A.newest_present(now, A.arrivals(before, now, S.epoch_ms("occurred_at"))).select("id", "arrived_ms")
 
 
 @query
@@ -807,7 +802,7 @@ def _status(spark, sf) -> DataFrame:
 def layer_status(spark, sf):
     polls = X.polls(spark, sf)
     summary = ledger.poll_summary(polls)
-    counts = ledger.error_counts(polls, summary, list(POLL_LIMITS))
+    counts = ledger.error_counts(polls, summary)
     status = ledger.layer_status(summary, X.LAST_MS, POLL_LIMITS, ("click", "purchase"))
     return status.join(counts, "layer", "left").withColumn("error_count", F.coalesce("error_count", F.lit(0)))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -65,15 +64,10 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for intermediate tables, below the cluster's shared folder.
 
-    Only a local session may fall back to a folder of this machine, because there
-    driver and executors are one process.
+    Where that is not set, the warehouse is used: driver and executors share it too.
+    The session's settings are not changed.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="almagest-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+    base = spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -5,7 +5,8 @@ skipped, so that records and counters come from the same pass. A document withou
 the expected array is a schema failure, which is not the same as an empty array; see
 `document_status`.
 
-`arrival_seq` orders elements as they arrived: document number * 2^32 + position.
+`arrival_seq` orders elements as they arrived: document number * 2^32 + position, or the
+document's own `seq_base` + position where the documents have one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from almagest.operators.keys import computed_once, unnest
 from almagest.schema import BUCKET_SEC, EXPIRED_GRACE_MS, GEOMETRY, SLOT_MAX_SEC, SLOT_MIN_SEC, SLOT_SEC
 
 OK, DROPPED, SKIPPED = "ok", "dropped", "skipped"
+ELEMENTS_PER_DOC = 1 << 20
 
 
 def parsed(docs: DataFrame, container: str) -> DataFrame:
@@ -53,8 +55,13 @@ def elements(docs: DataFrame, container: str, carry: list[Column | str]) -> Data
     """One row per element of every good document, carrying only the named columns."""
     opened = computed_once(docs, [c for c in docs.columns if c != "body"], [V.parse("body").alias("doc")])
     items = V.elements(F.col("doc"), f"$.{container}")
-    rows = unnest(opened, items, [*carry, "doc_no"], "pos", "item")
-    return rows.withColumn("arrival_seq", F.col("doc_no") * F.lit(2**32) + F.col("pos"))
+    known = "seq_base" in docs.columns
+    base = F.col("seq_base") if known else F.col("doc_no") * F.lit(2**32)
+    rows = unnest(opened, items, [*carry, "doc_no", base.alias("seq_base")], "pos", "item")
+    fits = F.col("pos")
+    if known:
+        fits = F.when(F.col("pos") < ELEMENTS_PER_DOC, fits).otherwise(F.raise_error(F.lit("too many elements in one document")))
+    return rows.withColumn("arrival_seq", F.col("seq_base") + fits).drop("seq_base")
 
 
 def counters(rows: DataFrame) -> DataFrame:

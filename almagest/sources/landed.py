@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from almagest.functions.scalars import hour_of, stamp_time
 from almagest.operators.keys import computed_once
-from almagest.schema import NEWS_COLUMNS, OVERSIZE_BYTES, REGIONS
+from almagest.schema import NEWS_COLUMNS, REGIONS
 
 EXPORT_NAME = r"([0-9]{14})\.export\.CSV\.zip$"
 
@@ -61,12 +63,14 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
-def unzip_exports(spark: SparkSession, path: str, limit_bytes: int = OVERSIZE_BYTES) -> tuple[DataFrame, DataFrame]:
+def unzip_exports(spark: SparkSession, path: str, limit_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Lines of the first entry of every zip, and one status row per zip.
 
-    The uncompressed size is checked before anything is inflated. Oversize and broken
-    zips give no lines, only a status. Lines are handed on in batches, so a large
-    file never becomes one large Python object.
+    Both come from the same rows. An entry is read through once, so that its checksum
+    is known to be right, before the first of its lines is handed on: a damaged zip gives
+    no line and the status `failed`. Lines leave in batches, so a large file never becomes
+    one large Python object. Nothing is too large unless the caller sets a limit; then
+    the file's status is `degraded` and tells its size.
     """
     files = (
         spark.read.format("binaryFile")
@@ -75,38 +79,42 @@ def unzip_exports(spark: SparkSession, path: str, limit_bytes: int = OVERSIZE_BY
         .select("path", "content")
     )
 
-    def inflate(batches: Iterator[pd.DataFrame], want_lines: bool) -> Iterator[pd.DataFrame]:
+    def lines_of(archive: zipfile.ZipFile, entry: zipfile.ZipInfo, name: str) -> Iterator[pd.DataFrame]:
+        with archive.open(entry) as stream:
+            text = io.TextIOWrapper(stream, "utf-8", errors="replace", newline="\n")
+            numbered = enumerate(line.rstrip("\n") for line in text)
+            while part := list(islice(numbered, 10_000)):
+                numbers, lines = zip(*part, strict=True)
+                yield rows(name, line_no=list(numbers), line=list(lines))
+
+    def rows(name: str, **columns: list) -> pd.DataFrame:
+        n = len(next(iter(columns.values())))
+        out = {"path": [name] * n, "line_no": None, "line": None, "uncompressed": None, "outcome": None, **columns}
+        return pd.DataFrame({c: [None] * n if v is None else v for c, v in out.items()})
+
+    def inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
+            for name, content in zip(batch["path"], batch["content"], strict=True):
                 size, outcome = None, "ok"
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as archive:
                         entry = archive.infolist()[0]
                         size = entry.file_size
-                        if size > limit_bytes:
+                        if limit_bytes is not None and size > limit_bytes:
                             outcome = "degraded"
-                        elif want_lines:
-                            with archive.open(entry) as stream:
-                                text = io.TextIOWrapper(stream, "utf-8", errors="replace", newline="\n")
-                                numbers, lines = [], []
-                                for number, line in enumerate(text):
-                                    numbers.append(number)
-                                    lines.append(line.rstrip("\n"))
-                                    if len(lines) == 10_000:
-                                        yield pd.DataFrame({"path": name, "line_no": numbers, "line": lines})
-                                        numbers, lines = [], []
-                                if lines:
-                                    yield pd.DataFrame({"path": name, "line_no": numbers, "line": lines})
                         else:
-                            archive.testzip()
-                except (zipfile.BadZipFile, IndexError, OSError, EOFError, ValueError):
+                            with archive.open(entry) as stream:
+                                while stream.read(1 << 20):
+                                    pass
+                            yield from lines_of(archive, entry, name)
+                except (zipfile.BadZipFile, zlib.error, IndexError, OSError, EOFError, ValueError, NotImplementedError):
                     outcome = "failed"
-                if not want_lines:
-                    yield pd.DataFrame({"path": [name], "uncompressed": [size], "outcome": [outcome]})
+                yield rows(name, uncompressed=[size], outcome=[outcome])
 
-    lines = files.mapInPandas(lambda it: inflate(it, True), "path string, line_no bigint, line string")
-    status = files.mapInPandas(lambda it: inflate(it, False), "path string, uncompressed bigint, outcome string")
-    return lines, status
+    kind = "path string, line_no bigint, line string, uncompressed bigint, outcome string"
+    both = files.mapInPandas(inflate, kind)
+    lines = both.where(F.col("outcome").isNull()).select("path", "line_no", "line")
+    return lines, both.where(F.col("outcome").isNotNull()).select("path", "uncompressed", "outcome")
 
 
 def news_lines(lines: DataFrame) -> DataFrame:

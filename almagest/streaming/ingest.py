@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql.streaming import StreamingQuery
 
 from almagest.functions.scalars import date_of_slot, slot_of
 from almagest.operators.arrivals import arrivals
+from almagest.operators.keys import first_per_key
 from almagest.operators.latest import LatestTable
 from almagest.operators.merge import BY_REVISION
 from almagest.operators.slots import SlotTable, commit_window, with_slot
@@ -18,6 +20,23 @@ from almagest.session import read_table
 from almagest.sources import feeds
 
 
+DOCS_PER_SECOND = 1 << 12
+
+
+def numbered_documents(docs: DataFrame) -> DataFrame:
+    """Documents with doc_no, their order by landing time and then path, and seq_base.
+
+    Documents that landed in the same second have numbers of their own, so no two elements
+    share an arrival_seq. Only paths and times are ordered, one second at a time.
+    """
+    rank = F.row_number().over(Window.partitionBy("second").orderBy("landed_at", "path")) - 1
+    fits = F.when(F.col("rank") < DOCS_PER_SECOND, F.col("rank")).otherwise(F.raise_error(F.lit("too many documents in one second")))
+    order = docs.select("path", "landed_at", F.unix_seconds("landed_at").alias("second")).withColumn("rank", rank)
+    number = F.col("second") * DOCS_PER_SECOND + fits
+    order = order.select("path", "landed_at", number.alias("doc_no"), (number * feeds.ELEMENTS_PER_DOC).alias("seq_base"))
+    return docs.join(order, ["path", "landed_at"])
+
+
 @dataclass(frozen=True)
 class Ingest:
     """One feed's job. Each micro-batch is safe to repeat.
@@ -26,6 +45,13 @@ class Ingest:
     only replaced by a strictly newer one. Ledger: a batch writes to a folder of its own
     number and so replaces itself. A document that fails is recorded and left
     out; it never touches other documents' data.
+
+    `prepare` adds to the documents (path, body, landed_at) what the normalizer needs and
+    what tells snapshots apart: `part` (a region, say; default: the layer), `as_of` (the
+    time of the cycle or file; default: landing), `scheduled_at` (default: as_of).
+    Documents of one part with the same as_of are pages of one snapshot. Records whose own
+    time says nothing about their slot (intervals, file rows) take the document's:
+    `time_column="ingested_at"`.
     """
 
     spark: SparkSession
@@ -35,6 +61,7 @@ class Ingest:
     normalize: Callable[[DataFrame], DataFrame]
     rule: tuple[str, ...] = tuple(BY_REVISION)
     time_column: str = "occurred_at"
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
     @property
     def table(self) -> SlotTable:
@@ -47,38 +74,46 @@ class Ingest:
     def _save(self, df: DataFrame, name: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/n={batch_id}")
 
+    def _prepared(self, docs: DataFrame) -> DataFrame:
+        docs = numbered_documents(docs)
+        docs = self.prepare(docs) if self.prepare else docs
+        defaults = {"part": F.lit(self.layer), "as_of": F.col("landed_at")}
+        docs = docs.withColumns({c: v for c, v in defaults.items() if c not in docs.columns})
+        if "scheduled_at" not in docs.columns:
+            docs = docs.withColumn("scheduled_at", F.col("as_of"))
+        return docs.withColumn("ingested_at", F.col("as_of"))
+
     def batch(self, docs: DataFrame, batch_id: int) -> None:
         """`docs` has path, body, landed_at."""
-        docs = docs.withColumns(
-            {"doc_no": F.unix_seconds("landed_at"), "ingested_at": F.col("landed_at")}
-        ).persist()
-        rows = self.normalize(docs).persist()
+        docs = self._prepared(docs).persist()
+        rows = self.normalize(docs).join(docs.select("doc_no", "part", "as_of"), "doc_no").persist()
         try:
-            outcomes = feeds.document_status(docs, self.container, keep=["path", "landed_at"])
-            status = outcomes.where(F.col("outcome") != "ok").select(
-                F.lit(self.layer).alias("layer"), slot_of("landed_at").alias("slot"), "landed_at", "path", "outcome"
+            outcomes = feeds.document_status(docs, self.container, keep=["path", "landed_at", "part", "as_of", "doc_no"]).persist()
+            counts = rows.groupBy("doc_no").agg(
+                F.count_if(F.col("verdict") == feeds.DROPPED).alias("dropped"), F.count_if(F.col("verdict") == feeds.SKIPPED).alias("skipped")
             )
+            told = outcomes.join(counts, "doc_no", "left").na.fill(0, ["dropped", "skipped"])
+            status = told.where((F.col("outcome") != "ok") | (F.col("dropped") > 0)).select(
+                F.lit(self.layer).alias("layer"), slot_of("landed_at").alias("slot"), "landed_at", "path",
+                F.when((F.col("outcome") == "ok") & (F.col("dropped") > 0), "partial").otherwise(F.col("outcome")).alias("outcome"),
+                "elements", "dropped", "skipped",
+            )
             self._save(status, "status", batch_id)
-            records = feeds.records(rows)
-            placed = commit_window(
-                with_slot(records, self.time_column), F.unix_seconds("ingested_at")
-            )
-            self.table.publish(placed.where("committed").drop("committed"), list(self.rule))
-            header = (
-                outcomes.where(F.col("outcome") != "failed")
-                .agg(F.max("landed_at").alias("as_of"))
-                .where(F.col("as_of").isNotNull())
-                .select(F.lit(self.layer).alias("part"), "as_of")
-            )
-            # The snapshot is what the newest document says; the header is one row.
-            newest = records.withColumn("part", F.lit(self.layer)).join(
-                F.broadcast(header.select(F.col("as_of").alias("ingested_at"))), "ingested_at", "left_semi"
-            )
+            own = rows.where(F.col("verdict") == feeds.OK).drop("verdict", "doc_no")
+            records = own.drop("part", "as_of")
+            placed = commit_window(with_slot(records, self.time_column), F.unix_seconds("ingested_at"))
+            dropped = rows.agg(F.count_if(F.col("verdict") == feeds.DROPPED).alias("n")).first().n
+            self.table.publish(placed.where("committed").drop("committed"), list(self.rule), dropped=dropped)
+            header = outcomes.where(F.col("outcome") != "failed").groupBy("part").agg(F.max("as_of").alias("as_of"))
+            # A part's snapshot is all pages of its newest cycle, each id once.
+            newest = own.join(header, ["part", "as_of"], "left_semi").drop("as_of")
+            newest = first_per_key(newest, ["part", "id"], [F.col("revision").desc(), F.col("arrival_seq").desc()])
             self.snapshot.publish(newest, header)
             late = placed.agg(
                 F.count_if("committed").alias("committed"), F.count_if(~F.col("committed")).alias("too_late")
             )
             self._save(late, "lateness", batch_id)
+            outcomes.unpersist()
         finally:
             rows.unpersist()
             docs.unpersist()

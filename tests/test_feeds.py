@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import random
 import json
 import zipfile
 
@@ -155,6 +156,22 @@ def test_zip_exports(spark, tmp_path):
     assert got == {"20260110120000": "ok", "20260110121500": "degraded", "20260110123000": "failed", "20260110124500": "failed"}
     stamped = lines.select(F.unix_seconds(landed.export_stamp("path")).alias("s")).first()
     assert stamped.s == 1_768_046_400
+    # without a limit nothing is too large
+    lines, status = landed.unzip_exports(spark, str(tmp_path))
+    assert lines.count() == 3 and status.where("outcome = 'degraded'").count() == 0
+
+
+def test_damaged_zip_gives_no_line(spark, tmp_path):
+    rng = random.Random(4)
+    text = "".join(f"{rng.random()}\n" for _ in range(30_000))
+    path = tmp_path / "20260110120000.export.CSV.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.CSV", text)
+    raw = bytearray(path.read_bytes())
+    raw[len(raw) * 9 // 10] ^= 0xFF
+    path.write_bytes(raw)
+    lines, status = landed.unzip_exports(spark, str(tmp_path))
+    assert lines.count() == 0 and [r.outcome for r in status.collect()] == ["failed"]
 
 
 def test_landing_archive_and_listing(spark, tmp_path):

@@ -23,4 +23,4 @@ def test_query(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"raw_listing"}
+    assert set(QUERIES) == set(ORACLE)

@@ -20,11 +20,14 @@ def values(df):
 
 
 def test_revision_beats_arrival(spark):
-    old = frame(spark, [(S0, "a", 200, 7.1, 1), (S0, "b", 1, 1.0, 2)])
-    new = frame(spark, [(S0, "a", 100, 6.8, 3), (S0, "b", 1, 2.0, 4), (S0, "c", 1, 3.0, 5)])
+    """Every pair of revisions in either order, against the rule stated in words."""
+    pairs = [(f"r{old}-{new}", old, new) for old in range(4) for new in range(4)]
+    stored = frame(spark, [(S0, k, old, 1.0, i) for i, (k, old, _) in enumerate(pairs)])
+    fresh = frame(spark, [(S0, k, new, 2.0, 100 + i) for i, (k, _, new) in enumerate(pairs)])
     key = ["layer", "slot", "id"]
-    assert values(merge.merge_by_revision(old, new, keys=key)) == {(S0, "a"): 7.1, (S0, "b"): 2.0, (S0, "c"): 3.0}
-    assert values(merge.merge_by_arrival(old, new, keys=key)) == {(S0, "a"): 6.8, (S0, "b"): 2.0, (S0, "c"): 3.0}
+    by_revision = values(merge.merge_by_revision(stored, fresh, keys=key))
+    assert by_revision == {(S0, k): 1.0 if old > new else 2.0 for k, old, new in pairs}
+    assert set(values(merge.merge_by_arrival(stored, fresh, keys=key)).values()) == {2.0}
 
 
 def test_fingerprint_ignores_order_and_sees_every_change(spark):

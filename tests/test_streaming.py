@@ -68,7 +68,7 @@ def test_ingest(spark, tmp_path):
     run()
     table = job.table
     assert {r.id for r in table.read().collect()} == {"usgs:q1"}  # the old slot is outside the commit window
-    assert {r.path[-6:]: r.outcome for r in job.status().collect()} == {"b.json": "failed", "c.json": "empty"}
+    assert {r.path[-6:]: r.outcome for r in job.status().collect()} == {"a.json": "partial", "b.json": "failed", "c.json": "empty"}
     assert job.snapshot.headers().select(F.unix_seconds("as_of").alias("s")).first().s == DAY0 + 2
     late = spark.read.parquet(f"{job.root}/lateness").agg(F.sum("committed").alias("c"), F.sum("too_late").alias("l")).first()
     assert (late.c, late.l) == (1, 1)
@@ -89,6 +89,71 @@ def test_ingest(spark, tmp_path):
     assert job.snapshot.headers().collect() == before
 
 
+def aircraft(hex_code, lon=10.0):
+    return {"hex": hex_code, "lon": lon, "lat": 5.0, "gs": 400}
+
+
+def test_ingest_keeps_regions_apart(spark, tmp_path):
+    """Two regions in one batch, one of them twice in the same second."""
+    folder = tmp_path / "landing"
+    folder.mkdir()
+
+    def regions(docs):
+        region = F.regexp_extract("path", r"region-([a-z]+)", 1)
+        return docs.withColumns({"region_id": region, "part": F.concat(F.lit("flight-"), region)})
+
+    job = Ingest(spark, str(tmp_path / "out"), "flight", "ac", feeds.aircraft, time_column="sampled_at", prepare=regions)
+    land(folder, "region-a.json", {"ac": [aircraft("a1"), aircraft("a2"), {"hex": "broken"}]}, DAY0)
+    land(folder, "region-b.json", {"ac": [aircraft("b1"), aircraft("b2")]}, DAY0 + 1)
+    land(folder, "region-b-2.json", {"ac": [aircraft("b2", 20.0)]}, DAY0 + 1)
+    job.start(landed.stream_documents(spark, str(folder), 100), str(tmp_path / "check")).awaitTermination()
+    got = {(r.part, r.entity_id) for r in job.snapshot.read().collect()}
+    assert got == {("flight-a", "a1"), ("flight-a", "a2"), ("flight-b", "b1"), ("flight-b", "b2")}
+    seqs = [r.arrival_seq for r in job.snapshot.read().collect()]
+    assert len(seqs) == len(set(seqs))
+    assert {r.dropped for r in job.table.manifest().collect()} == {1}
+    assert {(r.outcome, r.dropped) for r in job.status().collect()} == {("partial", 1)}
+    # only region b moves on
+    land(folder, "region-b-3.json", {"ac": [aircraft("b9")]}, DAY0 + 100)
+    job.start(landed.stream_documents(spark, str(folder), 100), str(tmp_path / "check")).awaitTermination()
+    assert {r.entity_id for r in job.snapshot.read("flight-b").collect()} == {"b9"}
+    assert {r.entity_id for r in job.snapshot.read("flight-a").collect()} == {"a1", "a2"}
+
+
+def alert(event, page_day):
+    return {
+        "properties": {"eventid": event, "episodeid": 1, "eventtype": "EQ", "alertlevel": "Red", "iscurrent": "true",
+                       "fromdate": f"2025-12-{page_day:02d}T00:00:00", "todate": "2026-01-03T00:00:00", "datemodified": "2026-01-01T00:00:00"},
+        "geometry": {"coordinates": [10, 20]},
+    }
+
+
+def test_ingest_of_intervals_uses_the_schedule(spark, tmp_path):
+    """All pages of a cycle are one snapshot; alerts that began long ago are committed."""
+    folder = tmp_path / "landing"
+    folder.mkdir()
+
+    def cycle(docs):
+        at = F.to_timestamp(F.regexp_extract("path", r"cycle-(\d+)", 1).cast("bigint"))
+        return docs.withColumns({"as_of": F.timestamp_seconds(F.unix_seconds(at))})
+
+    job = Ingest(spark, str(tmp_path / "out"), "weather", "features", feeds.alerts, time_column="ingested_at", prepare=cycle)
+    land(folder, f"cycle-{DAY0}-p1.json", {"features": [alert(1, 10), alert(2, 11)]}, DAY0 + 5)
+    land(folder, f"cycle-{DAY0}-p2.json", {"features": [alert(3, 12)]}, DAY0 + 9)
+    job.start(landed.stream_documents(spark, str(folder), 100), str(tmp_path / "check")).awaitTermination()
+    assert {r.source_id for r in job.snapshot.read().collect()} == {"1:1", "2:1", "3:1"}
+    assert {r.slot for r in job.table.read().collect()} == {DAY0} and job.table.read().count() == 3
+
+
+def test_first_publish_may_be_empty(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    job = Ingest(spark, str(tmp_path / "out"), "earthquake", "features", feeds.quakes)
+    land(folder, "old.json", {"features": [feature("old", DAY0 - 90_000, 4.0)]}, DAY0)
+    job.start(landed.stream_documents(spark, str(folder), 100), str(tmp_path / "check")).awaitTermination()
+    assert job.table.read() is None or job.table.read().count() == 0
+
+
 def test_arrival_log(spark, tmp_path):
     log = ArrivalLog(spark, str(tmp_path / "log"))
     ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "id string")
