@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from almagest.functions.geo import valid_lon_lat
-from almagest.functions.scalars import blank_to_null, finite, news_rank, number_text, text_number
+from almagest.functions.scalars import blank_to_null, finite, news_rank, number_text, slot_of, text_number
 from almagest.operators.keys import computed_once
-from almagest.schema import GRID_DEG
+from almagest.schema import GRID_DEG, SLOT_SEC
 
 
 def cell_index(lon: Column, lat: Column, deg: float = GRID_DEG) -> tuple[Column, Column]:
@@ -120,3 +120,23 @@ def news_counters(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file_sec").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("kept")).alias("dropped")
     )
+
+
+def cell_counts(df: DataFrame, degrees: float, at: str = "occurred_at", width_sec: int = SLOT_SEC) -> DataFrame:
+    """(cell_x, cell_y, slot, records) of rows with a valid position."""
+    x, y = cell_index(F.col("lon"), F.col("lat"), degrees)
+    rows = df.where(valid_lon_lat("lon", "lat")).select(x.alias("cell_x"), y.alias("cell_y"), slot_of(at, width_sec).alias("slot"))
+    return rows.groupBy("cell_x", "cell_y", "slot").agg(F.count(F.lit(1)).alias("records"))
+
+
+def density_baseline(counts: DataFrame, width_sec: int = SLOT_SEC, reach_sec: int = 86_400) -> DataFrame:
+    """`counts` with `baseline`: the mean count of the slots in the time before, empty ones too.
+
+    A cell's history is worked on in pieces as long as the reach; every count is repeated
+    once, in the next piece, so that a piece sees all it needs and no cell is one task.
+    """
+    piece = F.floor(F.col("slot") / reach_sec).cast("bigint")
+    both = counts.withColumn("__piece", F.explode(F.array(piece, piece + 1)))
+    window = Window.partitionBy("cell_x", "cell_y", "__piece").orderBy("slot").rangeBetween(-reach_sec, -width_sec)
+    seen = both.withColumn("baseline", F.coalesce(F.sum("records").over(window), F.lit(0)) / (reach_sec // width_sec))
+    return seen.where(F.col("__piece") == piece).drop("__piece")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from almagest.functions.geo import wrap_lon
 from almagest.functions.scalars import epoch_ms, instant
 from almagest.operators.keys import first_per_key
 from almagest.schema import TEMPORAL_SPEC
@@ -109,6 +110,56 @@ def occurrences_at_instants(df: DataFrame, instants: Instants, window_ms: int, a
     )
 
 
+def intervals_at_instants(df: DataFrame, instants: Instants, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """Interval slices for an axis of instants: each interval names the instants it holds at.
+
+    It holds from the first instant at or after its start up to the last one before its end,
+    or to the end of the axis while it is open.
+    """
+    first = instants.first_not_before(epoch_ms(start))
+    ended = F.when(F.col(end).isNotNull(), instants.first_not_before(epoch_ms(end)))
+    last = F.coalesce(ended, F.lit(instants.count).cast("bigint")) - 1
+    last = F.least(last, F.lit(instants.count - 1).cast("bigint"))
+    return (
+        df.where(first <= last)
+        .withColumn("__index", F.explode_outer(F.sequence(first, last)))
+        .withColumn("instant_ms", instants.at(F.col("__index")))
+        .drop("__index")
+    )
+
+
+def positions_at_instants(
+    df: DataFrame, instants: Instants, max_gap_ms: int, entity: str = "entity_id", at: str = "sampled_at", seq: str = "arrival_seq"
+) -> DataFrame:
+    """(entity, instant_ms, lon, lat): positions between samples at most `max_gap_ms` apart.
+
+    Straight in longitude and latitude, the short way round the antimeridian. Only the
+    first and the last sample between two instants can matter, so rows are reduced to
+    these before anything is ordered. Equal times: the first arrival counts.
+    """
+    index = "__index"
+    sample = F.struct(epoch_ms(at).alias("ms"), F.col(seq).alias("seq"), "lon", "lat")
+    newest = F.struct(epoch_ms(at).alias("ms"), (-F.col(seq)).alias("seq"), "lon", "lat")
+    ends = (
+        df.withColumn(index, instants.first_not_before(epoch_ms(at)))
+        .groupBy(entity, index)
+        .agg(F.min(sample).alias("first"), F.max(newest).alias("last"))
+    )
+    order = Window.partitionBy(entity).orderBy(index)
+    pairs = ends.select(entity, index, F.col("last").alias("a"), F.lead("first").over(order).alias("b"), F.lead(index).over(order).alias("until"))
+    pairs = pairs.where((F.col("b.ms") - F.col("a.ms") <= max_gap_ms) & (F.col(index) < instants.count))
+    until = F.least(F.col("until"), F.lit(instants.count).cast("bigint")) - 1
+    dense = pairs.withColumn(index, F.explode(F.sequence(F.col(index), until))).withColumn("instant_ms", instants.at(F.col(index)))
+    share = (F.col("instant_ms") - F.col("a.ms")) / (F.col("b.ms") - F.col("a.ms"))
+    turn = wrap_lon(F.col("b.lon") - F.col("a.lon"))
+    return dense.select(
+        entity,
+        "instant_ms",
+        wrap_lon(F.col("a.lon") + turn * share).alias("lon"),
+        (F.col("a.lat") + (F.col("b.lat") - F.col("a.lat")) * share).alias("lat"),
+    )
+
+
 def repair_legacy(df: DataFrame) -> DataFrame:
     """Repair alerts written under the old contract, on read; repeating it changes nothing.
 

@@ -57,6 +57,24 @@ ORACLE["slice_interval"] = f"""
 WITH {IV} SELECT id, from_ms, to_ms, status FROM iv
 WHERE from_ms <= {T_ORDERS} AND (to_ms IS NULL OR {T_ORDERS} < to_ms) AND status <> 'cancelled'"""
 
+ORACLE["intervals_many_instants"] = f"""
+WITH {IV}, axis AS (SELECT {T_ORDERS - 180 * DAY} + i * {30 * DAY} AS instant_ms FROM range(12) r(i))
+SELECT instant_ms, id, status FROM iv JOIN axis ON from_ms <= instant_ms AND (to_ms IS NULL OR instant_ms < to_ms)"""
+ORACLE["interpolated_positions"] = f"""
+WITH {OBS}, {INSTANTS}, s AS (SELECT * FROM obs WHERE lat <= 90 QUALIFY row_number() OVER (PARTITION BY entity_id, sampled_ms ORDER BY arrival_seq) = 1),
+p AS (SELECT entity_id, sampled_ms AS t0, lon AS x0, lat AS y0, lead(sampled_ms) OVER w AS t1, lead(lon) OVER w AS x1, lead(lat) OVER w AS y1
+  FROM s WINDOW w AS (PARTITION BY entity_id ORDER BY sampled_ms)),
+f AS (SELECT entity_id, instant_ms, x0, y0, y1, (instant_ms - t0) / CAST(t1 - t0 AS DOUBLE) AS q,
+    (x1 - x0 + 180) - floor((x1 - x0 + 180) / 360) * 360 - 180 AS turn
+  FROM p JOIN ins ON instant_ms >= t0 AND instant_ms < t1 WHERE t1 - t0 <= {5 * DAY})
+SELECT entity_id, instant_ms, round((x0 + turn * q + 180) - floor((x0 + turn * q + 180) / 360) * 360 - 180, 6) + 0 AS lon,
+  round(y0 + (y1 - y0) * q, 6) + 0 AS lat FROM f"""
+CELLS = f"""cc AS (SELECT CAST(floor(lon / %s) AS BIGINT) AS cell_x, CAST(floor(lat / %s) AS BIGINT) AS cell_y, {slot(900)} AS slot, count(*) AS records
+  FROM ev WHERE {VALID} GROUP BY 1, 2, 3)"""
+ORACLE["cell_counts"] = f"WITH {EV}, {CELLS % (10, 10)} SELECT * FROM cc"
+ORACLE["density_baseline"] = f"""
+WITH {EV}, {CELLS % (45, 45)} SELECT cell_x, cell_y, slot, records,
+  round(coalesce(sum(records) OVER (PARTITION BY cell_x, cell_y ORDER BY slot RANGE BETWEEN 86400 PRECEDING AND 900 PRECEDING), 0) / 96.0, 6) AS baseline FROM cc"""
 ORACLE["latest_per_entity"] = f"""
 WITH {OBS} SELECT entity_id, sampled_ms, arrival_seq, {T} - sampled_ms > {12 * HOUR} AS stale
 FROM obs WHERE sampled_ms <= {T}
@@ -381,6 +399,10 @@ ORACLE["slot_changed"] = f"WITH {SIDES} SELECT slot, count(*) AS records FROM me
 ORACLE["slot_publish"] = f"""
 WITH {SIDES} SELECT slot, count(*) AS records, CAST(sum(revision) AS BIGINT) AS revisions,
   CASE WHEN slot IN (SELECT slot FROM diff) AND slot IN (SELECT slot FROM stored) THEN 1 ELSE 0 END AS generation FROM merged GROUP BY slot"""
+ORACLE["slot_read_pinned"] = f"""
+WITH {SIDES}, first AS (SELECT slot, revision FROM stored UNION ALL SELECT slot, revision FROM merged WHERE slot NOT IN (SELECT slot FROM stored))
+SELECT slot, count(*) AS records, CAST(sum(revision) AS BIGINT) AS revisions FROM first GROUP BY slot"""
+ORACLE["slot_known_at"] = f"WITH {SIDES} SELECT slot, count(*) AS records, CAST(sum(revision) AS BIGINT) AS revisions FROM stored GROUP BY slot"
 ORACLE["slot_distribution"] = f"SELECT {slot(900)} AS slot, count(*) AS records FROM events GROUP BY 1"
 ORACLE["commit_slots"] = f"""
 WITH c AS (SELECT event_type, {slot(900)} AS slot, CAST(floor((floor((epoch_us(ts) // 1000) / 1000) + event_id % 4 * 900) / 900) * 900 AS BIGINT) AS cur FROM events)

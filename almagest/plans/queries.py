@@ -99,6 +99,30 @@ def occurrences_many_instants(spark, sf):
     return rows.select("instant_ms", "id", ms("occurred_at", "occurred_ms"))
 
 
+@query
+def intervals_many_instants(spark, sf):
+    axis = temporal.Instants(X.T_ORDERS_MS - 180 * X.DAY_MS, 30 * X.DAY_MS, 12)
+    return temporal.intervals_at_instants(X.intervals(spark, sf), axis).select("instant_ms", "id", "status")
+
+
+@query
+def interpolated_positions(spark, sf):
+    rows = X.observations(spark, sf).where(F.col("lat") <= 90.0)
+    out = temporal.positions_at_instants(rows, instants(), 5 * X.DAY_MS)
+    return out.select("entity_id", "instant_ms", r6("lon", "lon"), r6("lat", "lat"))
+
+
+@query
+def cell_counts(spark, sf):
+    return grid.cell_counts(X.occurrences(spark, sf), 10.0)
+
+
+@query
+def density_baseline(spark, sf):
+    rows = grid.density_baseline(grid.cell_counts(X.occurrences(spark, sf), 45.0))
+    return rows.select("cell_x", "cell_y", "slot", "records", r6("baseline", "baseline"))
+
+
 def _world(spark, sf) -> DataFrame:
     layers = {
         "earthquake": X.occurrences(spark, sf).select("id", "occurred_at", "lon", "lat"),
@@ -606,6 +630,30 @@ def slot_publish(spark, sf):
     return current.join(table.pointers().select("slot", "generation"), "slot")
 
 
+def _published_twice(spark, sf) -> slots.SlotTable:
+    stored, incoming = _slot_sides(spark, sf)
+    table = slots.SlotTable(X.use_utc(spark), shared_dir(spark, "slots"))
+    table.publish(stored, at_ms=X.T_MS)
+    table.publish(incoming, at_ms=X.T_MS + 60_000)
+    return table
+
+
+def _slot_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("slot").agg(F.count(F.lit(1)).alias("records"), F.sum("revision").alias("revisions"))
+
+
+@query
+def slot_read_pinned(spark, sf):
+    """The first generation of every slot, whenever it was published."""
+    return _slot_sums(_published_twice(spark, sf).read("earthquake", generation=0))
+
+
+@query
+def slot_known_at(spark, sf):
+    """What was known between the two publishes."""
+    return _slot_sums(_published_twice(spark, sf).read("earthquake", known_at_ms=X.T_MS + 30_000))
+
+
 @query
 def slot_distribution(spark, sf):
     return slots.with_slot(X.occurrences(spark, sf)).groupBy("slot").agg(F.count(F.lit(1)).alias("records"))
