@@ -63,7 +63,7 @@ ORACLE["op6_secret_links"] = secret_links.SQL
 
 @query
 def op5_repeat_removal(spark, sf):
-    return repeats.remove_repeats(documents(spark, sf))
+    return repeats.digests(documents(spark, sf))
 
 
 @query

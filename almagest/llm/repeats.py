@@ -19,8 +19,8 @@ A sampled, bidirectional form of the enhanced suffix array:
 K-mers with more than `max_classes` different contexts would be one large group; they are
 resolved exactly by counting windows, which aggregates before it shuffles.
 
-Defined cases. A null text is empty. Rows may share an id: they are told apart by a
-fingerprint of their text, and rows equal in both repeat each other entirely. Texts below
+Defined cases. A null text is empty. Ids play no part: rows may share one or have none, and
+rows of equal texts repeat each other entirely. Texts below
 `length` bytes lose nothing. An empty table gives an empty result. Other columns are not
 read. Matches never cross texts; strings are judged on the input alone.
 """
@@ -83,65 +83,102 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np
     return positions, np.concatenate(hashes)[first]
 
 
+KEY = ["k1", "k2"]
+
+
 def _keyed(df: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, text): what is removed depends on the text alone, so texts are
+    known by two hashes and equal ones are handled once, with their number."""
     text = text_or_empty()
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
+    keys = F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text.alias("text"))
 
 
 def find_anchors(keyed: DataFrame, length: int, k: int) -> DataFrame:
+    """(tid, k1, k2, anchors): one row per text; tid is a number, short to shuffle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
         for batch in sliced(batches, 2):
             data, offsets = bytes_of(batch.column(2))
             at, h = anchors(data, offsets[1:], length, k)
-            text = np.searchsorted(offsets, at, side="right") - 1
+            bounds = np.searchsorted(at, offsets)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            pairs = pa.StructArray.from_arrays([pa.array((at - offsets[text]).astype(np.int64)), pa.array(h.view(np.int64))], names=["pos", "kmer"])
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pairs)
+            tids = pa.array(np.arange(number, number + batch.num_rows))
+            number += batch.num_rows
+            yield pa.RecordBatch.from_arrays([tids, batch.column(0), batch.column(1), lists], names=["tid", *KEY, "anchors"])
+
+    rows = keyed.select(*KEY, "text")
+    return rows.mapInArrow(run, "tid long, k1 long, k2 long, anchors array<struct<pos:long,kmer:long>>")
+
+
+def _around(text: bytes, p: int, length: int, k: int) -> tuple[bytes, int]:
+    """Bytes around an anchor at byte p and how many of them lie before it."""
+    start = max(0, p - (length - k))
+    return text[start : p + length], p - start
+
+
+def _listed(batch: pa.RecordBatch, text: int, at: int, length: int, k: int) -> tuple[list[int], list[bytes], list[int], pa.StructArray]:
+    """Row, bytes and bytes before the anchor of all anchors listed in a batch."""
+    owner, contexts, lefts = [], [], []
+    lists = batch.column(at)
+    flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    pos = flat.field("pos").to_numpy().tolist()
+    for i, t in enumerate(batch.column(text).to_pylist()):
+        data = t.encode()
+        for j in range(ends[i], ends[i + 1]):
+            context, left = _around(data, pos[j], length, k)
+            owner.append(i)
+            contexts.append(context)
+            lefts.append(left)
+    return owner, contexts, lefts, flat
+
+
+def find_classes(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """(tid, copies, pos, kmer, class, lo, hi) of the anchors listed in `at`: the class names
+    the bytes around the anchor, lo before and hi from it on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2, 1 << 20):
+            owner, contexts, lefts, flat = _listed(batch, 2, 3, length, k)
+            names = b"".join(hashlib.blake2b(c + p.to_bytes(4, "little"), digest_size=8).digest() for c, p in zip(contexts, lefts, strict=True))
+            take = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(at - offsets[text]), pa.array(h.view(np.int64))],
-                names=["doc_id", "print", "pos", "kmer"],
+                [
+                    batch.column(0).take(take),
+                    batch.column(1).take(take),
+                    flat.field("pos"),
+                    flat.field("kmer"),
+                    pa.array(np.frombuffer(names, dtype=np.int64)),
+                    pa.array(lefts, pa.int32()),
+                    pa.array([len(c) - p for c, p in zip(contexts, lefts, strict=True)], pa.int32()),
+                ],
+                names=["tid", "copies", "pos", "kmer", "class", "lo", "hi"],
             )
 
-    return keyed.mapInArrow(run, "doc_id long, print long, pos long, kmer long")
+    rows = texts.select("tid", "copies", "text", "at")
+    return rows.mapInArrow(run, "tid long, copies long, pos long, kmer long, class long, lo int, hi int")
 
 
-def find_contexts(keyed: DataFrame, wanted: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc_id, print, pos, kmer, class, left, context) of the anchors in `wanted`."""
-    per_text = wanted.groupBy(F.col("doc_id").alias("w_doc"), F.col("print").alias("w_print")).agg(
-        F.collect_set(F.struct("pos", "kmer")).alias("at")
-    )
-    rows = keyed.join(per_text, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("print") == F.col("w_print")))
-    left, right = length - k, length
+def find_contexts(texts: DataFrame, classes: DataFrame, length: int, k: int) -> DataFrame:
+    """(kmer, class, n, left, context): the bytes of classes, from one occurrence of each."""
+    row = F.struct(F.col("first.pos").alias("pos"), "kmer", "class", "n")
+    per_text = classes.groupBy(F.col("first.tid").alias("tid")).agg(F.collect_list(row).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2, 1 << 20):
-            docs, prints, texts, lists = batch.columns
-            out: list[list] = [[], [], [], [], [], [], []]
-            flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            pos, kmer = flat.field("pos").to_numpy(), flat.field("kmer").to_numpy()
-            for i, text in enumerate(texts.to_pylist()):
-                data = text.encode()
-                for j in range(ends[i], ends[i + 1]):
-                    p = int(pos[j])
-                    start = max(0, p - left)
-                    context = data[start : p + right]
-                    name = hashlib.blake2b(context + (p - start).to_bytes(4, "little"), digest_size=16).digest()
-                    for column, value in zip(out, (i, i, p, kmer[j], name, p - start, context), strict=True):
-                        column.append(value)
-            take = pa.array(out[0], pa.int64())
+        for batch in sliced(batches, 0, 1 << 20):
+            _, contexts, lefts, flat = _listed(batch, 0, 1, length, k)
             yield pa.RecordBatch.from_arrays(
-                [
-                    docs.take(take),
-                    prints.take(take),
-                    pa.array(out[2], pa.int64()),
-                    pa.array(out[3], pa.int64()),
-                    pa.array(out[4], pa.binary()),
-                    pa.array(out[5], pa.int32()),
-                    pa.array(out[6], pa.binary()),
-                ],
-                names=["doc_id", "print", "pos", "kmer", "class", "left", "context"],
+                [flat.field("kmer"), flat.field("class"), flat.field("n"), pa.array(lefts, pa.int32()), pa.array(contexts, pa.binary())],
+                names=["kmer", "class", "n", "left", "context"],
             )
 
-    return rows.select("doc_id", "print", "text", "at").mapInArrow(
-        run, "doc_id long, print long, pos long, kmer long, class binary, left int, context binary"
-    )
+    rows = texts.select("tid", "text").join(per_text, "tid").select("text", "at")
+    return rows.mapInArrow(run, "kmer long, class long, n long, left int, context binary")
 
 
 def _matrix(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +320,7 @@ def _tree(classes: DataFrame, length: int, k: int, groups: bool) -> DataFrame:
                     names=["kmer", "class", "lo", "hi"],
                 )
 
-    kind = "kmer long, class binary, " + ("repeat binary, lo int, hi int" if groups else "lo int, hi int")
+    kind = "kmer long, class long, " + ("repeat binary, lo int, hi int" if groups else "lo int, hi int")
     rows = classes.select("kmer", "class", "left", "context", "n")
     return rows.repartition("kmer").sortWithinPartitions("kmer").mapInArrow(run, kind)
 
@@ -304,28 +341,42 @@ def _by_windows(classes: DataFrame, length: int, k: int) -> DataFrame:
 
 
 class RepeatIndex:
-    """Anchors with contexts that occur again, and their classes, as written tables."""
+    """Anchors that occur again, and the classes of their contexts, as written tables."""
 
     def __init__(self, df: DataFrame, length: int = LENGTH, k: int = K, max_classes: int = MAX_CLASSES):
         self.length, self.k = length, k
         self.keyed = _keyed(df)
         found = settled(find_anchors(self.keyed, length, k), "repeat-anchors")
-        again = found.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kmer")
-        self.contexts = settled(
-            find_contexts(self.keyed, found.join(again, "kmer", "left_semi"), length, k), "repeat-contexts"
+        each = found.select("tid", F.inline("anchors"))
+        again = each.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kmer")
+        listed = each.join(again, "kmer", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("pos", "kmer")).alias("at"))
+        # equal texts list equal anchors; one of them stands for all
+        listed = listed.join(found.select("tid", *KEY), "tid").groupBy(*KEY).agg(F.min(F.struct("tid", "at")).alias("one"))
+        # from here on only the texts that hold such an anchor are needed
+        once = self.keyed.groupBy(*KEY).agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+        self.texts = settled(once.join(listed, KEY).select(*KEY, "one.tid", "copies", "text", "one.at"), "repeat-texts")
+        self.members = settled(find_classes(self.texts, length, k), "repeat-members")
+        # contexts that are equal are counted, so copies are one row
+        names = self.members.groupBy("kmer", "class").agg(
+            F.sum("copies").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct("tid", "pos")).alias("first")
         )
-        names = self.contexts.groupBy("kmer", "class").agg(F.count(F.lit(1)).alias("n"))
+        names = settled(names, "repeat-names")
         per_kmer = names.groupBy("kmer").agg(F.count(F.lit(1)).alias("n_classes"))
-        texts = self.contexts.groupBy("kmer", "class").agg(
-            F.count(F.lit(1)).alias("n"), F.any_value("left").alias("left"), F.any_value("context").alias("context")
-        )
-        self.classes = settled(texts.join(per_kmer, "kmer"), "repeat-classes")
-        self.usual = self.classes.where(F.col("n_classes") <= max_classes)
+        self.classes = settled(names.join(per_kmer, "kmer"), "repeat-classes")
+        self.alone = self.classes.where("n_classes = 1")
+        self.usual = self.classes.where(F.col("n_classes").between(2, max_classes))
         self.large = self.classes.where(F.col("n_classes") > max_classes)
 
+    def _contexts(self, classes: DataFrame) -> DataFrame:
+        return find_contexts(self.texts, classes, self.length, self.k)
+
     def coverage(self) -> DataFrame:
         """(kmer, class, lo, hi): bytes before and after the anchor that repeats cover."""
-        return _tree(self.usual, self.length, self.k, False).unionByName(_by_windows(self.large, self.length, self.k))
+        # the only context of a k-mer is a leaf of the tree: all its occurrences are equal
+        whole = self.alone.where((F.col("n") > 1) & (F.col("lo") + F.col("hi") >= self.length)).select("kmer", "class", "lo", "hi")
+        tree = _tree(self._contexts(self.usual), self.length, self.k, False)
+        out = whole.unionByName(tree)
+        return out if self.large.isEmpty() else out.unionByName(_by_windows(self._contexts(self.large), self.length, self.k))
 
     def groups(self) -> DataFrame:
         """Maximal repeats: (repeat, length, doc_id, start), one row per occurrence.
@@ -333,18 +384,40 @@ class RepeatIndex:
         `repeat` names the repeated bytes. Repeats longer than the reach around an anchor
         appear as overlapping pieces. K-mers above `max_classes` are not listed here.
         """
-        members = self.contexts.select("doc_id", "print", "pos", "kmer", "class")
-        rows = members.join(_tree(self.usual, self.length, self.k, True), ["kmer", "class"])
-        return rows.select(
-            "repeat", (F.col("lo") + F.col("hi")).alias("length"), "doc_id", "print", (F.col("pos") - F.col("lo")).alias("start")
-        ).distinct()
+        both = self.alone.unionByName(self.usual)
+        rows = self.members.select("tid", "pos", "kmer", "class").join(_tree(self._contexts(both), self.length, self.k, True), ["kmer", "class"])
+        rows = rows.select("repeat", (F.col("lo") + F.col("hi")).alias("length"), "tid", (F.col("pos") - F.col("lo")).alias("start")).distinct()
+        documents = self.keyed.select("doc_id", *KEY).join(self.texts.select("tid", *KEY), KEY)
+        return rows.join(documents.select("doc_id", "tid"), "tid").select("repeat", "length", "doc_id", "start")
 
     def spans(self) -> DataFrame:
-        """(doc_id, print, spans): all covered stretches of a text, not yet merged."""
-        members = self.contexts.select("doc_id", "print", "pos", "kmer", "class")
-        rows = members.join(self.coverage(), ["kmer", "class"])
+        """(tid, spans): all covered stretches of a text, not yet merged."""
+        rows = self.members.select("tid", "pos", "kmer", "class").join(self.coverage(), ["kmer", "class"])
         span = F.struct((F.col("pos") - F.col("lo")).alias("from"), (F.col("pos") + F.col("hi")).alias("to"))
-        return rows.groupBy("doc_id", "print").agg(F.collect_set(span).alias("spans"))
+        return rows.groupBy("tid").agg(F.collect_set(span).alias("spans"))
+
+    def changed(self) -> DataFrame:
+        """(k1, k2, kept, removed): remaining bytes and removed stretches of every text that
+        loses something."""
+        rows = self.texts.select("tid", *KEY, "text").join(self.spans(), "tid")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            stretch = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+            for batch in sliced(batches, 2):
+                kept, removed = [], []
+                for text, pairs in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                    data, pairs = text.encode(), pairs.values
+                    a, b = merged(pairs.field("from").to_numpy(), pairs.field("to").to_numpy())
+                    edges = [0, *np.column_stack((a, b)).ravel().tolist(), len(data)]
+                    kept.append(b"".join(data[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2)))
+                    removed.append([{"from": x, "to": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(removed, stretch)],
+                    names=[*KEY, "kept", "removed"],
+                )
+
+        kind = "k1 long, k2 long, kept binary, removed array<struct<from:long,to:long>>"
+        return rows.select(*KEY, "text", "spans").mapInArrow(run, kind)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,37 +428,30 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], reach[np.concatenate((new[1:], [True]))]
 
 
-def remove_repeats(df: DataFrame, length: int = LENGTH, keep_bytes: bool = False, **options) -> DataFrame:
-    """Per row of (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, and with
-    `keep_bytes` also the remaining bytes and the removed stretches."""
-    index = RepeatIndex(df, length, **options)
-    spans = index.spans().select(F.col("doc_id").alias("s_doc"), F.col("print").alias("s_print"), "spans")
-    rows = index.keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("print") == F.col("s_print")), "left")
+def remove_repeats(df: DataFrame, **options) -> DataFrame:
+    """(doc_id, kept, removed) of every row: remaining bytes and removed stretches."""
+    index = RepeatIndex(df, **options)
+    rows = index.keyed.join(index.changed(), KEY, "left")
+    none = F.array().cast("array<struct<from:long,to:long>>")
+    return rows.select("doc_id", F.coalesce("kept", F.col("text").cast("binary")).alias("kept"), F.coalesce("removed", none).alias("removed"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            out: list[list] = [[], [], [], [], [], []]
-            lists = batch.column(2)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data, kept, removed = text.encode(), None, []
-                if lists[i].is_valid:
-                    pairs = lists[i].values
-                    a, b = merged(pairs.field("from").to_numpy(), pairs.field("to").to_numpy())
-                    removed = list(zip(a.tolist(), b.tolist(), strict=True))
-                    edges = [0, *(x for r in removed for x in r), len(data)]
-                    kept = b"".join(data[edges[j] : edges[j + 1]] for j in range(0, len(edges), 2))
-                kept = data if kept is None else kept
-                values = (len(data), len(data) - len(kept), len(removed), hashlib.sha256(kept).hexdigest())
-                for column, value in zip(out, (*values, kept, [{"from": x, "to": y} for x, y in removed]), strict=False):
-                    column.append(value)
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if keep_bytes:
-                columns += [pa.array(out[4], pa.binary()), pa.array(out[5], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))]
-                names += ["kept", "removed"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    if keep_bytes:
-        kind += ", kept binary, removed array<struct<from:long,to:long>>"
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, kind)
+
+def digests(df: DataFrame, **options) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Texts that lose nothing
+    are digested where they are read and take no part in a shuffle."""
+    index = RepeatIndex(df, **options)
+    changed = index.changed().select(
+        *KEY,
+        F.octet_length("kept").cast("long").alias("n_kept"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+    size, whole = F.octet_length("text").cast("long"), F.sha2(F.col("text").cast("binary"), 256)
+    rows = index.keyed.select("doc_id", *KEY, size.alias("n_bytes"), whole.alias("whole_sha256"))
+    return rows.join(changed, KEY, "left").select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
+        F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
+    )
