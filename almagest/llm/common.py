@@ -174,12 +174,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "component-labels")
     while True:
-        heard = (
-            both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("h_node")).agg(F.min("label").alias("heard"))
-        )
-        told = labels.join(heard, F.col("node") == F.col("h_node"), "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "heard").alias("label")
-        )
+        heard = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label", F.lit(None).alias("old"))
+        told = heard.unionByName(labels.withColumn("old", F.col("label"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         target = labels.select(F.col("node").alias("t_node"), F.col("label").alias("t_label"))
         jumped = told.join(target, F.col("label") == F.col("t_node")).select("node", "old", F.least("label", "t_label").alias("label"))
         after = settled(jumped, "component-labels")
