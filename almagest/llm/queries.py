@@ -98,6 +98,9 @@ def op4_reply_trees(spark, sf):
     return reply_trees.read_back(written)
 
 
+ORACLE["op4_reply_trees"] = reply_trees.SQL
+
+
 @query
 def op7_token_counts(spark, sf):
     import public_tokenizers

@@ -98,24 +98,21 @@ def paths(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
     hung = ids.join(known, there, "left").select("conv_id", "msg", "score", up.alias("up"), F.array("msg").alias("path"))
     leaf_test = settled(hung, "tree-steps")
     parents = leaf_test.where("up IS NOT NULL").select(F.col("conv_id").alias("p_conv"), F.col("up").alias("p_msg")).distinct()
-    state = leaf_test
-    while not state.where("up IS NOT NULL").isEmpty():
-        top = state.select(
+    # a path that has reached its root waits in `whole`; only the others are joined again
+    whole, state = leaf_test.where("up IS NULL"), leaf_test.where("up IS NOT NULL")
+    while not state.isEmpty():
+        top = whole.unionByName(state).select(
             F.col("conv_id").alias("t_conv"), F.col("msg").alias("t_msg"), F.col("up").alias("t_up"), F.col("path").alias("t_path"), F.col("score").alias("t_score")
         )
-        joined = state.join(top, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("up") == F.col("t_msg")), "left")
-        loops = F.col("up").isNotNull() & F.arrays_overlap("path", "t_path")
-        state = settled(
-            joined.where(~F.coalesce(loops, F.lit(False))).select(
-                "conv_id",
-                "msg",
-                (F.col("score") + F.coalesce("t_score", F.lit(0.0))).alias("score"),
-                F.col("t_up").alias("up"),
-                F.when(F.col("t_path").isNull(), F.col("path")).otherwise(F.concat("t_path", "path")).alias("path"),
+        joined = state.join(top, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("up") == F.col("t_msg")))
+        longer = settled(
+            joined.where(~F.arrays_overlap("path", "t_path")).select(
+                "conv_id", "msg", (F.col("score") + F.col("t_score")).alias("score"), F.col("t_up").alias("up"), F.concat("t_path", "path").alias("path")
             ),
             "tree-paths",
         )
-    leaves = state.join(parents, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("msg") == F.col("p_msg")), "left_anti")
+        whole, state = whole.unionByName(longer.where("up IS NULL")), longer.where("up IS NOT NULL")
+    leaves = whole.join(parents, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("msg") == F.col("p_msg")), "left_anti")
     order = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "msg")
     ranked = leaves.withColumn("rank", F.row_number().over(order))
     if per_tree is not None:
@@ -182,3 +179,20 @@ def read_back(written: DataFrame) -> DataFrame:
 
     rows = written.select(F.col("conv_id").cast("long").alias("conv_id"), "text", "loss")
     return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+_SQL_SIZE = (
+    r"length(regexp_replace(replace({0}, '\', '\\'), '(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<<ROLE>>|<</ROLE>>)', '#\1', 'g'))"
+)
+SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({_SQL_SIZE.format("text")} + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+    ELSE 25 + {_SQL_SIZE.format("role")} END)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
