@@ -1,13 +1,14 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions only.
 
-Every benchmark item is looked for in windows of its own number of words. A window that
-shares no run of five words with an item has similarity 0 to it, so only windows aligned
-at a shared run are taken: texts are cut into runs where they are read, and a run leaves
-the scan only if the benchmark has it. The windows get a 64-bit SimHash of their runs,
-weighted by how often they occur. The fingerprint is cut into RADIUS + 1 blocks; of two
-fingerprints at most RADIUS bits apart, at least one block is equal, so an equi-join by
-(window size, block, value) finds all of them. Pairs within the radius are verified by
-exact weighted similarity: the sum of the smaller weights over the sum of the larger.
+Every benchmark item is looked for in all windows of its own number of words. Texts are cut
+into runs of five words where they are read, and a run leaves the scan only if the benchmark
+has it; it carries the items that have it. Per text and item the places of such runs tell how
+many a window at any start holds. Below the number that the similarity needs a window can't
+be a leak, so those starts alone are left out, and the others are listed wherever they lie.
+The windows get a 64-bit SimHash of their runs, weighted by how often they occur. The
+fingerprints of a window and its items are cut into RADIUS + 1 blocks; at most RADIUS bits
+apart, at least one block is equal. Pairs within the radius are verified by exact weighted
+similarity: the sum of the smaller weights over the sum of the larger.
 
 At a similarity of 0.8 the distance is about 10 bits with a deviation of 3, so RADIUS 20
 misses one in some thousand pairs just at the threshold, and fewer above it.
@@ -62,21 +63,40 @@ def fingerprints(features: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "total", print_.alias("simhash"))
 
 
-def blocks(df: DataFrame, radius: int) -> DataFrame:
-    """One row per block of the fingerprint: RADIUS + 1 blocks of nearly equal width."""
+def block_equal(a: Column, b: Column, radius: int) -> Column:
+    """Whether one of RADIUS + 1 blocks of nearly equal width is equal in both fingerprints."""
     n = radius + 1
     edges = [BITS * i // n for i in range(n + 1)]
-    parts = [
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value"))
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))
-    ]
-    return df.select("*", F.explode(F.array(*parts)).alias("p")).select(*df.columns, "p.*")
+    differs = a.bitwiseXOR(b)
+    same = F.lit(False)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        mask = ((1 << (high - low)) - 1) << low
+        mask -= (1 << BITS) if mask >> (BITS - 1) else 0
+        same = same | (differs.bitwiseAND(F.lit(mask).cast("long")) == 0)
+    return same
+
+
+def window_starts(places: Column, runs: Column, last: Column, least: Column) -> Column:
+    """All starts 0 .. last of windows of `runs` runs that hold at least `least` of the sorted
+    places, each once: those whose first place is the j-th reach from behind the one before it,
+    or from where the window ends at the least-th place, up to the j-th."""
+    none = F.array().cast("array<int>")
+
+    def reach(j: Column) -> Column:
+        before = F.when(j > 0, F.get(places, j - 1) + 1).otherwise(0)
+        low = F.greatest(before, F.get(places, j + least - 1) - runs + 1)
+        high = F.least(F.get(places, j), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+    firsts = F.when(F.size(places) >= least, F.sequence(F.lit(0), F.size(places) - least)).otherwise(none)
+    return F.flatten(F.transform(firsts, reach))
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, print, item_id, start, similarity): the best, first window per text and item.
+    """(doc_id, print, item_id, start, similarity): the best window per text and item.
 
-    `start` is the window's first word; `print` tells texts of one id apart.
+    `start` is the window's first word; of equally good windows, one in which a shared run is
+    at its place in the item, then the first. `print` tells texts of one id apart.
     """
     items = benchmark.select("item_id", words_of(text_or_empty()).alias("words"))
     items = items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.size("words").alias("n")).where(F.col("n") >= SIZE)
@@ -92,11 +112,27 @@ def leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, r
         "doc_id", "print", F.size("words").alias("n_words"),
         F.posexplode(run_hashes(F.col("words"), F.lit(0), F.size("words") - SIZE)).alias("pos", "run"),
     )
-    aligned = item_runs.select("run", "offset", "n").distinct()
-    small = aligned.count() <= BROADCAST_RUNS
-    seeds = runs.join(F.broadcast(aligned) if small else aligned, "run")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n_words") - F.col("n")))
-    windows = settled(seeds.select("doc_id", "print", start.alias("start"), "n").distinct(), "bench-windows")
+    has = item_runs.groupBy("run", "item", "item_id", "n").agg(F.collect_list("offset").alias("offsets"))
+    small = has.count() <= BROADCAST_RUNS
+    seeds = runs.join(F.broadcast(has) if small else has, "run")
+    per_item = seeds.groupBy("doc_id", "print", "n_words", "item", "item_id", "n").agg(
+        F.array_sort(F.collect_set(F.struct("pos", "offsets"))).alias("places")
+    )
+    n_runs, i_runs = F.least("n", "n_words") - SIZE + 1, F.col("n") - SIZE + 1
+    # both / (window + item - both) >= similarity; a little less, as products are rounded
+    least = F.greatest(F.lit(1), F.ceil(F.lit(similarity / (1 + similarity)) * (n_runs + i_runs) - 1e-6).cast("int"))
+    last = F.greatest(F.lit(0), F.col("n_words") - F.col("n"))
+    starts = window_starts(F.col("places.pos"), n_runs, last, least)
+    aligned = F.flatten(
+        F.transform("places", lambda p: F.transform(p["offsets"], lambda o: F.greatest(F.lit(0), F.least(p["pos"] - o, last))))
+    )
+    listed = per_item.select("doc_id", "print", "item", "item_id", "n", starts.alias("starts"), aligned.alias("at")).where(F.size("starts") > 0)
+    marked = F.concat(
+        F.transform(F.array_intersect("starts", "at"), lambda x: F.struct(x.alias("start"), F.lit(True).alias("aligned"))),
+        F.transform(F.array_except("starts", "at"), lambda x: F.struct(x.alias("start"), F.lit(False).alias("aligned"))),
+    )
+    places = settled(listed.select("doc_id", "print", "item", "item_id", "n", F.inline(marked)), "bench-places")
+    windows = settled(places.select("doc_id", "print", "start", "n").distinct(), "bench-windows")
 
     per_text = windows.groupBy(F.col("doc_id").alias("w_doc"), F.col("print").alias("w_print")).agg(
         F.collect_list(F.struct("start", "n")).alias("at")
@@ -110,18 +146,28 @@ def leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, r
     window_runs = cut.dropDuplicates(key).select(*key, F.explode(run_hashes(F.col("words"), F.lit(0), F.size("words") - SIZE)).alias("run"))
     window_features = settled(_counted(window_runs, key), "bench-features")
     item_features = _counted(item_runs, ["item", "item_id", "n"])
-    w = blocks(fingerprints(window_features, key), radius).withColumnRenamed("total", "w_total")
-    b = blocks(fingerprints(item_features, ["item", "item_id", "n"]), radius).select(
-        "item", "item_id", "n", "block", "value", F.col("total").alias("i_total"), F.col("simhash").alias("i_simhash")
+    w = fingerprints(window_features, key).select(
+        F.col("doc_id").alias("p_doc"), F.col("print").alias("p_print"), F.col("start").alias("p_start"), F.col("n").alias("p_n"),
+        F.col("total").alias("w_total"), "simhash",
+    )
+    b = fingerprints(item_features, ["item", "item_id", "n"]).select(
+        F.col("item").alias("b_item"), F.col("item_id").alias("b_id"), F.col("total").alias("i_total"), F.col("simhash").alias("i_simhash")
+    )
+    at = (
+        F.col("doc_id").eqNullSafe(F.col("p_doc"))
+        & (F.col("print") == F.col("p_print"))
+        & (F.col("start") == F.col("p_start"))
+        & (F.col("n") == F.col("p_n"))
     )
     near = (
-        w.join(b, ["n", "block", "value"])
+        places.join(w, at)
+        .join(b, (F.col("item") == F.col("b_item")) & F.col("item_id").eqNullSafe(F.col("b_id")))
+        .where(block_equal(F.col("simhash"), F.col("i_simhash"), radius))
         .where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("i_simhash"))) <= radius)
-        .select(*key, "w_total", "item", "item_id", "i_total")
-        .distinct()
+        .select(*key, "aligned", "w_total", "item", "item_id", "i_total")
     )
     near = settled(near, "bench-candidates")
-    c = near.select(F.col("doc_id").alias("c_doc"), F.col("print").alias("c_print"), F.col("start").alias("c_start"), F.col("n").alias("c_n"), "item", "item_id", "w_total", "i_total")
+    c = near.select(F.col("doc_id").alias("c_doc"), F.col("print").alias("c_print"), F.col("start").alias("c_start"), F.col("n").alias("c_n"), "aligned", "item", "item_id", "w_total", "i_total")
     there = (
         F.col("doc_id").eqNullSafe(F.col("c_doc"))
         & (F.col("print") == F.col("c_print"))
@@ -132,12 +178,12 @@ def leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, r
     common = (
         window_features.join(c, there)
         .join(of_item, (F.col("item") == F.col("f_item")) & F.col("item_id").eqNullSafe(F.col("f_id")) & (F.col("run") == F.col("f_run")))
-        .groupBy(*key, "item", "item_id", "w_total", "i_total")
+        .groupBy(*key, "aligned", "item", "item_id", "w_total", "i_total")
         .agg(F.sum(F.least("weight", "f_weight")).alias("both"))
     )
     value = F.col("both") / (F.col("w_total") + F.col("i_total") - F.col("both"))
-    found = common.select("doc_id", "print", "item_id", "start", value.alias("similarity")).where(F.col("similarity") >= similarity)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back")))
+    found = common.select("doc_id", "print", "item_id", "start", "aligned", value.alias("similarity")).where(F.col("similarity") >= similarity)
+    best = F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back")))
     return found.groupBy("doc_id", "print", "item_id").agg(best.alias("best")).select(
         "doc_id", "print", "item_id", (-F.col("best.back")).alias("start"), F.col("best.similarity").alias("similarity")
     )

@@ -179,6 +179,52 @@ def test_leaks(spark):
     assert kept.count() == len(rows) - len({g[0] for g in got})
 
 
+def brute_leaks(rows, items, similarity=0.8):
+    """The best of all item-sized windows per text and item; of equal ones an aligned one, then the first."""
+
+    def runs(words):
+        return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+    found = set()
+    for d, text in rows:
+        words = text.split()
+        for i, item in items:
+            wanted, n = runs(item.split()), len(item.split())
+            places, last = defaultdict(list), max(0, len(words) - n)
+            for b in range(n - 4):
+                places[tuple(item.split()[b : b + 5])].append(b)
+            at = {max(0, min(a - b, last)) for a in range(len(words) - 4) for b in places.get(tuple(words[a : a + 5]), [])}
+            best = (0.0, False, 0)
+            for s in range(last + 1):
+                held = runs(words[s : s + n])
+                both = sum((held & wanted).values())
+                best = max(best, (both / (sum(held.values()) + sum(wanted.values()) - both), s in at, -s))
+            if best[0] >= similarity:
+                found.add((d, i, -best[2], round(best[0], 6), best[1]))
+    return found
+
+
+def test_leaks_between_alignments(spark):
+    """The best window lies between the alignments of its runs if words were put into an item."""
+    rng = random.Random(7)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(n))) for i, n in enumerate((59, 100, 59, 40, 80))]
+    items += [(5, " ".join(rng.choice("abc") for _ in range(60))), (6, items[0][1])]
+    rows = []
+    for k, (ends, put) in enumerate([(1, 2), (2, 5), (0, 3), (1, 1), (0, 0), (3, 4)]):
+        for i, text in items:
+            words = text.split()
+            for e in range(ends):
+                words[e] = words[-1 - e] = f"z{e}"
+            words[len(words) // 2 : len(words) // 2] = [f"p{x}" for x in range(put)]
+            rows.append((100 * k + i, " ".join(["u1", "u2", "u3"][: k % 4] + words + ["v1", "v2", "v3", "v4"][: k % 5])))
+    rows += [(900, " ".join(rng.choice("abc") for _ in range(400))), (901, items[3][1] + " x " + items[3][1])]
+    rows.append((902, " ".join(items[4][1].split()[:76])))
+    expected = brute_leaks(rows, items)
+    assert sum(not e[4] for e in expected) > 2
+    found = decontamination.leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.start, round(r.similarity, 6)) for r in found.collect()} == {e[:4] for e in expected}
+
+
 def test_leaks_of_empty_tables(spark):
     none, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
