@@ -80,6 +80,20 @@ def test_a_bucket_without_common_partner(spark):
     assert got == sorted(((rows[i][0], *c) for i, c in brute_classes(rows).items()), key=repr)
 
 
+def test_short_texts_in_a_crowd(spark):
+    """Short texts of one passage: nearly equal ones share fewer than ten runs, or other numbers of them."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(9)]
+    rows = []
+    for i in range(60):
+        words = common + [f"o{i}-{k}" for k in range(rng.choice([3, 4, 6, 10, 20]))]
+        longer = [*words, f"e{i}"]
+        changed = [*words[:-1], f"z{i}"]
+        rows += [(10 * i + j, " ".join(w)) for j, w in enumerate((words, longer, changed))]
+    got = values(order_minhash.near_duplicates(frame(spark, rows)), "doc_id", "class_id", "class_size")
+    assert got == sorted(((rows[i][0], *c) for i, c in brute_classes(rows).items()), key=repr)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert order_minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
