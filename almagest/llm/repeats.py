@@ -16,8 +16,9 @@ A sampled, bidirectional form of the enhanced suffix array:
     in one child to the right, is a maximal repeat with all its occurrences.
 4.  A repeat of at least `length` bytes covers its bytes at every occurrence.
 
-K-mers with more than `max_classes` different contexts would be one large group; they are
-resolved exactly by counting windows, which aggregates before it shuffles.
+K-mers with more than `max_classes` different contexts would be one large group; what they
+cover is resolved exactly by counting windows, which aggregates before it shuffles. Their
+repeats are listed by the tree all the same, for which one task holds all their contexts.
 
 Defined cases. A null text is empty. Ids play no part: rows may share one or have none, and
 rows of equal texts repeat each other entirely. Texts below
@@ -382,10 +383,10 @@ class RepeatIndex:
         """Maximal repeats: (repeat, length, doc_id, start), one row per occurrence.
 
         `repeat` names the repeated bytes. Repeats longer than the reach around an anchor
-        appear as overlapping pieces. K-mers above `max_classes` are not listed here.
+        appear as overlapping pieces. K-mers above `max_classes` are listed too; one task
+        holds the contexts of a k-mer, which is memory in proportion to their number.
         """
-        both = self.alone.unionByName(self.usual)
-        rows = self.members.select("tid", "pos", "kmer", "class").join(_tree(self._contexts(both), self.length, self.k, True), ["kmer", "class"])
+        rows = self.members.select("tid", "pos", "kmer", "class").join(_tree(self._contexts(self.classes), self.length, self.k, True), ["kmer", "class"])
         rows = rows.select("repeat", (F.col("lo") + F.col("hi")).alias("length"), "tid", (F.col("pos") - F.col("lo")).alias("start")).distinct()
         documents = self.keyed.select("doc_id", *KEY).join(self.texts.select("tid", *KEY), KEY)
         return rows.join(documents.select("doc_id", "tid"), "tid").select("repeat", "length", "doc_id", "start")

@@ -154,6 +154,19 @@ def test_maximal_repeats_list_all_occurrences(spark):
     assert min(a for a, _ in spans) == 1 and max(b for _, b in spans) == 65
 
 
+def test_repeats_of_very_common_kmers_are_listed(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefghij") for _ in range(64))
+    rows = [(i, f"{'pqrst'[i % 5] * (i + 1)}{passage}{'vwxyz'[i // 5] * (i + 1)}") for i in range(25)]
+
+    def listed(max_classes):
+        index = repeats.RepeatIndex(frame(spark, rows), length=50, k=12, max_classes=max_classes)
+        return {(bytes(r.repeat), r.length, r.doc_id, r.start) for r in index.groups().collect()}
+
+    found = listed(1)
+    assert {d for _, _, d, _ in found} == set(range(25)) and found == listed(repeats.MAX_CLASSES)
+
+
 def test_repeats_of_an_empty_table(spark):
     assert repeats.digests(spark.createDataFrame([], SCHEMA)).count() == 0
 
