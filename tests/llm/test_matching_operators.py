@@ -94,6 +94,16 @@ def test_short_texts_in_a_crowd(spark):
     assert got == sorted(((rows[i][0], *c) for i, c in brute_classes(rows).items()), key=repr)
 
 
+def test_pairs_of_nine_runs_that_meet_only_in_a_crowd(spark):
+    """The numbers are pairs whose sketches agree only where the crowd's do."""
+    passage = " ".join(f"c{i}" for i in range(11))
+    rows = [(i, f"{passage} m{i} n{i} o{i}") for i in range(200)]
+    for i in (885, 1320, 1584, 3157, 3434, 3736, 4574):
+        rows += [(10 * i, f"{passage} x{i} y{i} a{i}"), (10 * i + 1, f"{passage} x{i} y{i} b{i}")]
+    got = values(order_minhash.near_duplicates(frame(spark, rows)), "doc_id", "class_id", "class_size")
+    assert got == sorted(((rows[i][0], *c) for i, c in brute_classes(rows).items()), key=repr)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert order_minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
