@@ -21,14 +21,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def settled(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table to the cluster's shared folder and read it back.
+def settled(df: DataFrame, purpose: str, *folders: str) -> DataFrame:
+    """Write a table to the cluster's shared folder, in folders by columns if asked, and read it back.
 
     Cuts the lineage: whatever is lost later is read again from the shared folder
     and not computed again from the start.
     """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -182,3 +182,24 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.drop("old")
         if after.where("old <> label").isEmpty():
             return labels
+
+
+#: A key with more than one in so many rows is hot; there are at most so many hot keys.
+HOT_SHARE = 1000
+
+
+def per_key(rows: DataFrame, key: str, name: str, total: Column) -> DataFrame:
+    """The frame with the column `name`, an aggregate over the rows of equal key, nulls together.
+
+    Totals of hot keys, at most `HOT_SHARE` rows, are broadcast, so that no task gets all
+    rows of such a key; the others meet their totals by a shuffle.
+    """
+    totals = settled(rows.groupBy(F.col(key).alias("total_key")).agg(F.count(F.lit(1)).alias("total_rows"), total.alias("total")), "totals")
+    n = totals.agg(F.coalesce(F.sum("total_rows"), F.lit(0))).first()[0]
+    hot = totals.where(F.col("total_rows") * HOT_SHARE > n).drop("total_rows").withColumn("hot", F.lit(True))
+    rest = totals.where(F.col("total_rows") * HOT_SHARE <= n).drop("total_rows")
+    same = F.col(key).eqNullSafe(F.col("total_key"))
+    met = rows.join(F.broadcast(hot), same, "left")
+    done = met.where("hot").drop("hot", "total_key").withColumnRenamed("total", name)
+    cold = met.where("hot is null").drop("hot", "total_key", "total").join(rest, same).drop("total_key").withColumnRenamed("total", name)
+    return done.unionByName(cold)

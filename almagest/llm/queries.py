@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from almagest.llm import (
     decontamination,
+    factorisation,
     mixture,
+    norm_buckets,
     order_minhash,
+    part_codes,
     quality_rules,
     repeats,
     reply_trees,
@@ -107,3 +110,24 @@ def op7_token_counts(spark, sf):
 
     docs = documents(spark, sf).select("doc_id", "text")
     return token_counts.with_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
+@query
+def op11_factorisation_machine(spark, sf):
+    return factorisation.digest(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query
+def op12_norm_buckets(spark, sf):
+    return norm_buckets.search(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+ORACLE["op12_norm_buckets"] = norm_buckets.SQL
+
+
+@query
+def op13_part_codes(spark, sf):
+    return part_codes.coded(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+ORACLE["op13_part_codes"] = part_codes.SQL
