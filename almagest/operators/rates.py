@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from almagest.operators.keys import numbered
+
 
 # --- sliding rate -------------------------------------------------------------------
 
@@ -120,51 +125,177 @@ def drops_after(
 
 
 # --- token bucket -----------------------------------------------------------------------
+#
+# Tokens are counted in whole units: a token has `unit` of them, a millisecond adds `step`.
+# One merged request (ms, n) turns a level x into
+#
+#     y = min(full, x + step * wait)        y - unit * min(n, y // unit)
+#
+# A run of requests is a map of the level before it to the level after it. It is kept as
+# pieces of the levels it can be entered with: on each the result is a constant, or the
+# level plus a constant. Runs of a key can so be summarised in parallel, put one after the
+# other, and then be gone through again with the right level at their start.
+
+Piece = tuple[int, int, int, int]  # levels lo .. hi lead to value + slope * (level - lo)
+RUN_ROWS = 4096
+
+
+def bucket_units(sustained: int, burst: int, window_ms: int) -> tuple[int, int, int]:
+    """(unit, step, full): units of a token, units added per millisecond, units of a full bucket."""
+    g = math.gcd(sustained, window_ms)
+    return window_ms // g, sustained // g, burst * (window_ms // g)
+
+
+def admit(x: int, added: int, n: int, unit: int, full: int) -> tuple[int, int]:
+    """Level and admitted requests after `added` units and n requests."""
+    y = min(full, x + added)
+    taken = min(n, y // unit)
+    return y - unit * taken, taken
+
 
+def _merged(pieces: list[Piece]) -> list[Piece]:
+    """Neighbours that are one piece, joined."""
+    out: list[Piece] = []
+    for p in pieces:
+        if out:
+            lo, hi, slope, value = out[-1]
+            if slope == p[2] and p[3] == value + slope * (p[0] - lo):
+                out[-1] = (lo, p[1], slope, value)
+                continue
+            if lo == hi and p[3] == value and p[2] == 0:  # a single level is constant too
+                out[-1] = (lo, p[1], 0, value)
+                continue
+        out.append(p)
+    return out
 
-def idle_sessions(requests: DataFrame, key: str, refill_ms: int) -> DataFrame:
-    """Split each key where it was idle long enough for its bucket to be full again.
 
-    The state after such a pause does not depend on what came before it, so the parts
-    are independent. An empty cell of refill_ms between two requests proves the pause.
+def admit_pieces(pieces: list[Piece], added: int, n: int, unit: int, full: int) -> list[Piece]:
+    """The map of a run, with one more request behind it."""
+    out: list[Piece] = []
+    for lo, hi, slope, value in pieces:
+        y = value + added
+        if not slope:
+            out.append((lo, hi, 0, admit(value, added, n, unit, full)[0]))
+            continue
+        top = y + hi - lo
+        if y >= full:
+            out.append((lo, hi, 0, full - unit * min(n, full // unit)))
+            continue
+        end = hi if top < full else lo + (full - 1 - y)
+        at = lo
+        while at <= end:  # whole tokens in the bucket: one piece each until n are there
+            level = y + at - lo
+            taken = min(n, level // unit)
+            stop = end if taken == n else min(end, at + unit - 1 - level % unit)
+            out.append((at, stop, 1, level - unit * taken))
+            at = stop + 1
+        if end < hi:
+            out.append((end + 1, hi, 0, full - unit * min(n, full // unit)))
+    return _merged(out)
+
+
+def apply_pieces(pieces: list[Piece], x: int) -> int:
+    """The level after a run that is entered with level x."""
+    k = bisect_right(pieces, x, key=lambda p: p[0]) - 1
+    lo, _, slope, value = pieces[k]
+    return value + slope * (x - lo)
+
+
+def runs_of_requests(merged: DataFrame, key: str, span_ms: int, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(key, run, rows): merged requests in runs of at most `run_rows`, each an array in time order.
+
+    `rows` has ms, n and wait, the time since the key's request before (null: none).
     """
-    celled = requests.withColumn("cell", F.floor(F.col("ms") / refill_ms))
-    cells = celled.select(key, "cell").distinct()
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("cell"))
-    sessions = cells.withColumn("session", F.col("cell") - rank)
-    return celled.join(sessions, [key, "cell"]).drop("cell")
+    placed = numbered(merged, [key], F.floor(F.col("ms") / span_ms), [F.col("ms").asc()], "place")
+    run = F.floor(F.col("place") / run_rows)
+    grouped = placed.groupBy(key, run.alias("run")).agg(F.array_sort(F.collect_list(F.struct("ms", F.col("requests").alias("n")))).alias("rows"))
+    ends = grouped.select(key, "run", F.element_at("rows", -1)["ms"].alias("last"))
+    before = F.lag("last").over(Window.partitionBy(key).orderBy("run"))
+    linked = grouped.join(ends.select(key, "run", before.alias("before")), [key, "run"])
+
+    def with_wait(r: Column, i: Column) -> Column:
+        previous = F.when(i == 0, F.col("before")).otherwise(F.get("rows", i - 1)["ms"])
+        return F.struct(r["ms"].alias("ms"), r["n"].alias("n"), (r["ms"] - previous).alias("wait"))
+
+    return linked.select(key, "run", F.transform("rows", with_wait).alias("rows"))
 
 
 def token_bucket(
-    requests: DataFrame, key: str, sustained: int = 15, burst: int = 30, window_ms: int = 60_000
+    requests: DataFrame, key: str, sustained: int = 15, burst: int = 30, window_ms: int = 60_000, run_rows: int = RUN_ROWS
 ) -> DataFrame:
     """Admission per (key, millisecond): requests and how many were accepted.
 
-    The refill is cut off at `burst` after every request, which makes the rule
-    sequential inside a session. Requests are merged per millisecond first, sessions are
-    independent, and the fold streams over sorted Arrow batches with two numbers of
-    state, so no group is ever held in memory.
+    The refill is cut off at `burst` after every request, so the rule is sequential. Runs of
+    at most `run_rows` requests work on their own all the same, however busy a key is:
+
+    1. each run is gone through from an empty and from a full bucket. Two levels never
+       swap their order by a whole token or more, so this bounds the level at its end;
+    2. each run is turned into pieces over the levels that the run before can leave;
+    3. the starts of all runs follow by passing a level through one row per run;
+    4. each run is gone through from its start.
+
+    Levels are whole units, so the outcome is exact. Requests without a key are left out.
     """
-    key_type = requests.schema[key].dataType.simpleString()
-    merged = requests.groupBy(key, "ms").agg(F.count(F.lit(1)).alias("requests"))
-    refill_ms = -(-burst * window_ms // sustained)
-    split = idle_sessions(merged, key, refill_ms)
-    ordered = split.repartition(key, "session").sortWithinPartitions(key, "session", "ms")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tokens, updated = None, 0.0, 0
+    unit, step, full = bucket_units(sustained, burst, window_ms)
+    key_type = requests.schema[key].dataType
+    merged = requests.where(F.col(key).isNotNull()).groupBy(key, "ms").agg(F.count(F.lit(1)).alias("requests"))
+    refill_ms = -(-full // step)
+    runs = runs_of_requests(merged, key, max(refill_ms, 1), run_rows)
+    head = [T.StructField(key, key_type), T.StructField("run", T.LongType())]
+
+    def each(df: DataFrame, make, *fields: T.StructField) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = [make(*r) for r in batch.itertuples(index=False)]
+                columns = list(zip(*out, strict=True)) or [[] for _ in fields]
+                yield pd.DataFrame({key: batch[key], "run": batch["run"], **{f.name: list(c) for f, c in zip(fields, columns, strict=True)}})
+
+        return df.mapInPandas(run, T.StructType([*head, *fields]))
+
+    def bounds(_key, _run, rows):
+        low, high = 0, full
+        for r in rows:
+            added = full if r["wait"] is None else step * r["wait"]
+            low, high = admit(low, added, r["n"], unit, full)[0], admit(high, added, r["n"], unit, full)[0]
+        return max(0, min(low, high) - unit), min(full, max(low, high) + unit)
+
+    long = T.LongType()
+    ends = each(runs, bounds, T.StructField("low", long), T.StructField("high", long))
+    entry = Window.partitionBy(key).orderBy("run")
+    entered = ends.select(
+        key, "run", F.coalesce(F.lag("low").over(entry), F.lit(full)).alias("low"), F.coalesce(F.lag("high").over(entry), F.lit(full)).alias("high")
+    )
+
+    def pieces(_key, _run, rows, low, high):
+        now: list[Piece] = [(low, high, 1, low)]
+        for r in rows:
+            now = admit_pieces(now, full if r["wait"] is None else step * r["wait"], r["n"], unit, full)
+        return (list(now),)
+
+    kind = T.ArrayType(T.ArrayType(long))
+    maps = each(runs.join(entered, [key, "run"]).select(key, "run", "rows", "low", "high"), lambda *r: ([list(p) for p in pieces(*r)[0]],), T.StructField("pieces", kind))
+
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, level = None, full
         for batch in batches:
-            accepted = []
-            for k, s, ms, n in zip(batch[key], batch["session"], batch["ms"], batch["requests"]):
-                if (k, s) != current:
-                    current, tokens, updated = (k, s), float(burst), ms
-                tokens = min(float(burst), tokens + (ms - updated) / window_ms * sustained)
-                updated = ms
-                taken = min(int(n), int(tokens)) if tokens >= 1 else 0
-                tokens -= taken
-                accepted.append(taken)
-            yield pd.DataFrame(
-                {key: batch[key], "ms": batch["ms"], "requests": batch["requests"], "accepted": accepted}
-            )
-
-    return ordered.mapInPandas(fold, f"{key} {key_type}, ms bigint, requests bigint, accepted bigint")
+            out = []
+            for k, r, ps in zip(batch[key], batch["run"], batch["pieces"], strict=True):
+                if r == 0 or k != current:
+                    current, level = k, full
+                out.append(level)
+                level = apply_pieces([tuple(p) for p in ps], level)
+            yield pd.DataFrame({key: batch[key], "run": batch["run"], "start": out})
+
+    in_order = maps.repartition(F.col(key)).sortWithinPartitions(key, "run")
+    begun = in_order.mapInPandas(starts, T.StructType([*head, T.StructField("start", long)]))
+
+    def replay(_key, _run, rows, level):
+        taken = []
+        for r in rows:
+            level, n = admit(level, full if r["wait"] is None else step * r["wait"], r["n"], unit, full)
+            taken.append(n)
+        return ([[r["ms"], r["n"], n] for r, n in zip(rows, taken, strict=True)],)
+
+    done = each(runs.join(begun, [key, "run"]).select(key, "run", "rows", "start"), replay, T.StructField("rows", kind))
+    out = done.select(key, F.explode("rows").alias("r"))
+    return out.select(key, F.get("r", F.lit(0)).alias("ms"), F.get("r", F.lit(1)).alias("requests"), F.get("r", F.lit(2)).alias("accepted"))

@@ -144,13 +144,13 @@ def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
 
 
-def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a poll log."""
+def as_polls(events: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as a poll log."""
     e = F.col("event_id") % 10
     outcome = (
         F.when(e == 0, "error").when(e == 1, "schema_error").when(e.isin(2, 3), "not_modified").otherwise("ok")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_type").alias("layer"),
         F.col("ts").alias("at"),
         (epoch_ms("ts") - F.col("event_id") % 7 * 60_000).alias("as_of_ms"),
@@ -158,6 +158,10 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_polls(table(spark, sf_dir, "events"))
+
+
 def box_centre(key: Column) -> tuple[Column, Column]:
     return F.pmod(key * 15, F.lit(360)).cast("double") - 180.0, F.pmod(key * 6, F.lit(145)).cast("double") - 72.0
 

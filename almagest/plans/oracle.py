@@ -575,6 +575,23 @@ ORACLE["budget_flag"] = """
 SELECT strftime(ts, '%Y-%m-%d') AS date, CAST(sum(event_id % 500) AS BIGINT) AS requests,
   CASE WHEN sum(event_id % 500) > 80000 THEN 'relaxed' ELSE 'cleared' END AS state FROM events GROUP BY 1"""
 
+ORACLE["gated_publish"] = f"""
+WITH {PAGES.replace("AND st.page = 1)", "AND st.page = 1 AND st.cycle % 2 = 1)")}, g AS (
+  SELECT cycle, count(*) FILTER (state NOT IN ('complete', 'capped')) AS unfinished, count(*) FILTER (state = 'capped') AS capped FROM prog GROUP BY cycle),
+passed AS (SELECT cycle % 4 AS part, max(cycle) AS cycle FROM g WHERE unfinished = 0 AND cycle NOT IN (SELECT cycle FROM miss) GROUP BY 1)
+SELECT CAST(part AS VARCHAR) AS part, cycle, capped = 0 AS ok, CASE WHEN capped = 0 THEN 'published' ELSE 'capped' END AS outcome,
+  (SELECT CAST(sum(features) AS BIGINT) FROM st WHERE st.cycle = passed.cycle AND NOT failed) AS records
+FROM passed JOIN g USING (cycle)"""
+
+# --- related events -----------------------------------------------------------------------
+
+ORACLE["related_events"] = f"""
+WITH {EV}, p AS (SELECT event_id AS id, ms, radians(lon) AS x, radians(lat) AS y FROM ev WHERE event_type <> 'view' AND {VALID}),
+m AS (SELECT a.id AS a, b.id AS b, b.ms - a.ms AS dt_ms,
+    2 * CAST(6371.0088 AS DOUBLE) * asin(sqrt(least(1, sin((b.y - a.y) / 2) ** 2 + cos(a.y) * cos(b.y) * sin((b.x - a.x) / 2) ** 2))) AS km
+  FROM p a JOIN p b ON b.ms >= a.ms AND b.ms < a.ms + {HOUR} WHERE b.ms > a.ms OR a.id < b.id)
+SELECT a, b, round(km, 6) AS km, dt_ms FROM m WHERE km < 300"""
+
 # --- rates --------------------------------------------------------------------------------
 
 ORACLE["rate_stats"] = f"""
@@ -621,3 +638,24 @@ WITH {LINKS} SELECT link_id, concat_ws('&', CASE WHEN lat <> 20 THEN 'lat=' || (
 ORACLE["bucket_dedupe"] = f"""
 SELECT user_id AS entity_id, {slot(21600)} AS bucket, max(event_id) AS arrival_seq FROM events GROUP BY 1, 2"""
 ORACLE["slot_tumbling_stream"] = f"SELECT {slot(900)} AS slot, count(*) AS records, max(value) AS max_value FROM events GROUP BY 1"
+ORACLE["vacuumed_slots"] = f"SELECT slot, records, revisions, records AS stored FROM ({ORACLE['slot_publish']})"
+ORACLE["pinned_snapshot"] = ORACLE["slot_known_at"]
+CLOCKS = ", ".join(f"({FIRST + i * 41 * HOUR + i * 7 * 60000})" for i in range(16))
+ORACLE["freshness_stream"] = f"""
+WITH clocks AS (SELECT CAST(c AS BIGINT) AS clock_ms FROM (VALUES {CLOCKS}) v(c)), pl AS (
+  SELECT clock_ms, event_type AS layer, ts, (epoch_us(ts) // 1000) AS ms, (epoch_us(ts) // 1000) - event_id % 7 * 60000 AS as_of,
+    CASE event_id % 10 WHEN 0 THEN 'error' WHEN 1 THEN 'schema_error' WHEN 2 THEN 'same' WHEN 3 THEN 'same' ELSE 'ok' END AS o
+  FROM events JOIN clocks ON epoch_us(ts) // 1000 <= clock_ms),
+sm AS (SELECT clock_ms, layer, max(ts) FILTER (o = 'ok') AS ok_at, max_by(as_of, (ts, as_of)) FILTER (o = 'ok') AS as_of_ms,
+  max(ms) FILTER (o IN ('ok', 'same')) AS last_ms, max(ts) FILTER (o = 'schema_error') AS sch_at FROM pl GROUP BY ALL),
+st AS (SELECT *, CASE layer WHEN 'click' THEN 360000 WHEN 'error' THEN 1200000 WHEN 'purchase' THEN 7200000 WHEN 'signup' THEN 1800000 ELSE 360000 END AS lim,
+  CASE WHEN layer IN ('click', 'purchase') THEN last_ms ELSE as_of_ms END AS basis FROM sm)
+SELECT clock_ms, layer, CASE WHEN sch_at IS NOT NULL AND coalesce(sch_at > ok_at, TRUE) THEN 'error' WHEN last_ms IS NULL THEN 'error'
+  WHEN clock_ms - basis > lim THEN 'stale' ELSE 'ready' END AS status FROM st"""
+ORACLE["arrival_stream"] = f"""
+WITH s AS (SELECT DISTINCT event_type AS layer, CAST(user_id AS VARCHAR) AS id, ((epoch_us(ts) // 1000) - {FIRST - DAY}) // {6 * HOUR} AS snapshot FROM events),
+p AS (SELECT *, lag(snapshot) OVER (PARTITION BY layer, id ORDER BY snapshot) AS before FROM s),
+n AS (SELECT layer, id, CAST({FIRST - DAY} + snapshot * {6 * HOUR} AS BIGINT) AS arrived_ms FROM p WHERE snapshot > 0 AND (before IS NULL OR before < snapshot - 1)),
+r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY arrived_ms DESC, id) AS place FROM n)
+SELECT layer, id, arrived_ms FROM r WHERE place <= CASE layer WHEN 'click' THEN 100 ELSE 50 END
+  AND (layer <> 'click' OR {LAST} - arrived_ms < {36 * HOUR})"""

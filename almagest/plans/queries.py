@@ -22,7 +22,10 @@ from almagest.operators import (
     ledger,
     links,
     merge,
+    publish,
     rates,
+    related,
+    retention as vacuum,
     slots,
     temporal,
 )
@@ -31,7 +34,7 @@ from almagest.plans import fixtures as X
 from almagest.schema import REGIONS
 from almagest.session import shared_dir
 from almagest.sources import feeds, landed
-from almagest.streaming import jobs
+from almagest.streaming import arrived, freshness, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -654,6 +657,28 @@ def slot_known_at(spark, sf):
     return _slot_sums(_published_twice(spark, sf).read("earthquake", known_at_ms=X.T_MS + 30_000))
 
 
+@query
+def vacuumed_slots(spark, sf):
+    """Current rows after a vacuum, and how many rows of each slot are still stored."""
+    table = _published_twice(spark, sf)
+    vacuum.vacuum_slots(table, X.T_MS + X.DAY_MS)
+    stored = spark.read.parquet(table.bodies_path).groupBy("slot").agg(F.count(F.lit(1)).alias("stored"))
+    return _slot_sums(table.read("earthquake")).join(stored, "slot")
+
+
+@query
+def pinned_snapshot(spark, sf):
+    """What was pinned between the two publishes, read after a vacuum."""
+    stored, incoming = _slot_sides(spark, sf)
+    table = slots.SlotTable(X.use_utc(spark), shared_dir(spark, "slots"))
+    table.publish(stored, at_ms=X.T_MS)
+    pins = vacuum.Pins(table)
+    pins.pin("case", ["earthquake"], 0, 4_000_000_000, X.T_MS + 30_000)
+    table.publish(incoming, at_ms=X.T_MS + 60_000)
+    vacuum.vacuum_slots(table, X.T_MS + X.DAY_MS)
+    return _slot_sums(pins.read("case"))
+
+
 @query
 def slot_distribution(spark, sf):
     return slots.with_slot(X.occurrences(spark, sf)).groupBy("slot").agg(F.count(F.lit(1)).alias("records"))
@@ -921,8 +946,8 @@ def revisit_gap(spark, sf):
     return ledger.revisit_gap(rows, "user_id", "ms", 60 * X.HOUR_MS, 30 * X.DAY_MS, X.DAY_MS)
 
 
-def _page_stats(spark, sf) -> DataFrame:
-    """Pages of 100 events. Of every 36 pages, 9 form one cycle and 27 the next."""
+def _page_rows(spark, sf) -> DataFrame:
+    """Events in pages of 100. Of every 36 pages, 9 form one cycle and 27 the next."""
     e = eid()
     block, offset = (e / 3600).cast("bigint"), e % 3600
     small = offset < 900
@@ -933,10 +958,14 @@ def _page_stats(spark, sf) -> DataFrame:
     rows = X.table(spark, sf, "events").select(
         cycle.alias("cycle"), level.alias("level"), page.alias("page"), "event_id", "value"
     )
-    listed = (F.col("cycle") % 3 != 0) | (e % 100 < 90)
+    return rows.withColumn("listed", (F.col("cycle") % 3 != 0) | (e % 100 < 90))
+
+
+def _page_stats(spark, sf) -> DataFrame:
+    e = eid()
     current = (F.col("value") > 20) & (F.col("cycle") % 4 != 2)
-    return rows.groupBy("cycle", "level", "page").agg(
-        F.count_if(listed).alias("features"), F.count_if(current).alias("current"),
+    return _page_rows(spark, sf).groupBy("cycle", "level", "page").agg(
+        F.count_if("listed").alias("features"), F.count_if(current).alias("current"),
         F.bool_or(e % 4999 == 4998).alias("failed"),
     )
 
@@ -964,6 +993,27 @@ def cycle_gate(spark, sf):
     return ledger.cycle_gate(progress, ledger.missing_chunks(progress, _staged(pages)))
 
 
+@query
+def gated_publish(spark, sf):
+    """Snapshot per part after two publishes: some pages of withheld cycles come in between."""
+    pages = _page_stats(spark, sf).persist()
+    try:
+        records = _page_rows(spark, sf).where("listed").join(pages.where("failed"), ["cycle", "level", "page"], "left_anti")
+        records = records.select("cycle", "level", "page", (F.col("cycle") % 4).cast("string").alias("part"), eid().alias("id"), "value")
+        lost = (F.col("cycle") % 5 == 2) & (F.col("level") == "Red") & (F.col("page") == 1)
+        found = F.col("cycle") % 2 == 0
+        table = publish.GatedTable(X.use_utc(spark), shared_dir(spark, "gated"))
+        table.stage(records.where(~lost), pages)
+        table.publish()
+        table.stage(records.where(lost & found), pages.where(lost & found))
+        table.publish()
+    finally:
+        pages.unpersist()
+    decided = table.outcomes().where("publish").select("cycle", "ok", "outcome")
+    shown = table.latest.read().groupBy("part", "cycle").agg(F.count(F.lit(1)).alias("records"))
+    return shown.join(decided, "cycle")
+
+
 @query
 def usage_by_prefix(spark, sf):
     return ledger.usage(X.table(spark, sf, "documents"), "source", "n_chars", 1_000_000)
@@ -975,6 +1025,16 @@ def budget_flag(spark, sf):
     return ledger.budget_flag(rows)
 
 
+# --- related events -----------------------------------------------------------------------
+
+
+@query
+def related_events(spark, sf):
+    """Views stand for aircraft, which take no part."""
+    rows = X.events(spark, sf).where(F.col("event_type") != "view").withColumn("ms", S.epoch_ms("ts"))
+    return related.related_events(rows, "event_id", "ms").select("a", "b", r6("km", "km"), "dt_ms")
+
+
 # --- rates --------------------------------------------------------------------------------
 
 
@@ -1057,14 +1117,40 @@ def slot_tumbling_stream(spark, sf):
 
 @query
 def poll_status_stream(spark, sf):
-    source = X.polls(spark, sf)
-    stream = jobs.stream_table(X.use_utc(spark), sf, "events.parquet")
-    e = eid() % 10
-    outcome = F.when(e == 0, "error").when(e == 1, "schema_error").when(e.isin(2, 3), "not_modified").otherwise("ok")
-    polls = stream.select(
-        F.col("event_type").alias("layer"), F.col("ts").alias("at"),
-        (S.epoch_ms("ts") - eid() % 7 * 60_000).alias("as_of_ms"), outcome.alias("outcome"),
-    )
-    assert polls.columns == source.columns
+    polls = X.as_polls(jobs.stream_table(X.use_utc(spark), sf, "events.parquet"))
     summary = jobs.poll_summary_stream(polls, shared_dir(spark, "poll-stream"))
     return ledger.layer_status(summary, X.LAST_MS, POLL_LIMITS, ("click", "purchase"))
+
+
+FRESHNESS_CLOCKS = [X.FIRST_INSTANT_MS + i * 41 * X.HOUR_MS + i * 7 * 60_000 for i in range(16)]
+
+
+@query
+def freshness_stream(spark, sf):
+    """Status of every layer at several clock times, from the stream's changes."""
+    polls = X.as_polls(jobs.stream_table(X.use_utc(spark), sf, "events.parquet"))
+    changes = freshness.freshness_stream(polls, POLL_LIMITS, ("click", "purchase"))
+    work = shared_dir(spark, "freshness")
+    writer = changes.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint").option("path", f"{work}/changes")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return freshness.status_at(spark.read.parquet(f"{work}/changes"), FRESHNESS_CLOCKS)
+
+
+SNAPSHOT_MS = 6 * X.HOUR_MS
+ORIGIN_MS = X.FIRST_INSTANT_MS - X.DAY_MS
+ARRIVAL_LIMITS = {"click": 100, "error": 50}
+ARRIVAL_LIVES = {"click": 36 * X.HOUR_MS}
+
+
+@query
+def arrival_stream(spark, sf):
+    """Users of six hours are a snapshot of their layer; the newest arrivals of every layer at the end."""
+    stream = jobs.stream_table(X.use_utc(spark), sf, "events.parquet")
+    snapshot = F.floor((S.epoch_ms("ts") - ORIGIN_MS) / SNAPSHOT_MS)
+    sightings = stream.select(
+        F.col("event_type").alias("layer"), F.col("user_id").alias("id"), snapshot.alias("snapshot"),
+        F.timestamp_millis(F.lit(ORIGIN_MS) + snapshot * SNAPSHOT_MS).alias("at"),
+    )
+    board = arrived.ArrivalBoard(X.use_utc(spark), shared_dir(spark, "arrivals"), ARRIVAL_LIMITS)
+    board.start(arrived.arrival_stream(sightings)).awaitTermination()
+    return board.read(board.last_batch(), X.LAST_MS, ARRIVAL_LIVES)

@@ -14,6 +14,8 @@ CYCLE_SEC = 3_600  # alert collection cycle
 EXPIRED_GRACE_MS = 48 * HOUR_MS
 TRACK_TTL_MS = 6 * HOUR_MS
 ARRIVAL_LIFE_MS = 10 * MINUTE_MS
+RELATED_MS = 60 * MINUTE_MS
+RELATED_KM = 300.0
 
 # --- fixed values: slice rule per layer ---------------------------------------
 TEMPORAL_SPEC = {
@@ -34,6 +36,7 @@ STALE_AFTER_MS = {
 # --- fixed values: limits ------------------------------------------------------
 MAX_QUAKE_ARRIVALS = 100
 MAX_ALERT_ARRIVALS = 50
+ARRIVAL_LIMITS = {"earthquake": MAX_QUAKE_ARRIVALS, "weather": MAX_ALERT_ARRIVALS}
 LOG_ROWS = 50
 PAGE_SIZE = 100
 PAGE_CAP = 8

@@ -180,18 +180,44 @@ def bucket(times, sustained, burst, window):
     return flags
 
 
-def test_token_bucket(spark):
+def test_maps_of_requests_compose():
+    """Pieces of a run give what going through it gives, from every level; two levels never swap by a token."""
+    rng = random.Random(5)
+    for sustained, burst, window in ((15, 30, 60_000), (1, 3, 43_200), (7, 4, 100), (3, 2, 10)):
+        unit, step, full = rates.bucket_units(sustained, burst, window)
+        assert step * window == sustained * unit and full == burst * unit
+        for _ in range(20):
+            low = rng.randint(0, full)
+            high = rng.randint(low, full)
+            pieces, run = [(low, high, 1, low)], []
+            for _ in range(120):
+                run.append((int(rng.expovariate(1) * unit * rng.choice([0.2, 1, 3])), rng.choice([1, 1, 2, 5])))
+                pieces = rates.admit_pieces(pieces, *run[-1], unit, full)
+
+            def through(x):
+                for added, n in run:
+                    x = rates.admit(x, added, n, unit, full)[0]
+                return x
+
+            ends = through(0), through(full)
+            for x in {low, high, *(rng.randint(low, high) for _ in range(20))}:
+                assert through(x) == rates.apply_pieces(pieces, x)
+                assert min(ends) - unit <= through(x) <= max(ends) + unit
+
+
+@pytest.mark.parametrize("run_rows", [rates.RUN_ROWS, 7, 1])
+def test_token_bucket(spark, run_rows):
     rng = random.Random(11)
     rows = []
-    for key, n in (("hot", 1500), ("b", 200), ("c", 5)):
+    for key, n, pause in (("hot", 1500, True), ("busy", 1200, False), ("b", 200, True), ("c", 5, True)):
         t = 1_000_000
         for _ in range(n):
-            t += rng.choice([0, 1, 40, 900, 5000]) if rng.random() < 0.98 else 300_000
+            t += rng.choice([0, 1, 40, 900, 5000]) if not pause or rng.random() < 0.98 else 300_000
             rows.append((key, t))
-    df = spark.createDataFrame(rows, "k string, ms bigint").repartition(6)
-    got = {(r.k, r.ms): (r.requests, r.accepted) for r in rates.token_bucket(df, "k").collect()}
+    df = spark.createDataFrame([*rows, (None, 5)], "k string, ms bigint").repartition(6)
+    got = {(r.k, r.ms): (r.requests, r.accepted) for r in rates.token_bucket(df, "k", run_rows=run_rows).collect()}
     want: dict = {}
-    for key in ("hot", "b", "c"):
+    for key in ("hot", "busy", "b", "c"):
         times = [t for k, t in rows if k == key]
         for t, ok in zip(times, bucket(times, 15, 30, 60_000)):
             n, a = want.get((key, t), (0, 0))
@@ -200,6 +226,13 @@ def test_token_bucket(spark):
     assert any(a < n for n, a in want.values())
 
 
+def test_a_busy_key_is_many_runs(spark):
+    df = spark.createDataFrame([("k", 1000 + 7 * i) for i in range(5000)], "key string, ms bigint")
+    merged = df.groupBy("key", "ms").agg(F.count(F.lit(1)).alias("requests"))
+    sizes = [r.n for r in rates.runs_of_requests(merged, "key", 1000, 64).select(F.size("rows").alias("n")).collect()]
+    assert max(sizes) <= 64 and sum(sizes) == 5000
+
+
 def test_arrivals(spark):
     now = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     before = spark.createDataFrame([("a",)], "id string")

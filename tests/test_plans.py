@@ -10,7 +10,10 @@ from conftest import SMALL
 
 from almagest.plans.queries import QUERIES
 
-STREAMS = {"slot_tumbling_stream", "poll_status_stream", "slot_publish", "latest_publish"}
+STREAMS = {
+    "slot_tumbling_stream", "poll_status_stream", "slot_publish", "latest_publish",
+    "freshness_stream", "arrival_stream", "gated_publish", "vacuumed_slots", "pinned_snapshot",
+}
 
 
 def plan_of(df) -> str:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+import random
+import time
 
+import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 from test_ledger import bucket
 
 from almagest.operators import ledger
 from almagest.sources import feeds, landed
-from almagest.streaming import jobs, state
+from almagest.streaming import arrived, freshness, jobs, state
 from almagest.streaming.ingest import ArrivalLog, Ingest, first_in_bucket
 
 DAY0 = 1_767_312_000  # 2026-01-02
@@ -193,3 +196,119 @@ def test_token_bucket_stream(spark, tmp_path):
         times = sorted(t for k, t in rows if k == key)
         want |= {(key, t): ok for t, ok in zip(times, bucket(times, 15, 30, 60_000))}
     assert got == want and not all(want.values())
+
+
+LIMITS = {"quake": 360_000, "news": 1_800_000}
+
+
+def poll_rows():
+    rng = random.Random(9)
+    rows = []
+    for layer in ("quake", "news", "other"):
+        t = 1_700_000_000_000
+        for _ in range(120):
+            t += rng.choice([0, 1, 60_000, 400_000, 2_000_000])
+            rows.append((layer, t, rng.choice([None, t - rng.randint(0, 900_000)]), rng.choice(["ok", "ok", "not_modified", "error", "schema_error", "loading"])))
+    return rows
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_freshness_stream_equals_the_batch_rule_at_any_clock(spark, tmp_path, files):
+    rows = poll_rows()
+    rows.append(("quake", max(r[1] for r in rows) + 10 * 3_600_000, None, "error"))  # moves the watermark far ahead
+    rows.sort(key=lambda r: r[1])
+    df = spark.createDataFrame([(la, t, a, o) for la, t, a, o in rows], "layer string, ms bigint, as_of_ms bigint, outcome string")
+    polls = df.select("layer", F.timestamp_millis("ms").alias("at"), "as_of_ms", "outcome")
+    per = -(-len(rows) // files)
+    for k in range(files):
+        part = spark.createDataFrame(rows[k * per : (k + 1) * per], df.schema).select("layer", F.timestamp_millis("ms").alias("at"), "as_of_ms", "outcome")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    stream = jobs.stream_table(spark, str(tmp_path / "in"), "*.parquet", 1)
+    out = str(tmp_path / "out")
+    freshness.freshness_stream(stream, LIMITS, ("quake",), "1 minute").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(
+        availableNow=True
+    ).start(out).awaitTermination()
+    changes = spark.read.parquet(out)
+    first, last = rows[0][1], rows[-2][1]
+    clocks = [first + (last + 2_000_000 - first) * i // 15 for i in range(16)]
+    got = {(r.clock_ms, r.layer): r.status for r in freshness.status_at(changes, clocks).collect()}
+    want = {}
+    for clock in clocks:
+        known = polls.where(F.col("at") <= F.timestamp_millis(F.lit(clock)))
+        for r in ledger.layer_status(ledger.poll_summary(known), clock, LIMITS, ("quake",)).collect():
+            want[(clock, r.layer)] = r.status
+    assert {k: v for k, v in want.items() if v != "idle"} == got
+    assert {"stale", "ready", "error"} <= set(got.values())
+
+
+def test_freshness_by_a_clock_of_our_own():
+    layer = freshness.Freshness(1_000, by_poll=True)
+
+    def poll(at, as_of, outcome):
+        layer.poll(1000 * at, as_of, outcome)
+
+    assert layer.status_at(5) == "idle" and layer.due is None
+    poll(10, None, "error")
+    assert layer.status_at(10) == "error"
+    poll(20, 7, "ok")
+    assert (layer.status_at(1_020), layer.status_at(1_021), layer.due) == ("ready", "stale", 1_021)
+    poll(2_000, None, "error")  # demotes nothing by itself
+    assert layer.status_at(1_020) == "ready"
+    poll(2_000, None, "schema_error")
+    poll(2_100, None, "not_modified")
+    assert layer.status_at(2_100) == "error"  # sticky until the next good answer
+    poll(2_200, 2_200, "ok")
+    poll(2_200, None, "schema_error")  # of the same time: the good answer has the last word
+    assert layer.status_at(2_200) == "ready"
+
+
+def test_a_layer_turns_stale_by_the_clock_alone(spark, tmp_path):
+    """Processing time: no poll comes any more, and the timer still fires."""
+    now = int(time.time() * 1000)
+    row = spark.createDataFrame([("quake", now, now, "ok")], "layer string, ms bigint, as_of_ms bigint, outcome string")
+    row.select("layer", F.timestamp_millis("ms").alias("at"), "as_of_ms", "outcome").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.stream_table(spark, str(tmp_path / "in"), "*.parquet", 1)
+    seen = []
+    running = (
+        freshness.freshness_stream(stream, {"quake": 12_000}, ("quake",), delay=None)
+        .writeStream.option("checkpointLocation", str(tmp_path / "check"))
+        .foreachBatch(lambda df, n: seen.extend((r.at_ms, r.status) for r in df.collect()))
+        .trigger(processingTime="1 second")
+        .start()
+    )
+    try:
+        for _ in range(90):
+            if len(seen) >= 2:
+                break
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    assert seen == [(now, "ready"), (now + 12_001, "stale")]
+
+
+def test_arrivals_and_their_boards(spark, tmp_path):
+    rng = random.Random(3)
+    there = {(la, i): [s for s in range(12) if rng.random() < 0.6] for la in ("earthquake", "weather", "x") for i in range(30)}
+    hour = 3_600_000
+    rows = [(la, str(i), s, (s + 1) * hour) for (la, i), ss in there.items() for s in ss for _ in range(rng.choice([1, 2]))]
+    rows.sort(key=lambda r: r[2])
+    for part in (rows[: len(rows) // 3], rows[len(rows) // 3 :]):
+        df = spark.createDataFrame([*part, (None, "1", 1, 5), ("x", None, 1, 5)], "layer string, id string, snapshot bigint, ms bigint")
+        df.select("layer", "id", "snapshot", F.timestamp_millis("ms").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    stream = jobs.stream_table(spark, str(tmp_path / "in"), "*.parquet", 1)
+    limits = {"earthquake": 20, "weather": 7}
+    board = arrived.ArrivalBoard(spark, str(tmp_path / "board"), limits, 1000)
+    board.start(arrived.arrival_stream(stream, 6 * hour)).awaitTermination()
+    want = {la: sorted((-(s + 1) * hour, str(i)) for (a, i), ss in there.items() if a == la for s in ss if s and s - 1 not in ss) for la in ("earthquake", "weather", "x")}
+    last = board.last_batch()
+    got = {}
+    for r in board.read(last).collect():
+        got.setdefault(r.layer, []).append((-r.arrived_ms, r.id))
+    assert {la: sorted(v) for la, v in got.items()} == {la: v[: limits.get(la, 1000)] for la, v in want.items()}
+    now = 12 * hour
+    alive = board.read(last, now + 600_000 - 1).where("layer = 'earthquake'").collect()
+    assert alive and {r.arrived_ms for r in alive} == {now}
+    assert board.read(last, now + 600_000).where("layer = 'earthquake'").count() == 0
+    assert board.read(last, now + 600_000).where("layer = 'weather'").count() == 7
