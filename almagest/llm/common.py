@@ -44,6 +44,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def free_names(df: DataFrame, *bases: str) -> list[str]:
+    """Names for helper columns that no column of the frame has."""
+    return [free_name(df, base) for base in bases]
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about `limit` bytes of a text column.
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almagest.llm.common import free_name, settled, text_or_empty
+from almagest.llm.common import free_names, settled, text_or_empty
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -191,10 +191,10 @@ def leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, r
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The frame without the rows whose text holds a benchmark item."""
-    found = settled(leaks(df, benchmark, **options).select(F.col("doc_id").alias("l_doc"), F.col("print").alias("l_print")).distinct(), "bench-leaks")
-    name = free_name(df, "bench_print")
+    doc, print_, name = free_names(df, "leak_doc", "leak_print", "bench_print")
+    found = settled(leaks(df, benchmark, **options).select(F.col("doc_id").alias(doc), F.col("print").alias(print_)).distinct(), "bench-leaks")
     rows = df.withColumn(name, F.xxhash64(text_or_empty()))
-    return rows.join(found, rows["doc_id"].eqNullSafe(F.col("l_doc")) & (F.col(name) == F.col("l_print")), "left_anti").drop(name)
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(name) == F.col(print_)), "left_anti").drop(name)
 
 
 SQL = rf"""

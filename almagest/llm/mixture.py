@@ -7,19 +7,25 @@ relative to its size. Projected gradient in the metric of the token counts start
 1 and steps
 
     R_k = (sum_d r_d t_d p_dk - T_k) / E_k        E_k: expected tokens at rate 1
-    r_d = max(0, r_d - step * sum_k p_dk R_k)
-
-so a rate is a function of the document's posteriors and the few residuals so far. A round
-is one pass that sums K numbers; nothing per document is kept between rounds, and a lost
-executor only repeats its part of the pass.
-
-A rate becomes a whole number of copies by a hash of the document, so that the expected
-number is the rate; rates closer than `snap` to a whole number take that number.
-
-Defined cases. Null texts are empty: no tokens, posteriors of an empty text, copies by the
-same rule. Labels that are null or contradict each other are not used; with fewer than
-two labelled domains every document belongs to the only one (or to the first target).
-Repeated rows get equal rates and copies. An empty table gives an empty result. Other
+    z_d = max(-DEAD, z_d - step * sum_k p_dk R_k)
+
+where the rate r_d is z_d brought nearer to 1 by DEAD, and 1 where that reaches it. Documents
+that the targets hardly ask to change so keep the rate 1 exactly, and the others make up
+for them, as the residuals are those of the rates and not of z. A rate is a function of the
+document's posteriors and the few residuals so far. A round is one pass that sums K numbers;
+nothing per document is kept between rounds, and a lost executor only repeats its part of
+the pass.
+
+A rate becomes the whole number of copies below or above it. Documents are dealt by a hash of
+the id into groups of one leading domain and about `GROUP_ROWS` rows; a group is gone through
+from its longest document to its shortest, and each rounds to the side that brings the tokens
+given so far closest to those that the rates ask for. What is lost in a group is so at most half of
+one of its shortest documents, and the copies' totals keep to the totals of the rates.
+
+Defined cases. Null texts are empty: no tokens, posteriors of an empty text; documents without
+tokens round by a hash. Labels that are null or contradict each other are not used; with
+fewer than two labelled domains every document belongs to the only one (or to the first
+target). Repeated rows get equal rates and copies. An empty table gives an empty result. Other
 columns pass through `mix`.
 """
 
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almagest.llm.common import WORD, free_name, settled, sliced, text_or_empty
+from almagest.llm.common import WORD, free_names, settled, sliced, text_or_empty
 from almagest.llm.quality_rules import RATIOS, STATISTICS, features, statistics_of
 
 #: Bounds of what the classifier is learned from: labelled rows and words of its vocabulary.
@@ -42,6 +48,9 @@ MAX_LABELLED = 8_000
 MAX_VOCABULARY = 160
 MARKS = ".,;:!?\"'()[]{}«»¿¡*#$%&|<>"
 ROUNDS = 60
+#: Part of a rate's distance from 1 that is not followed.
+DEAD = 0.1
+GROUP_ROWS = 8192
 _WORDS = re.compile(WORD)
 
 
@@ -124,9 +133,14 @@ def learn(df: DataFrame, labelled: DataFrame, domains: list[str], max_labelled:
             outside = (seen - F.col(f"`{d}`") + 0.5) / (total - sizes[d] + 1.0)
             return F.col(f"`{d}`") * F.log(inside / outside)
 
-        score = F.greatest(*[telling(d) for d in sizes])
-        top = counts.select("word", score.alias("score")).orderBy(F.desc("score"), "word").limit(max_vocabulary)
-        vocabulary = [r[0] for r in top.collect()]
+        # every domain names its share of the words, so that none crowds out another's
+        scores = settled(counts.select("word", *[telling(d).alias(f"s{i}") for i, d in enumerate(sizes)]), "mixture-words")
+        # and none that chance may name among so many: the score is half a likelihood ratio's logarithm
+        chance = 2 * np.log(max(scores.count(), 2))
+        for i in range(len(sizes)):
+            top = scores.where(F.col(f"s{i}") > float(chance)).orderBy(F.desc(f"s{i}"), "word").limit(max_vocabulary // len(sizes))
+            vocabulary += [r[0] for r in top.collect()]
+        vocabulary = sorted(set(vocabulary))
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2, 1 << 20):
@@ -180,10 +194,10 @@ def posteriors(df: DataFrame, model: Classifier) -> DataFrame:
 
 def replay(p: np.ndarray, residuals: list[np.ndarray], step: float) -> np.ndarray:
     """Rates of documents with posteriors p after the rounds that left these residuals."""
-    r = np.ones(len(p))
+    z = np.ones(len(p))
     for g in residuals:
-        r = np.maximum(0.0, r - step * (p @ g))
-    return r
+        z = np.maximum(-DEAD, z - step * (p @ g))
+    return 1 + np.sign(z - 1) * np.maximum(np.abs(z - 1) - DEAD, 0.0)
 
 
 def _lists(column: pa.Array, k: int) -> np.ndarray:
@@ -210,10 +224,13 @@ class Rates:
         return member.mapInArrow(run, "doc_id long, print long, n_tokens long, p array<double>, rate double")
 
 
-def fit_rates(member: DataFrame, domains: list[str], weights: dict[str, float], budget: float | None = None, rounds: int = ROUNDS, tolerance: float = 1e-4) -> Rates:
+def fit_rates(member: DataFrame, domains: list[str], weights: dict[str, float], budget: float | None = None, rounds: int = ROUNDS, tolerance: float = 1e-3) -> Rates:
     """Least-squares rates for token targets `budget * weights`.
 
     Without a budget it is as large as the domain with the largest weight allows at rate 1.
+    Rounds end when every domain is within `tolerance` of its target (within a hundredth of the
+    budget, where the target is 0: posteriors are never quite 0), or where targets can't
+    be met, when the totals stand still.
     """
     k = len(domains)
     share = np.array([weights.get(d, 0.0) for d in domains])
@@ -250,19 +267,53 @@ def fit_rates(member: DataFrame, domains: list[str], weights: dict[str, float],
         after = totals(residuals, step)[:k]
         moved = np.abs(after - now).max() / max(expected.sum(), 1e-9)
         now = after
-        if moved < tolerance:
+        if (np.abs(now - targets) <= np.where(targets > 0, tolerance * targets, 0.01 * budget)).all() or moved < tolerance / 100:
             break
     return Rates(domains, residuals, step, targets, now)
 
 
-def copies(rate: Column, snap: float = 0.1) -> Column:
-    """Whole copies of a row by its rate and a hash of (doc_id, print)."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("copies"), "doc_id", "print"), 11) * F.lit(2.0**-53)
-    near = F.round(rate)
-    return F.when(F.abs(rate - near) <= snap, near).otherwise(F.floor(rate + u)).cast("long")
+def with_copies(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Rows (doc_id, print, n_tokens, p, rate) with their whole numbers of copies.
 
+    Rows that are equal in doc_id and print get equal numbers.
+    """
+    once = rows.groupBy("doc_id", "print").agg(F.count(F.lit(1)).alias("times"), F.first(F.struct("n_tokens", "p", "rate")).alias("v"))
+    once = settled(once.select("doc_id", "print", "times", "v.*"), "mixture-once")
+    groups = max(1, -(-once.count() // group_rows))
+    lead = F.array_position("p", F.array_max("p"))
+    group = F.pmod(F.xxhash64(F.lit("group"), "doc_id", "print"), F.lit(groups))
+    dealt = once.withColumns({"lead": lead, "group": group}).repartition("lead", "group")
+    ordered = dealt.sortWithinPartitions("lead", "group", F.desc("n_tokens"), F.xxhash64(F.lit("copies"), "doc_id", "print"), "doc_id", "print")
 
-def rated(df: DataFrame, labelled: DataFrame, weights: dict[str, float], snap: float = 0.1, budget: float | None = None) -> tuple[DataFrame, Rates]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, missing = None, 0.0
+        for batch in batches:
+            out = []
+            tokens, rate, times = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_tokens", "rate", "times"))
+            lead, group, chance = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lead", "group", "chance"))
+            for t, r, n, k, u in zip(tokens, rate, times, zip(lead, group, strict=True), chance, strict=True):
+                if k != current:
+                    current, missing = k, 0.0
+                low = int(r)
+                if r == low:
+                    out.append(low)
+                    continue
+                if t == 0:
+                    out.append(low + (u < r - low))
+                    continue
+                want = missing + (r - low) * t * n
+                more = want * 2 > t * n
+                missing = want - more * t * n
+                out.append(low + more)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.int64())], names=[*batch.schema.names[:6], "copies"])
+
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("copies"), "doc_id", "print"), 11) * F.lit(2.0**-53)
+    columns = ordered.select("doc_id", "print", "times", "n_tokens", "p", "rate", "lead", "group", chance.alias("chance"))
+    out = columns.mapInArrow(run, "doc_id long, print long, times long, n_tokens long, p array<double>, rate double, copies long")
+    return settled(out, "mixture-copies").withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("time", "times")
+
+
+def rated(df: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None) -> tuple[DataFrame, Rates]:
     """(doc_id, print, n_tokens, p, rate, copies) of all rows, and the fitted rates.
 
     `labelled` has (doc_id, domain); `weights` the wanted share of tokens per domain.
@@ -270,18 +321,18 @@ def rated(df: DataFrame, labelled: DataFrame, weights: dict[str, float], snap: f
     domains = list(weights)
     member = settled(posteriors(df, learn(df, labelled, domains)), "mixture-members")
     rates = fit_rates(member, domains, weights, budget)
-    return rates.applied(member).withColumn("copies", copies(F.col("rate"), snap)), rates
+    return with_copies(rates.applied(member)), rates
 
 
 def mix(df: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> DataFrame:
     """The frame with every row as often as its rate says: dropped, kept or repeated."""
     rows, _ = rated(df, labelled, weights, **options)
-    wanted = rows.where(F.col("copies") > 0).select(F.col("doc_id").alias("m_doc"), F.col("print").alias("m_print"), F.col("copies").alias("m_copies"))
-    wanted = settled(wanted.dropDuplicates(["m_doc", "m_print"]), "mixture-copies")
-    name = free_name(df, "mixture_print")
+    doc, print_, number, name = free_names(df, "mix_doc", "mix_print", "mix_copies", "mixture_print")
+    wanted = rows.where(F.col("copies") > 0).select(F.col("doc_id").alias(doc), F.col("print").alias(print_), F.col("copies").alias(number)).distinct()
     out = df.withColumn(name, F.xxhash64(text_or_empty()))
-    kept = out.join(wanted, out["doc_id"].eqNullSafe(F.col("m_doc")) & (F.col(name) == F.col("m_print")))
-    return kept.select(*[kept[c] for c in df.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_copies"))).alias(name)).drop(name)
+    kept = out.join(wanted, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(name) == F.col(print_)))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(number)))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns], again.alias(name)).drop(name)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -290,5 +341,12 @@ def quality_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-#: Shares of tokens that the registered query and the pipeline aim at.
+def language_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Domains of labelled documents: toxic, or else the language that `docs` names."""
+    langs = docs.select(F.col("doc_id").alias("lang_doc"), F.col("lang").alias("lang"))
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, F.col("lang"))
+    return labels.join(langs, F.col("doc_id") == F.col("lang_doc")).select("doc_id", domain.alias("domain"))
+
+
+#: Shares of tokens that the registered query aims at.
 WEIGHTS = {"clean": 0.97, "rough": 0.03, "toxic": 0.0}

@@ -85,13 +85,29 @@ def by_turn(conversations: DataFrame) -> DataFrame:
     )
 
 
+def _once(messages: DataFrame, *fields: str) -> DataFrame:
+    """(conv_id, msg, one): the row that counts of those with one id.
+
+    That of the highest score (null: 0), then of the smallest parent (null first), role and
+    text. `fields` is a beginning of minus (the negative score), parent, role, text; fewer of
+    them choose the same row, as what they leave out only decides between rows equal so far.
+    """
+    values = {
+        "minus": -F.coalesce("score", F.lit(0.0)),
+        "parent": F.col("parent"),
+        "role": F.coalesce("role", F.lit("")),
+        "text": F.coalesce("text", F.lit("")),
+    }
+    return messages.groupBy("conv_id", "msg").agg(F.min(F.struct(*[values[f].alias(f) for f in fields])).alias("one"))
+
+
 def paths(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
     """(conv_id, leaf, rank, path): root-to-leaf paths, ranked within their conversation.
 
     Rounds of self-joins; only ids, parents and scores take part. Every round doubles the
     reach: a path to a message is joined with the path to the message it hangs on.
     """
-    ids = settled(messages.select("conv_id", "msg", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["conv_id", "msg"]), "tree-ids")
+    ids = settled(_once(messages, "minus", "parent").select("conv_id", "msg", "one.parent", (-F.col("one.minus")).alias("score")), "tree-ids")
     known = ids.select(F.col("conv_id").alias("k_conv"), F.col("msg").alias("k_msg"))
     there = F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("parent") == F.col("k_msg"))
     up = F.when(F.col("k_msg").isNotNull() & (F.col("parent") != F.col("msg")), F.col("parent"))
@@ -123,7 +139,7 @@ def paths(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
 def formatted(messages: DataFrame, chosen: DataFrame) -> DataFrame:
     """(conv_id, leaf, rank, text, loss): one formatted text per path, with its loss mask."""
     steps = chosen.select(F.col("conv_id").alias("s_conv"), "leaf", "rank", F.posexplode("path").alias("pos", "s_msg"))
-    once = messages.select("conv_id", "msg", "role", "text").dropDuplicates(["conv_id", "msg"])
+    once = _once(messages, "minus", "parent", "role", "text").select("conv_id", "msg", "one.role", "one.text")
     turns = steps.join(once, F.col("s_conv").eqNullSafe(F.col("conv_id")) & (F.col("s_msg") == F.col("msg")))
     role = F.coalesce("role", F.lit(""))
     body = escape(F.coalesce("text", F.lit("")))

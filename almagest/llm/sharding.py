@@ -8,8 +8,9 @@ room. Shares differ by one row at most, so the law is `rows`.
 
 Only counts per cell (at most `cells` of them, whatever the input's size) reach the
 driver, which turns them into runs (cell, ranks from, to) -> (shard, first slot). Rows
-are ranked inside (cell, salt), where the salt is a hash of the id: a text with a third
-of all rows is one cell but `salts` groups.
+are ranked inside (cell, salt), where the salt is a hash of the id and a cell has as many
+salts as its count asks for: a text with a third of all rows is one cell but many groups of
+about `group_rows` rows.
 
 Defined cases. A null text is an empty one of size 8. A null id hashes like any value.
 Repeated rows each get a slot of their own. An empty table gives an empty result. Other
@@ -29,7 +30,8 @@ from almagest.llm.common import settled, text_or_empty
 
 CELL_BITS = 16
 NODES = 64
-SALTS = 64
+#: Rows that are ranked in one group; larger cells are dealt into several.
+GROUP_ROWS = 50_000
 
 
 def node_cells(shards: int, nodes: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def assign(counts: dict[int, int], shards: int, nodes: int = NODES, bits: int =
     return runs
 
 
-def shard(df: DataFrame, shards: int = 24, nodes: int = NODES, bits: int = CELL_BITS, salts: int = SALTS) -> DataFrame:
+def shard(df: DataFrame, shards: int = 24, nodes: int = NODES, bits: int = CELL_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """All rows of (doc_id, text, ...) with size, text_crc32, law, shard, slot, grown_shard.
 
     Small columns travel through the shuffle together with the rest of the row, so
@@ -88,43 +90,45 @@ def shard(df: DataFrame, shards: int = 24, nodes: int = NODES, bits: int = CELL_
     out = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     kept = [c for c in df.columns if c.lower() not in out]
     ring = F.xxhash64(text_or_empty())
+    # the row is one column, so none of its names can clash with those used here
     rows = df.select(
-        *[F.col(f"`{c}`") for c in kept],
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
+        F.col("doc_id").alias("id"),
         (F.octet_length(text_or_empty()).cast("long") + 8).alias("size"),
         F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
-        ring.alias("__ring"),
-        F.shiftrightunsigned(ring, 64 - bits).cast("int").alias("__cell"),
-        F.pmod(F.xxhash64(F.lit("salt"), F.col("doc_id")), F.lit(salts)).cast("int").alias("__salt"),
+        ring.alias("ring"),
+        F.shiftrightunsigned(ring, 64 - bits).cast("int").alias("cell"),
     )
-    return _placed(rows, kept, shards, nodes, bits)
+    return _placed(rows, shards, nodes, bits, group_rows)
 
 
-def _placed(rows: DataFrame, kept: list[str], shards: int, nodes: int, bits: int) -> DataFrame:
+def _placed(rows: DataFrame, shards: int, nodes: int, bits: int, group_rows: int) -> DataFrame:
     spark = rows.sparkSession
-    groups = settled(rows.groupBy("__cell", "__salt").agg(F.count(F.lit(1)).alias("__n")), "ring-groups")
-    before = Window.partitionBy("__cell").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select("__cell", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     # one row per cell of the ring: bounded by 2**bits
-    counts = {r[0]: r[1] for r in groups.groupBy("__cell").agg(F.sum("__n")).collect()}
-    runs = spark.createDataFrame(
-        assign(counts, shards, nodes, bits), "__cell int, __from long, __to long, shard int, __slot long"
-    )
-    inside = Window.partitionBy("__cell", "__salt").orderBy("__ring", "doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("__rank", F.row_number().over(inside) - 1)
-    rank = F.col("__rank") + F.col("__offset")
+    counts = {r[0]: r[1] for r in rows.groupBy("cell").agg(F.count(F.lit(1))).collect()}
+    crowded = [(c, -(-n // group_rows)) for c, n in counts.items() if n > group_rows]
+    crowded = F.broadcast(spark.createDataFrame(crowded, "cell int, salts int"))
+    salt = F.pmod(F.xxhash64(F.lit("salt"), F.col("id")), F.coalesce("salts", F.lit(1))).cast("int")
+    rows = rows.join(crowded, "cell", "left").withColumn("salt", salt).drop("salts")
+    groups = settled(rows.groupBy("cell", "salt").agg(F.count(F.lit(1)).alias("n")), "ring-groups")
+    before = Window.partitionBy("cell").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.select("cell", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    runs = spark.createDataFrame(assign(counts, shards, nodes, bits), "cell int, low long, high long, shard int, first long")
+    inside = Window.partitionBy("cell", "salt").orderBy("ring", "id", "size", "text_crc32")
+    ranked = rows.withColumn("place", F.row_number().over(inside) - 1)
     return (
-        ranked.join(offsets, ["__cell", "__salt"])
-        .withColumn("__rank", rank)
+        ranked.join(offsets, ["cell", "salt"])
+        .withColumn("place", F.col("place") + F.col("offset"))
         # 2**bits runs and a few per shard: a proven bound
-        .join(F.broadcast(runs), "__cell")
-        .where((F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
+        .join(F.broadcast(runs), "cell")
+        .where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
         .select(
-            *[F.col(f"`{c}`") for c in kept],
+            "row.*",
             "size",
             "text_crc32",
             F.lit("rows").alias("law"),
             "shard",
-            (F.col("__slot") + F.col("__rank") - F.col("__from")).alias("slot"),
+            (F.col("first") + F.col("place") - F.col("low")).alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
         )
     )

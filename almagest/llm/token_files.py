@@ -308,4 +308,5 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "part"],
                 )
 
-    return files.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
+    # a number of its own: left to itself, Spark merges rows this small into one task
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")

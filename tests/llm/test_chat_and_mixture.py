@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from almagest.llm import mixture, reply_trees
+from almagest.llm import decontamination, mixture, order_minhash, reply_trees, sharding
 from almagest.llm.common import settled
 from tests.llm.helpers import SCHEMA, frame, odd_rows
 
@@ -54,10 +54,15 @@ def test_trees_give_ranked_paths(spark):
         (2, 1, 2, "user", "circle", 1.0),
         (2, 2, 1, "user", "circle", 1.0),
         (3, 7, 7, "user", "itself", 1.0),
+        (4, 1, None, "user", "low", 0.0),  # one id, other texts: the higher score counts, then the smaller role and text
+        (4, 1, None, "user", "high", 3.0),
+        (4, 1, None, "tool", "high", 3.0),
+        (4, 1, None, "tool", "higher", 3.0),
     ]
     messages = spark.createDataFrame(rows, MESSAGES)
     found = {(r.conv_id, r["rank"]): r.path for r in reply_trees.paths(messages).collect()}
-    assert found == {(1, 1): [1, 2, 4], (1, 2): [1, 3], (1, 3): [5], (3, 1): [7]}
+    assert found == {(1, 1): [1, 2, 4], (1, 2): [1, 3], (1, 3): [5], (3, 1): [7], (4, 1): [1]}
+    assert reply_trees.formatted(messages, reply_trees.paths(messages)).where("conv_id = 4").first().text == "<<ROLE>>tool<</ROLE>>high<</SYS>>"
     best = reply_trees.formatted(messages, reply_trees.paths(messages, 1)).where("conv_id = 1").first()
     assert best.text == "[INST] root [/INST]<s>a</s>[INST] aa [/INST]"
     assert [best.text[s.start : s.end] for s in best.loss] == ["a"]
@@ -141,11 +146,80 @@ def test_mixture_of_odd_and_empty_tables(spark):
     assert mixture.mix(spark.createDataFrame([], SCHEMA), labels, {"a": 1.0}).count() == 0
 
 
-def test_copies_follow_the_rate(spark):
-    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").alias("print"), F.lit(1.3).alias("rate"))
-    got = rows.select(mixture.copies(F.col("rate")).alias("n")).agg(F.avg("n"), F.min("n"), F.max("n")).first()
-    assert abs(got[0] - 1.3) < 0.02 and got[1:] == (1, 2)
-    assert rows.select(mixture.copies(F.lit(1.04)).alias("n")).agg(F.min("n"), F.max("n")).first() == (1, 1)
+def test_copies_follow_the_rates(spark):
+    """Totals of tokens keep to the rates in every domain, and each number is one of the two nearest."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(6000):
+        p = rng.dirichlet([8.0, 0.3, 0.3])[rng.permutation(3)]
+        rows.append((i, i, int(rng.integers(0, 400)), [float(v) for v in p], float([1.3, 0.96, 0.4][int(p.argmax())])))
+    rows += [(-1, 5, 100, [1.0, 0.0, 0.0], 2.5)] * 3 + [(None, 7, 50, [0.0, 1.0, 0.0], 1.0)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, print long, n_tokens long, p array<double>, rate double")
+    got = mixture.with_copies(df, group_rows=1000).collect()
+    assert len(got) == len(rows) and len({r.copies for r in got if r.doc_id == -1}) == 1 and {r.copies for r in got if r.doc_id is None} == {1}
+    assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
+    t, p = np.array([r.n_tokens for r in got]), np.array([r.p for r in got])
+    wanted, given = (np.array([getattr(r, c) for r in got]) * t @ p for c in ("rate", "copies"))
+    assert np.allclose(given, wanted, rtol=0.005)
+    empty = [r for r in got if r.n_tokens == 0]
+    assert len(empty) > 5 and {r.copies - int(r.rate) for r in empty} == {0, 1}
+
+
+def three_domains():
+    rng = random.Random(4)
+    words = {d: [f"{d}{i}" for i in range(40)] for d in "abc"}
+    rows, labels = [], []
+    for i in range(900):
+        d = "aaaabbbbc"[i % 9]
+        rows.append((i, " ".join(rng.choice(words[d]) if rng.random() < 0.7 else f"n{rng.randrange(500)}" for _ in range(rng.randint(20, 200)))))
+        if i % 2:
+            labels.append((i, d))
+    return rows, labels
+
+
+def test_copies_meet_the_targets(spark):
+    """Realised tokens within 2 % of the targets in every domain: planted domains and the given tables."""
+    rows, labels = three_domains()
+    small = "/root/testdata/sf0.01"
+    given, table = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    cases = [
+        (frame(spark, rows), spark.createDataFrame(labels, "doc_id long, domain string"), {"a": 0.3, "b": 0.5, "c": 0.2}),
+        (given, mixture.quality_domains(table), mixture.WEIGHTS),
+    ]
+    for docs, domains, weights in cases:
+        out, rates = mixture.rated(docs, domains, weights)
+        got = out.collect()
+        total = np.array([r.copies * r.n_tokens for r in got]) @ np.array([r.p for r in got])
+        sought = rates.targets > 0
+        assert np.allclose(total[sought], rates.targets[sought], rtol=0.02)
+        assert total[~sought].sum() <= 0.02 * rates.targets.sum()
+
+
+def test_languages_are_domains(spark):
+    docs = spark.createDataFrame([(1, "en"), (2, "fr"), (3, None), (4, "en"), (5, "de")], "doc_id long, lang string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, None), (9, 0), (None, 0)], "doc_id long, toxic int")
+    assert {(r.doc_id, r.domain) for r in mixture.language_domains(docs, labels).collect()} == {(1, "en"), (2, "toxic"), (3, None), (4, None)}
+
+
+CLASHES = "head_doc head_print omh_print omh_number leak_doc leak_print bench_print mix_doc mix_print mix_copies mixture_print row id size ring cell salt salts place offset low high first node label print run value band text_crc32"
+
+
+def test_no_helper_column_clashes(spark):
+    """Frames that have the names of all helper columns pass through with their own values."""
+    docs = frame(spark, odd_rows()).drop("size", "print")
+    names = [c for c in CLASHES.split() if c not in docs.columns]
+    df = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    labels = spark.createDataFrame([(20, "a"), (100, "b")], "doc_id long, domain string")
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    kept = order_minhash.keep_one(df)
+    out = [kept, decontamination.drop_leaks(df, items), mixture.mix(df, labels, {"a": 1.0, "b": 1.0})]
+    for o in out:
+        assert o.columns == df.columns
+        first = o.first()
+        assert [first[c] for c in names] == list(range(len(names)))
+    placed = sharding.shard(df, 5)
+    assert placed.columns == [c for c in df.columns if c not in ("size", "text_crc32")] + ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert placed.count() == df.count() and out[1].count() == df.count()
 
 
 def test_pipeline_stages(spark):

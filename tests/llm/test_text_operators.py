@@ -24,7 +24,9 @@ def test_tokens_round_trip(spark):
     extra = [(300, "a  b"), (301, " a b "), (302, "a \n b\n\n  c   d"), (303, "it's <|endoftext|> x"), (304, "tab\t x")]
     rows = odd_rows() + extra
     manifest = token_files.write_tokens(frame(spark, rows), BPE, frame_tokens=500)
-    got = values(token_files.read_tokens(manifest), "doc_id", "start", "n_tokens", "ids_crc32")
+    read = token_files.read_tokens(manifest)
+    assert read.rdd.getNumPartitions() == manifest.count() > 1  # files are read side by side
+    got = values(read, "doc_id", "start", "n_tokens", "ids_crc32")
     tokenizer, expected, start = Tokenizer.from_file(BPE), [], 0
     for d, t in sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())):
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
@@ -159,7 +161,7 @@ def test_automaton_against_greedy_search():
 
 def test_shards_are_even_and_gapless(spark):
     rows = odd_rows() + [(1000 + i, "hot") for i in range(60)] + [(7, "hot"), (7, "hot")]
-    out = sharding.shard(frame(spark, rows), 5, nodes=8, bits=8, salts=4).collect()
+    out = sharding.shard(frame(spark, rows), 5, nodes=8, bits=8, group_rows=4).collect()
     assert len(out) == len(rows)
     slots: dict[int, list[int]] = {}
     for r in out:
