@@ -7,11 +7,12 @@ for the last returns the columns of `documents`:
 2. near_dedup: one row of each near-duplicate class stays, that of the smallest id.
 3. decontamination: rows that hold an item of the benchmark go.
 4. mixture: rows are dropped, kept or repeated by rates that move the expected tokens of
-   the domains to the target shares; rows of clean documents have rates near 1 and stay.
+   the domains, four languages and toxic texts, to the target shares.
 5. shard_ring: every row gets its shard and slot.
 
-SQL cannot express the learned stages, so there is no SQL for the whole; the tests hold
-each stage against brute force on small tables.
+SQL cannot express the learned stages, so there is no SQL for the whole. The tests hold the
+operators of all stages against brute force or plain Python on small tables, and the stages
+against each other's decisions.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from almagest.llm import decontamination, mixture, order_minhash, quality_rules,
 from almagest.llm.common import documents, settled
 
 SHARDS = 24
-#: Shares of tokens after the quality stage, which leaves nothing to aim at for rough texts.
-WEIGHTS = {"clean": 1.0, "toxic": 0.0}
+#: Shares of tokens that the mixture aims at.
+WEIGHTS = {"en": 0.62, "fr": 0.145, "de": 0.13, "es": 0.105, "toxic": 0.0}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixture.mix(docs, mixture.quality_domains(_labels(spark, sf_dir)), WEIGHTS)
+    return mixture.mix(docs, mixture.language_domains(docs, _labels(spark, sf_dir)), WEIGHTS)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
