@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almagest.functions.geo import (
     angular_distance,
@@ -16,7 +21,7 @@ from almagest.functions.geo import (
 )
 from almagest.functions.scalars import clamp, epoch_ms, slot_of_seconds
 from almagest.operators.keys import first_per_key, unnest
-from almagest.schema import BUCKET_SEC
+from almagest.schema import BUCKET_SEC, EARTH_KM
 
 
 def alert_features(records: DataFrame) -> DataFrame:
@@ -175,3 +180,65 @@ def densify(lines: DataFrame, keys: list[str], step_deg: float, line: str = "lin
 def distance_to(df: DataFrame, lon: float, lat: float) -> DataFrame:
     """Great-circle angle from every record to one position."""
     return df.withColumn("angle_deg", angular_distance(F.col("lon"), F.col("lat"), F.lit(lon), F.lit(lat)))
+
+
+def kept_points(lon: np.ndarray, lat: np.ndarray, tolerance_km: float) -> np.ndarray:
+    """Positions of the points to keep so that every dropped one is within the tolerance.
+
+    The farthest point of a stretch is kept while it lies farther from the great circle
+    segment between the stretch's ends than the tolerance (Douglas and Peucker), with an
+    explicit list of stretches instead of recursion.
+    """
+    n = len(lon)
+    x, y = np.radians(lon), np.radians(lat)
+    v = np.column_stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)])
+    keep = np.zeros(n, dtype=bool)
+    keep[[0, n - 1]] = True
+    open_ = [(0, n - 1)]
+    while open_:
+        a, b = open_.pop()
+        if b - a < 2:
+            continue
+        d = segment_angle(v[a + 1 : b], v[a], v[b])
+        far = int(d.argmax())
+        if d[far] * EARTH_KM > tolerance_km:
+            keep[a + 1 + far] = True
+            open_ += [(a, a + 1 + far), (a + 1 + far, b)]
+    return np.flatnonzero(keep)
+
+
+def segment_angle(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angles between unit vectors p and the great circle segment from a to b."""
+
+    def angle(u: np.ndarray) -> np.ndarray:
+        return 2 * np.arcsin(np.minimum(np.linalg.norm(p - u, axis=1) / 2, 1.0))
+
+    ends = np.minimum(angle(a), angle(b))
+    normal = np.cross(a, b)
+    size = np.linalg.norm(normal)
+    if size < 1e-12:  # no length, or half the globe
+        return ends
+    normal /= size
+    inside = (np.cross(normal, a) @ p.T > 0) & (np.cross(b, normal) @ p.T > 0)
+    return np.where(inside, np.arcsin(np.minimum(np.abs(p @ normal), 1.0)), ends)
+
+
+def simplify_tracks(tracks: DataFrame, keys: list[str], tolerance_km: float, samples: str = "samples") -> DataFrame:
+    """Lines with as few points as an error bound allows: keys, points, kept (positions), line.
+
+    `samples` is an array of structs with lon and lat, as `track_view` makes it: one time
+    chunk of an entity, of bounded length. The ends of a chunk are always kept, so the chunks
+    of a track join as before and the bound holds for the whole of it.
+    """
+    lists = tracks.where(F.size(samples) > 0).select(
+        F.struct(*keys).alias("key"), F.transform(samples, lambda p: p["lon"]).alias("lon"), F.transform(samples, lambda p: p["lat"]).alias("lat")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [kept_points(np.array(x), np.array(y), tolerance_km).tolist() for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.list_(pa.int32()))], names=["key", "lon", "lat", "kept"])
+
+    schema = T.StructType([*lists.schema.fields, T.StructField("kept", T.ArrayType(T.IntegerType()))])
+    line = F.transform("kept", lambda i: F.array(F.get("lon", i), F.get("lat", i)))
+    return lists.mapInArrow(run, schema).select("key.*", F.size("lon").alias("points"), "kept", line.alias("line"))

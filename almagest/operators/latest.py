@@ -135,3 +135,69 @@ class LatestTable:
         ids = [r.publish_id for r in current.select("publish_id").distinct().collect()]
         rows = rows.where(F.col("publish_id").isin(ids))
         return rows.join(current.select("part", "publish_id"), ["part", "publish_id"], "left_semi")
+
+
+def document_text(header: DataFrame, parts: DataFrame) -> DataFrame:
+    """The header row with `document`, the merged text of the usable parts in order of their number.
+
+    `parts` has part, position, body; names that begin with "flight:" are regions of one layer.
+    Bodies are taken as they are. There are as many parts as the fixed list names.
+    """
+    quoted = F.to_json(F.array("part"))
+    region = F.startswith("part", F.lit("flight:"))
+    name = F.when(region, F.to_json(F.array(F.substring("part", 8, 1_000_000)))).otherwise(quoted)
+    entry = F.concat(F.substring(name, 2, 1_000_000).substr(F.lit(1), F.length(name) - 2), F.lit(":"), F.col("body"))
+    pieces = parts.select("position", region.alias("region"), entry.alias("entry"))
+    lists = pieces.agg(
+        F.struct(
+            F.array_sort(F.collect_list(F.when(~F.col("region"), F.struct("position", "entry")))).alias("layers"),
+            F.array_sort(F.collect_list(F.when(F.col("region"), F.struct("position", "entry")))).alias("regions"),
+        ).alias("p")
+    )
+
+    def joined(c: str) -> Column:
+        return F.array_join(F.col(f"p.{c}.entry"), ",")
+
+    flight = F.when(F.size("p.regions") > 0, F.concat(F.lit('"flight":{"regions":{'), joined("regions"), F.lit("}}")))
+    layers = F.when(F.size("p.layers") > 0, joined("layers"))
+    stamp = F.date_format(F.col("updated_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    partial = F.when(F.size("partial") > 0, F.concat(F.lit('"partial":'), F.to_json("partial"), F.lit(","))).otherwise("")
+    text = F.concat(F.lit('{"updatedAt":"'), stamp, F.lit('",'), partial, F.lit('"layers":{'), F.concat_ws(",", layers, flight), F.lit("}}"))
+    return header.withColumn("p", lists.scalar()).select(*header.columns, text.alias("document"))
+
+
+@dataclass(frozen=True)
+class LatestDocument:
+    """The merged document of a fixed list of parts, published whole or not at all.
+
+    A missing part is named in `partial`, a broken one or having no part at all keeps the
+    document that is there. Documents are one row each in an append-only table; the newest is
+    the current one.
+    """
+
+    spark: SparkSession
+    root: str
+    names: tuple[str, ...]
+
+    def rows(self) -> DataFrame | None:
+        return read_table(self.spark, self.root, [])
+
+    def publish(self, parts: DataFrame, at_ms: int | None = None) -> bool:
+        """Assemble (part, body, uploaded_at) and publish; whether there is a new document."""
+        listed = self.spark.createDataFrame([(n, i) for i, n in enumerate(self.names)], "part string, position int")
+        known = parts.join(F.broadcast(listed), "part").withColumn("valid", body_is_object("body"))
+        header = assemble(known.select("part", "uploaded_at", "valid"), listed.select("part"))
+        now = F.timestamp_millis(F.lit(at_ms)) if at_ms is not None else F.current_timestamp()
+        rows = document_text(header.where("publish"), known.where("valid")).withColumn("published_at", now)
+        before = self.rows()
+        number = 0 if before is None else (before.agg(F.max("number")).first()[0] or 0) + 1
+        [row] = rows.collect() or [None]  # one document of the fixed list's parts
+        if row is None:
+            return False
+        self.spark.createDataFrame([row], rows.schema).withColumn("number", F.lit(number)).write.mode("append").parquet(self.root)
+        return True
+
+    def read(self) -> DataFrame | None:
+        """The current document, one row; None before the first."""
+        rows = self.rows()
+        return None if rows is None else rows.orderBy(F.col("number").desc()).limit(1)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from almagest.functions.scalars import date_of_slot
 from almagest.operators.keys import numbered
 from almagest.schema import (
     ALERT_RANK,
@@ -17,6 +20,7 @@ from almagest.schema import (
     PAGES_PER_CYCLE,
     STALE_AFTER_MS,
 )
+from almagest.session import read_table
 
 LEVELS = list(ALERT_RANK)
 
@@ -29,9 +33,55 @@ def attempts(entries: DataFrame, keys: list[str], chunk: Column, order: list[Col
     return numbered(entries, keys, chunk, order, "attempt")
 
 
-def append_status(entries: DataFrame, path: str) -> None:
-    """Append ledger rows; the ledger is never rewritten."""
-    entries.write.partitionBy("layer", "dt").mode("append").parquet(path)
+LEDGER_KEY = ["layer", "slot", "scheduled_ms"]
+
+
+def outcome_of(failed: Column, elements: Column, dropped: Column, capped: Column) -> Column:
+    """What a ledger row says of an attempt; null for one that needs none, a whole success.
+
+    failed: nothing usable came; empty: a good answer without elements; partial: some of
+    them were dropped; degraded: a cap cut the answer short.
+    """
+    return (
+        F.when(failed, "failed").when(capped, "degraded").when(elements == 0, "empty").when(dropped > 0, "partial")
+    )
+
+
+@dataclass(frozen=True)
+class StatusLedger:
+    """Attempts on append-only parquet, numbered from 0 per (layer, slot, scheduled_ms).
+
+    A batch writes to a folder of its own number, so a repeated batch replaces itself and
+    gives no new row. It goes on from the highest number that the batches before it have stored
+    for its keys; only folders of their dates are read. One writer at a time.
+    """
+
+    spark: SparkSession
+    root: str
+
+    def rows(self) -> DataFrame | None:
+        return read_table(self.spark, self.root, ["dt"])
+
+    def append(self, entries: DataFrame, batch_id: int, order: list[Column]) -> DataFrame:
+        """Number and store the entries of a batch; `order` tells repeated attempts of one batch apart."""
+        # one text per key, in which a null is no value but a key like others
+        key = F.to_json(F.struct(*LEDGER_KEY))
+        entries = entries.withColumns({"dt": date_of_slot("slot"), "ledger_key": key}).persist()
+        try:
+            fresh = attempts(entries, ["ledger_key"], F.col("slot"), order)
+            stored = self.rows()
+            if stored is not None:
+                # at most one date per folder of the table
+                dates = [r.dt for r in entries.select("dt").distinct().collect()]
+                before = stored.where(F.col("dt").isin(dates) & (F.col("batch") < batch_id))
+                marks = before.groupBy(key.alias("ledger_key")).agg((F.max("attempt") + 1).alias("next"))
+                fresh = fresh.join(marks, "ledger_key", "left")
+                fresh = fresh.withColumn("attempt", F.col("attempt") + F.coalesce("next", F.lit(0))).drop("next")
+            path = f"{self.root}/batch={batch_id}"
+            fresh.drop("ledger_key").write.partitionBy("dt").mode("overwrite").parquet(path)
+        finally:
+            entries.unpersist()
+        return self.rows().where(F.col("batch") == batch_id)
 
 
 def revisit_gap(visits: DataFrame, key: str, ms: str, tolerance_ms: int, cycle_ms: int, chunk_ms: int) -> DataFrame:
@@ -241,9 +291,10 @@ def halt_rows(usage_rows: DataFrame) -> DataFrame:
 
 
 def budget_flag(requests: DataFrame, budget: int = DAILY_BUDGET, share: float = BUDGET_SHARE) -> DataFrame:
-    """Per date: relaxed when the requests exceed the share of the budget, else cleared."""
-    return requests.groupBy("date").agg(F.sum("requests").cast("bigint").alias("requests")).withColumn(
-        "state", F.when(F.col("requests") > F.lit(budget * share), "relaxed").otherwise("cleared")
-    )
-
+    """Per date: relaxed when the requests exceed the share of the budget, else cleared.
 
+    A count of null is a query that failed: the date's flag is "unchanged", whatever else is known.
+    """
+    state = F.when(F.col("unknown") > 0, "unchanged").when(F.col("requests") > F.lit(budget * share), "relaxed").otherwise("cleared")
+    sums = requests.groupBy("date").agg(F.sum("requests").cast("bigint").alias("requests"), F.count_if(F.col("requests").isNull()).alias("unknown"))
+    return sums.select("date", "requests", state.alias("state"))

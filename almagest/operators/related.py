@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almagest.functions.geo import valid_lon_lat
-from almagest.schema import RELATED_KM, RELATED_MS
+from almagest.schema import EARTH_KM, RELATED_KM, RELATED_MS
 
-EARTH_KM = 6371.0088
 #: Rows of one cell that one task compares with; a cell with more is dealt over several.
 BLOCK_ROWS = 2_000
 

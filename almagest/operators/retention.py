@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -13,7 +14,7 @@ from almagest.operators.keys import first_per_key
 from almagest.operators.latest import LatestTable
 from almagest.operators.slots import SLOT_KEY, SlotTable
 from almagest.schema import DAY_MS, HOUR_MS, SLOT_DAYS, STAGING_HOURS
-from almagest.session import read_table
+from almagest.session import read_table, work_root
 
 GENERATION = ["layer", "dt", "slot", "generation", "publish_id"]
 #: A file that stopped being current may be in use by a reader that started before.
@@ -173,6 +174,21 @@ def vacuum_staging(spark: SparkSession, root: str, now_ms: int, hours: int = STA
     return _delete(spark, old)
 
 
+def vacuum_work(spark: SparkSession, now_ms: int, age_ms: int = DAY_MS) -> int:
+    """Delete the intermediate tables of jobs that began more than `age_ms` ago; their number.
+
+    Only folders with names that `session.shared_dir` gives are looked at. Jobs that run
+    longer than that need a larger age.
+    """
+    conf, old = spark._jsc.hadoopConfiguration(), []
+    for folder in _folders(spark, work_root(spark), 1):
+        if re.fullmatch(r"[a-z0-9-]+-[0-9a-f]{32}", folder.rsplit("/", 1)[-1]):
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if at.getFileSystem(conf).getFileStatus(at).getModificationTime() < now_ms - age_ms:
+                old.append(folder)
+    return _delete(spark, old)
+
+
 def vacuum_dates(spark: SparkSession, root: str, now_ms: int, days: int) -> int:
     """Delete date folders (dt=yyyy-MM-dd) right below the root that are older than `days`."""
     limit = spark.range(1).select(F.date_format(F.timestamp_millis(F.lit(now_ms - days * DAY_MS)), "yyyy-MM-dd")).first()[0]

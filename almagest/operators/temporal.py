@@ -185,8 +185,20 @@ def news_instant(now_ms: Column, as_of_ms: Column) -> Column:
     return F.greatest(now_ms, as_of_ms)
 
 
+def slice_files(df: DataFrame, now_ms: int, window_ms: int, at: str = "occurred_at", ingested: str = "ingested_at") -> DataFrame:
+    """Records of files, whose time is the file's end and may be ahead of the clock.
+
+    T is the later one of the clock and the newest file that is there: [T - window, T].
+    Records ingested after the clock do not exist yet. The newest time is a scalar subquery.
+    """
+    known = df.where(F.col(ingested) <= instant(df, ingested, now_ms)) if ingested in df.columns else df
+    t = news_instant(F.lit(now_ms), known.agg(F.max(epoch_ms(at)).alias("t")).scalar())
+    return known.where(epoch_ms(at).between(t - window_ms, t))
+
+
 SLICES: dict[str, Callable[[DataFrame, int, int | None], DataFrame]] = {
     "instant": lambda df, t, window: slice_occurrence(df, t, window).withColumn("stale", F.lit(False)),
+    "file": lambda df, t, window: slice_files(df, t, window).withColumn("stale", F.lit(False)),
     "interval": lambda df, t, _: visible(slice_interval(df, t)).withColumn("stale", F.lit(False)),
     "sampled": lambda df, t, tolerance: latest_per_entity(df, t, tolerance),
 }

@@ -144,6 +144,14 @@ def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
 
 
+def news_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of 15-minute files, which are there five minutes before they end."""
+    start = slot_of("ts")
+    return events(spark, sf_dir).select(
+        F.col("event_id").alias("id"), F.timestamp_seconds(start + 900).alias("occurred_at"), F.timestamp_seconds(start + 600).alias("ingested_at"), "lon", "lat"
+    )
+
+
 def as_polls(events: DataFrame) -> DataFrame:
     """Events, of a table or a stream, as a poll log."""
     e = F.col("event_id") % 10

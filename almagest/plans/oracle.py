@@ -659,3 +659,47 @@ n AS (SELECT layer, id, CAST({FIRST - DAY} + snapshot * {6 * HOUR} AS BIGINT) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY arrived_ms DESC, id) AS place FROM n)
 SELECT layer, id, arrived_ms FROM r WHERE place <= CASE layer WHEN 'click' THEN 100 ELSE 50 END
   AND (layer <> 'click' OR {LAST} - arrived_ms < {36 * HOUR})"""
+TN = T + 700000
+ORACLE["world_state_four"] = f"""
+WITH {WORLD.replace(str(T - DAY), str(TN - DAY)).replace(str(T), str(TN))}, files AS (
+  SELECT event_id AS id, ({slot(900)} + 900) * 1000 AS at_ms FROM events WHERE ({slot(900)} + 600) * 1000 <= {TN}),
+newest AS (SELECT greatest({TN}, max(at_ms)) AS t FROM files)
+SELECT layer, id, at_ms, stale FROM world
+UNION ALL SELECT 'news', id, at_ms, FALSE FROM files, newest WHERE at_ms BETWEEN t - {2 * HOUR} AND t"""
+ORACLE["ledger_attempts"] = f"""
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'failed' WHEN event_id % 11 = 0 THEN 'degraded' WHEN event_id % 7 = 0 THEN 'empty'
+    WHEN event_id % 3 > 0 THEN 'partial' ELSE 'ok' END AS outcome,
+  row_number() OVER (PARTITION BY event_type, {slot(86400)} ORDER BY event_id % 2, event_id) - 1 AS attempt FROM events"""
+ORACLE["latest_document"] = """
+WITH p AS (SELECT CASE WHEN event_type IN ('purchase', 'signup') THEN 'flight:' || event_type ELSE event_type END AS part, count(*) AS n,
+    date_trunc('day', max(ts)) AS up FROM events GROUP BY 1),
+b AS (SELECT *, CASE part WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'flight:purchase' THEN 2 WHEN 'flight:signup' THEN 3 ELSE 4 END AS i FROM p),
+d AS (SELECT k, '{"updatedAt":"' || strftime(max(up), '%Y-%m-%dT%H:%M:%S') || '.000Z",' || CASE k WHEN 0 THEN '"partial":["click"],' ELSE '' END || '"layers":{' ||
+    string_agg('"' || part || '":{"records":' || n || '}', ',' ORDER BY i) FILTER (part NOT LIKE 'flight:%') || ',"flight":{"regions":{' ||
+    string_agg('"' || part[8:] || '":{"records":' || n || '}', ',' ORDER BY i) FILTER (part LIKE 'flight:%') || '}}}}' AS document
+  FROM b, range(2) r(k) WHERE k = 1 OR part <> 'click' GROUP BY k)
+SELECT r.k AS round, r.k IN (0, 3) AS published, CASE WHEN r.k = 3 THEN 1 ELSE 0 END AS number, document
+FROM range(4) r(k) JOIN d ON d.k = CASE WHEN r.k = 3 THEN 1 ELSE 0 END"""
+ORACLE["canonical_order"] = """
+SELECT 'all' AS id, 0 AS files, CAST(NULL AS DOUBLE) AS value, TRUE AS sorted
+UNION ALL SELECT 'e' || event_id, 1, value, TRUE FROM events WHERE event_id IN (0, 1234, 77, 5)"""
+ORACLE["bounded_slot_stream"] = f"""
+WITH c AS (SELECT {slot(900)} AS slot, CAST(floor((floor((epoch_us(ts) // 1000) / 1000) + event_id % 4 * 900) / 900) * 900 AS BIGINT) AS landed FROM events)
+SELECT 'slots' AS kind, slot, count(*) AS records FROM c WHERE slot >= landed - 900 GROUP BY slot
+UNION ALL SELECT 'late', landed, count(*) FROM c WHERE slot < landed - 900 GROUP BY landed"""
+ORACLE["alert_pages"] = """
+WITH d AS (SELECT event_id // 100 AS doc, count(*) AS n, count(*) FILTER (event_id % 5 < 2) AS cur FROM events GROUP BY 1)
+SELECT doc // 24 AS cycle, CASE doc % 3 WHEN 0 THEN 'Green' WHEN 1 THEN 'Orange' ELSE 'Red' END AS level, doc // 3 % 8 + 1 AS page,
+  CASE WHEN doc % 19 = 7 THEN 0 ELSE n END AS features, CASE WHEN doc % 19 = 7 THEN 0 ELSE cur END AS current, doc % 19 = 7 AS failed FROM d"""
+ORACLE["slot_manifest"] = f"""
+WITH {SIDES}, s AS (SELECT slot, count(*) AS n FROM stored GROUP BY 1), m AS (SELECT slot, count(*) AS n FROM merged GROUP BY 1),
+i AS (SELECT slot, count(*) AS n FROM incoming GROUP BY 1)
+SELECT slot, 0 AS generation, n AS records, n AS incoming, 0 AS dropped FROM s
+UNION ALL SELECT slot, CASE WHEN slot IN (SELECT slot FROM s) THEN 1 ELSE 0 END, m.n, i.n, 0 FROM m JOIN i USING (slot)
+  WHERE slot IN (SELECT slot FROM diff)"""
+ORACLE["pointer_shard"] = f"""
+WITH {SIDES} SELECT slot, CASE WHEN slot IN (SELECT slot FROM diff) AND slot IN (SELECT slot FROM stored) THEN 1 ELSE 0 END AS generation,
+  count(*) AS records FROM merged WHERE slot = 1704758400 GROUP BY slot"""
+ORACLE["budget_unknown"] = """
+WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS date, CASE WHEN event_id % 500 = 499 AND day(ts) % 3 = 0 THEN NULL ELSE event_id % 500 END AS n FROM events)
+SELECT date, CAST(sum(n) AS BIGINT) AS requests, CASE WHEN count(*) > count(n) THEN 'unchanged' WHEN sum(n) > 80000 THEN 'relaxed' ELSE 'cleared' END AS state FROM r GROUP BY 1"""

@@ -22,6 +22,7 @@ from almagest.operators import (
     ledger,
     links,
     merge,
+    ordered,
     publish,
     rates,
     related,
@@ -148,6 +149,20 @@ def world_state_box(spark, sf):
     return boxed.select("layer", "id", r6("lon", "lon"), r6("lat", "lat"))
 
 
+@query
+def world_state_four(spark, sf):
+    """All four layers; the newest news file is ahead of the clock."""
+    at = F.coalesce(S.epoch_ms("occurred_at"), S.epoch_ms("valid_from"), S.epoch_ms("sampled_at"))
+    layers = {
+        "earthquake": X.occurrences(spark, sf).select("id", F.col("occurred_at").cast("timestamp").alias("occurred_at")),
+        "weather": X.intervals(spark, sf).select("id", "valid_from", "valid_to", "status"),
+        "flight": X.observations(spark, sf).withColumn("id", F.col("arrival_seq")),
+        "news": X.news_records(spark, sf).select("id", "occurred_at", "ingested_at"),
+    }
+    rows = temporal.world_state(layers, X.T_MS + 700_000, SPEC | {"news": ("file", 2 * X.HOUR_MS)})
+    return rows.select("layer", "id", at.alias("at_ms"), "stale")
+
+
 @query
 def legacy_repair(spark, sf):
     rows = X.intervals(spark, sf, legacy=True).withColumns(
@@ -204,6 +219,13 @@ def unwrap_tracks(spark, sf):
     return points.select("entity_id", "span", "pos", r6("lon", "lon"), r6("lat", "lat"))
 
 
+@query
+def simplify_tracks(spark, sf):
+    """Paths with as few points as a tolerance of 500 km allows."""
+    rows = features.simplify_tracks(X.day_paths(spark, sf), ["entity_id", "span"], 500.0)
+    return rows.select("entity_id", "span", "points", F.concat_ws(",", F.transform("kept", lambda i: i.cast("string"))).alias("kept"))
+
+
 @query
 def densify_tracks(spark, sf):
     points = features.densify(X.day_paths(spark, sf), ["entity_id", "span"], 10.0)
@@ -391,6 +413,17 @@ def feed_alert(spark, sf):
     )
 
 
+@query
+def alert_pages(spark, sf):
+    """Page statistics by the addresses in the documents' paths."""
+    doc = F.col("doc_no")
+    level = F.get(F.array(*[F.lit(v) for v in ("Green", "Orange", "Red")]), (doc % 3).cast("int"))
+    page = F.floor(doc / 3) % 8 + 1
+    path = F.concat(F.lit("landing/list?alertlevel="), level, F.when(page == 1, "").otherwise(F.concat(F.lit("&pagenumber="), page.cast("string"))), F.lit("&pagesize=100"))
+    body = F.when(doc % 19 == 7, '{"features":null}').otherwise(F.col("body"))
+    return feeds.alert_pages(_alert_docs(spark, sf).withColumns({"path": path, "cycle": F.floor(doc / 24), "body": body}))
+
+
 @query
 def feed_counters(spark, sf):
     """Records, drops and skips of all three feeds, added up over their documents."""
@@ -645,6 +678,18 @@ def _slot_sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("slot").agg(F.count(F.lit(1)).alias("records"), F.sum("revision").alias("revisions"))
 
 
+@query
+def slot_manifest(spark, sf):
+    """Every generation with its counts."""
+    return _published_twice(spark, sf).manifest().select("slot", "generation", "records", "incoming", "dropped")
+
+
+@query
+def pointer_shard(spark, sf):
+    """The slots of one date that exist, from that date's folder alone."""
+    return _published_twice(spark, sf).pointers("2024-01-09").select("slot", "generation", "records")
+
+
 @query
 def slot_read_pinned(spark, sf):
     """The first generation of every slot, whenever it was published."""
@@ -818,6 +863,41 @@ def freshest_part(spark, sf):
     return latest.freshest(latest.replace_newer(_part_headers(spark, sf, 0), _part_headers(spark, sf, 1)))
 
 
+DOCUMENT_PARTS = ("click", "error", "flight:purchase", "flight:signup", "view")
+
+
+@query
+def latest_document(spark, sf):
+    """The document that readers see after each of four publishes: without one part, with a broken part, without any, whole."""
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    name = F.when(F.col("event_type").isin("purchase", "signup"), F.concat(F.lit("flight:"), "event_type")).otherwise(F.col("event_type"))
+    parts = X.table(spark, sf, "events").groupBy(name.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max(day).alias("uploaded_at"))
+    parts = parts.withColumn("body", F.concat(F.lit('{"records":'), F.col("n").cast("string"), F.lit("}")))
+    broken = F.when(F.col("part") == "error", F.substring("body", 1, 9)).otherwise(F.col("body"))
+    table = latest.LatestDocument(X.use_utc(spark), shared_dir(spark, "document"), DOCUMENT_PARTS)
+    rounds = [parts.where("part <> 'click'"), parts.withColumn("body", broken), parts.limit(0), parts]
+    out = None
+    for i, given in enumerate(rounds):
+        published = table.publish(given)
+        shown = table.read().select(F.lit(i).alias("round"), F.lit(published).alias("published"), "number", "document")
+        shown = spark.createDataFrame(shown.collect(), shown.schema)  # one row
+        out = shown if out is None else out.unionByName(shown)
+    return out
+
+
+@query
+def canonical_order(spark, sf):
+    """Point reads of a table in order of its text ids, and how many files each opens."""
+    rows = X.table(spark, sf, "events").select(F.concat(F.lit("e"), eid().cast("string")).alias("id"), "value")
+    table = ordered.OrderedTable(X.use_utc(spark), shared_dir(spark, "ordered"), "id")
+    table.write(rows, 1_000)
+    out = table.is_sorted().select(F.lit("all").alias("id"), F.lit(0).alias("files"), F.lit(None).cast("double").alias("value"), "sorted")
+    for key in ("e0", "e1234", "e77", "e5"):
+        found = table.read(key, key).withColumn("files", F.lit(len(table.files(key, key)))).withColumn("sorted", F.lit(True))
+        out = out.unionByName(found)
+    return out
+
+
 # --- arrivals -----------------------------------------------------------------------------
 
 
@@ -940,6 +1020,20 @@ def status_attempts(spark, sf):
     return numbered.select("event_id", "attempt")
 
 
+@query
+def ledger_attempts(spark, sf):
+    """Attempts of two runs, the second one repeated: numbers go on and nothing counts twice."""
+    e = eid()
+    rows = X.table(spark, sf, "events").select(
+        F.col("event_type").alias("layer"), S.slot_of("ts", 86_400).alias("slot"), (S.slot_of("ts", 86_400) * 1000).alias("scheduled_ms"), "event_id",
+        F.coalesce(ledger.outcome_of(e % 10 == 0, e % 7, e % 3, e % 11 == 0), F.lit("ok")).alias("outcome"),
+    )
+    log = ledger.StatusLedger(X.use_utc(spark), shared_dir(spark, "ledger"))
+    for batch, part in enumerate([rows.where(e % 2 == 0), rows.where(e % 2 == 1), rows.where(e % 2 == 1)]):
+        log.append(part, min(batch, 1), [eid().asc()])
+    return log.rows().select("event_id", "outcome", "attempt")
+
+
 @query
 def revisit_gap(spark, sf):
     rows = X.table(spark, sf, "events").select("user_id", S.epoch_ms("ts").alias("ms"))
@@ -1019,6 +1113,14 @@ def usage_by_prefix(spark, sf):
     return ledger.usage(X.table(spark, sf, "documents"), "source", "n_chars", 1_000_000)
 
 
+@query
+def budget_unknown(spark, sf):
+    """Some days have an hour whose count could not be asked for."""
+    failed = (eid() % 500 == 499) & (F.dayofmonth("ts") % 3 == 0)
+    rows = X.table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.when(~failed, eid() % 500).alias("requests"))
+    return ledger.budget_flag(rows)
+
+
 @query
 def budget_flag(spark, sf):
     rows = X.table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("date"), (eid() % 500).alias("requests"))
@@ -1115,6 +1217,17 @@ def slot_tumbling_stream(spark, sf):
     return jobs.slot_counts(X.use_utc(spark), sf, "events.parquet", shared_dir(spark, "slot-stream"))
 
 
+@query
+def bounded_slot_stream(spark, sf):
+    """Slots of rows that land in time, and rows that land too late by the slot they land in."""
+    stream = jobs.stream_table(X.use_utc(spark), sf, "events.parquet")
+    landed = F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + eid() % 4 * 900)
+    work = shared_dir(spark, "bounded-slots")
+    jobs.bounded_slot_counts(stream.select("ts", landed.alias("landed_at")), work)
+    kinds = [jobs.current_rows(spark, f"{work}/{k}", ["slot"]).withColumn("kind", F.lit(k)) for k in ("slots", "late")]
+    return kinds[0].unionByName(kinds[1]).select("kind", "slot", "records")
+
+
 @query
 def poll_status_stream(spark, sf):
     polls = X.as_polls(jobs.stream_table(X.use_utc(spark), sf, "events.parquet"))

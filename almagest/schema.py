@@ -16,11 +16,12 @@ TRACK_TTL_MS = 6 * HOUR_MS
 ARRIVAL_LIFE_MS = 10 * MINUTE_MS
 RELATED_MS = 60 * MINUTE_MS
 RELATED_KM = 300.0
+EARTH_KM = 6371.0088
 
 # --- fixed values: slice rule per layer ---------------------------------------
 TEMPORAL_SPEC = {
     "earthquake": ("instant", HOUR_MS),
-    "news": ("instant", 2 * HOUR_MS),
+    "news": ("file", 2 * HOUR_MS),
     "weather": ("interval", None),
     "flight": ("sampled", 20 * MINUTE_MS),
 }

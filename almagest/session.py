@@ -61,14 +61,17 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder for intermediate tables, below the cluster's shared folder.
+def work_root(spark: SparkSession) -> str:
+    """The cluster's shared folder, or one in the warehouse where that is not set.
 
-    Where that is not set, the warehouse is used: driver and executors share it too.
-    The session's settings are not changed.
+    Driver and executors share both. The session's settings are not changed.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return (spark.conf.get(CHECKPOINT_KEY, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work").rstrip("/")
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder for intermediate tables, below the cluster's shared folder."""
+    return f"{work_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def read_table(spark: SparkSession, path: str, partitions: list[str]) -> DataFrame | None:

@@ -31,7 +31,6 @@ from almagest.operators.keys import computed_once, unnest
 from almagest.schema import BUCKET_SEC, EXPIRED_GRACE_MS, GEOMETRY, SLOT_MAX_SEC, SLOT_MIN_SEC, SLOT_SEC
 
 OK, DROPPED, SKIPPED = "ok", "dropped", "skipped"
-ELEMENTS_PER_DOC = 1 << 20
 
 
 def parsed(docs: DataFrame, container: str) -> DataFrame:
@@ -55,13 +54,9 @@ def elements(docs: DataFrame, container: str, carry: list[Column | str]) -> Data
     """One row per element of every good document, carrying only the named columns."""
     opened = computed_once(docs, [c for c in docs.columns if c != "body"], [V.parse("body").alias("doc")])
     items = V.elements(F.col("doc"), f"$.{container}")
-    known = "seq_base" in docs.columns
-    base = F.col("seq_base") if known else F.col("doc_no") * F.lit(2**32)
+    base = F.col("seq_base") if "seq_base" in docs.columns else F.col("doc_no") * F.lit(2**32)
     rows = unnest(opened, items, [*carry, "doc_no", base.alias("seq_base")], "pos", "item")
-    fits = F.col("pos")
-    if known:
-        fits = F.when(F.col("pos") < ELEMENTS_PER_DOC, fits).otherwise(F.raise_error(F.lit("too many elements in one document")))
-    return rows.withColumn("arrival_seq", F.col("seq_base") + fits).drop("seq_base")
+    return rows.withColumn("arrival_seq", F.col("seq_base") + F.col("pos")).drop("seq_base")
 
 
 def counters(rows: DataFrame) -> DataFrame:
@@ -265,6 +260,29 @@ def alerts(docs: DataFrame, grace_ms: int = EXPIRED_GRACE_MS) -> DataFrame:
     )
 
 
+def page_address(path: Column) -> tuple[Column, Column]:
+    """Level and page of a list document, from the parameters in its path; page 1 if none is named."""
+    level = F.nullif(F.regexp_extract(path, "alertlevel=([A-Za-z]+)", 1), F.lit(""))
+    page = F.regexp_extract(path, r"pagenumber=(\d{1,9})", 1)
+    return level, F.when(page == "", F.lit(1)).otherwise(page.cast("int")).cast("bigint")
+
+
+def alert_pages(docs: DataFrame) -> DataFrame:
+    """Page statistics of list documents (doc_no, cycle, path, body): what `ledger.page_progress` reads.
+
+    (cycle, level, page, features, current, failed); a document without a list is a failed page.
+    """
+    level, page = page_address(F.col("path"))
+    named = docs.withColumns({"level": level, "page": page})
+    status = document_status(named, "features", ["doc_no", "cycle", "level", "page"])
+    current = V.flag(F.col("item"), "$.properties.iscurrent")
+    counts = elements(named, "features", []).groupBy("doc_no").agg(F.count_if(current).alias("current"))
+    return status.join(counts, "doc_no", "left").select(
+        "cycle", "level", "page", F.coalesce("elements", F.lit(0)).cast("bigint").alias("features"),
+        F.coalesce("current", F.lit(0)).alias("current"), (F.col("outcome") == "failed").alias("failed"),
+    )
+
+
 def cyclone_geometry(docs: DataFrame) -> DataFrame:
     """Geometry documents to one row each: track, cone and current centre.
 

@@ -20,20 +20,19 @@ from almagest.session import read_table
 from almagest.sources import feeds
 
 
-DOCS_PER_SECOND = 1 << 12
+def numbered_documents(docs: DataFrame, container: str) -> DataFrame:
+    """Documents with outcome, elements, doc_no and seq_base, in the order of landing time and then path.
 
-
-def numbered_documents(docs: DataFrame) -> DataFrame:
-    """Documents with doc_no, their order by landing time and then path, and seq_base.
-
-    Documents that landed in the same second have numbers of their own, so no two elements
-    share an arrival_seq. Only paths and times are ordered, one second at a time.
+    A second has a range of 2**32 numbers of its own. Documents that landed in it are laid out
+    one after the other by how many elements they hold, so no two elements share an
+    arrival_seq, however many documents or elements there are. Only paths, times and sizes
+    are ordered, one second at a time.
     """
-    rank = F.row_number().over(Window.partitionBy("second").orderBy("landed_at", "path")) - 1
-    fits = F.when(F.col("rank") < DOCS_PER_SECOND, F.col("rank")).otherwise(F.raise_error(F.lit("too many documents in one second")))
-    order = docs.select("path", "landed_at", F.unix_seconds("landed_at").alias("second")).withColumn("rank", rank)
-    number = F.col("second") * DOCS_PER_SECOND + fits
-    order = order.select("path", "landed_at", number.alias("doc_no"), (number * feeds.ELEMENTS_PER_DOC).alias("seq_base"))
+    sizes = feeds.document_status(docs, container, ["path", "landed_at"]).withColumn("second", F.unix_seconds("landed_at"))
+    before = Window.partitionBy("second").orderBy("landed_at", "path").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("second") * F.lit(1 << 32)
+    held = F.coalesce(F.sum("elements").over(before), F.lit(0))
+    order = sizes.select("path", "landed_at", "outcome", "elements", (base + F.count("path").over(before)).alias("doc_no"), (base + held).alias("seq_base"))
     return docs.join(order, ["path", "landed_at"])
 
 
@@ -75,7 +74,7 @@ class Ingest:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/n={batch_id}")
 
     def _prepared(self, docs: DataFrame) -> DataFrame:
-        docs = numbered_documents(docs)
+        docs = numbered_documents(docs, self.container)
         docs = self.prepare(docs) if self.prepare else docs
         defaults = {"part": F.lit(self.layer), "as_of": F.col("landed_at")}
         docs = docs.withColumns({c: v for c, v in defaults.items() if c not in docs.columns})
@@ -88,7 +87,7 @@ class Ingest:
         docs = self._prepared(docs).persist()
         rows = self.normalize(docs).join(docs.select("doc_no", "part", "as_of"), "doc_no").persist()
         try:
-            outcomes = feeds.document_status(docs, self.container, keep=["path", "landed_at", "part", "as_of", "doc_no"]).persist()
+            outcomes = docs.select("path", "landed_at", "part", "as_of", "doc_no", "outcome", "elements")
             counts = rows.groupBy("doc_no").agg(
                 F.count_if(F.col("verdict") == feeds.DROPPED).alias("dropped"), F.count_if(F.col("verdict") == feeds.SKIPPED).alias("skipped")
             )
@@ -113,7 +112,6 @@ class Ingest:
                 F.count_if("committed").alias("committed"), F.count_if(~F.col("committed")).alias("too_late")
             )
             self._save(late, "lateness", batch_id)
-            outcomes.unpersist()
         finally:
             rows.unpersist()
             docs.unpersist()

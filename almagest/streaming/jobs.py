@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from almagest.operators.keys import first_per_key
 from almagest.operators.ledger import poll_summary
+from almagest.operators.slots import commit_window, with_slot
 from almagest.schema import SLOT_SEC
 
 
@@ -21,7 +23,7 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
     )
 
 
-def run_updates(updates: DataFrame, work: str) -> None:
+def run_updates(updates: DataFrame, work: str) -> StreamingQuery:
     """Run an updating aggregation over everything that is there, keeping each batch's updates.
 
     A batch writes to a folder of its own number, so a repeated batch replaces itself.
@@ -40,6 +42,7 @@ def run_updates(updates: DataFrame, work: str) -> None:
         .start()
     )
     running.awaitTermination()
+    return running
 
 
 def current_rows(spark: SparkSession, work: str, keys: list[str]) -> DataFrame:
@@ -72,3 +75,26 @@ def poll_summary_stream(polls: DataFrame, work: str) -> DataFrame:
     """
     run_updates(poll_summary(polls), work)
     return current_rows(polls.sparkSession, work, ["layer"])
+
+
+def bounded_slot_counts(events: DataFrame, work: str, at: str = "ts", landed: str = "landed_at", width_sec: int = SLOT_SEC) -> tuple[StreamingQuery, StreamingQuery]:
+    """Tumbling slots with state that ends, and late rows counted beside them.
+
+    A row is on time if its slot is the current or the previous one when it lands; the
+    others go to a side output, counted by the slot in which they landed. Both streams have a
+    watermark of two slots behind, on the event time and on the landing time: no row that
+    is on time comes after it, as events do not lie in the future, and slots that it
+    has passed leave the state. Updates are kept per batch: see `current_rows` on
+    work/slots (slot) and work/late (slot).
+    """
+    bound = f"{2 * width_sec} seconds"
+    event, arrival = F.col(at).cast("timestamp"), F.col(landed).cast("timestamp")
+    timed = events.withColumns({at: event, landed: arrival}).where(F.col(at).isNotNull() & F.col(landed).isNotNull())
+    placed = commit_window(with_slot(timed, at, width_sec), F.unix_seconds(landed), width_sec)
+
+    def counted(rows: DataFrame, time: str, name: str) -> StreamingQuery:
+        slot = F.window(time, f"{width_sec} seconds")
+        updates = rows.withWatermark(time, bound).groupBy(slot.alias("w")).agg(F.count(F.lit(1)).alias("records"))
+        return run_updates(updates.select(F.unix_seconds("w.start").alias("slot"), "records"), f"{work}/{name}")
+
+    return counted(placed.where("committed"), at, "slots"), counted(placed.where("NOT committed"), landed, "late")

@@ -13,6 +13,7 @@ from almagest.plans.queries import QUERIES
 STREAMS = {
     "slot_tumbling_stream", "poll_status_stream", "slot_publish", "latest_publish",
     "freshness_stream", "arrival_stream", "gated_publish", "vacuumed_slots", "pinned_snapshot",
+    "ledger_attempts", "latest_document", "canonical_order", "bounded_slot_stream", "slot_manifest", "pointer_shard",
 }
 
 

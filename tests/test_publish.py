@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from almagest.operators import ledger, retention, slots
-from almagest.operators.latest import LatestTable
+from almagest.operators.latest import LatestDocument, LatestTable
+from almagest.operators.ordered import OrderedTable
 from almagest.operators.publish import GatedTable
+from almagest.session import shared_dir, work_root
 from test_slots import S0, frame, values
 
 PAGES = "cycle bigint, level string, page bigint, features bigint, current bigint, failed boolean"
@@ -141,3 +144,67 @@ def test_vacuum_of_staging_and_dates(spark, tmp_path):
 def test_nothing_pinned_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError):
         retention.Pins(slots.SlotTable(spark, str(tmp_path / "t"))).pin("x", ["earthquake"], 0, 1, 0)
+
+
+def test_ledger_goes_on_from_the_batches_before(spark, tmp_path):
+    log = ledger.StatusLedger(spark, str(tmp_path / "ledger"))
+    schema = "layer string, slot bigint, scheduled_ms bigint, note string"
+
+    def run(batch, *rows):
+        stored = log.append(spark.createDataFrame(list(rows), schema), batch, [F.col("note").asc()])
+        return sorted((r.layer, r.slot, r.note, r.attempt) for r in stored.collect())
+
+    assert run(0, ("a", S0, 1, "x"), ("a", S0, 1, "y"), ("b", S0, None, "z")) == [("a", S0, "x", 0), ("a", S0, "y", 1), ("b", S0, "z", 0)]
+    second = [("a", S0, 1, "again"), ("a", S0, 2, "other time"), ("b", S0, None, "again"), ("a", S0 + 86_400, 1, "other day")]
+    want = [("a", S0, "again", 2), ("a", S0, "other time", 0), ("a", S0 + 86_400, "other day", 0), ("b", S0, "again", 1)]
+    assert run(1, *second) == want and run(1, *second) == want
+    assert log.rows().count() == 7
+
+
+def test_outcomes(spark):
+    cases = [(True, 0, 0, False), (False, 5, 0, True), (False, 0, 0, False), (False, 5, 1, False), (False, 5, 0, False)]
+    df = spark.createDataFrame(cases, "f boolean, n int, d int, c boolean")
+    got = [r.o for r in df.select(ledger.outcome_of(F.col("f"), F.col("n"), F.col("d"), F.col("c")).alias("o")).collect()]
+    assert got == ["failed", "degraded", "empty", "partial", None]
+
+
+def test_latest_document(spark, tmp_path):
+    names = ("quake", 'a"b', "flight:x", "flight:y")
+    table = LatestDocument(spark, str(tmp_path / "doc"), names)
+
+    def publish(*parts):
+        df = spark.createDataFrame([(p, b, 1_700_000_000 + i) for i, (p, b) in enumerate(parts)], "part string, body string, s bigint")
+        return table.publish(df.select("part", "body", F.timestamp_seconds("s").alias("uploaded_at")))
+
+    assert not publish() and table.read() is None
+    assert not publish(("other", "{}x"))
+    assert publish(("flight:y", '{"n": 1}'), ("quake", '{"n": 2}'), ("other", "broken"))
+    one = json.loads(table.read().first().document)
+    assert one == {"updatedAt": "2023-11-14T22:13:21.000Z", "partial": ['a"b', "flight:x"], "layers": {"quake": {"n": 2}, "flight": {"regions": {"y": {"n": 1}}}}}
+    assert not publish(*((n, '{"n": 3}' if n != "flight:x" else '{"n": 3') for n in names))  # one broken part
+    assert not publish() and json.loads(table.read().first().document) == one
+    assert publish(*((n, '{"n": 4}') for n in names))
+    assert json.loads(table.read().first().document)["layers"] == {"quake": {"n": 4}, 'a"b': {"n": 4}, "flight": {"regions": {"x": {"n": 4}, "y": {"n": 4}}}}
+    assert table.rows().count() == 2
+
+
+def test_canonical_order(spark, tmp_path):
+    table = OrderedTable(spark, str(tmp_path / "t"), "id")
+    ids = [f"k{i % 700}" for i in range(3000)] + ["hot"] * 900 + [None] * 5
+    table.write(spark.createDataFrame([(k, i) for i, k in enumerate(ids)], "id string, n long").repartition(7), 300)
+    assert table.is_sorted().first().sorted and table.bounds().count() > 8
+    assert table.bounds().agg(F.sum("rows"), F.sum("nulls")).first() == (3905, 5)
+    assert len(table.files("k55", "k55")) <= 2 and table.read("k55", "k55").count() == ids.count("k55")
+    assert table.read("hot", "hot").count() == 900 and len(table.files("hot", "hot")) >= 3  # a hot key is not one file
+    assert table.read("k1", "k2").count() == sum("k1" <= k <= "k2" for k in ids if k)
+    assert table.read("x", "z").count() == 0 and table.files("x", "z") == []
+
+
+def test_vacuum_of_intermediate_tables(spark):
+    own, other = shared_dir(spark, "some-purpose"), f"{work_root(spark)}/not-one-of-ours"
+    for path in (own, other):
+        spark.range(3).write.parquet(path)
+    now = int(os.path.getmtime(own) * 1000)
+    assert retention.vacuum_work(spark, now) == 0 and os.path.exists(own)
+    assert retention.vacuum_work(spark, now + DAY + 5_000, DAY) >= 1
+    assert not os.path.exists(own) and os.path.exists(other)

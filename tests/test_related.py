@@ -7,7 +7,8 @@ import random
 
 import pytest
 
-from almagest.operators.related import EARTH_KM, related_events
+from almagest.operators.related import related_events
+from almagest.schema import EARTH_KM
 
 SCHEMA = "id long, ms long, lon double, lat double"
 

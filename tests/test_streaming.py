@@ -15,7 +15,7 @@ from test_ledger import bucket
 from almagest.operators import ledger
 from almagest.sources import feeds, landed
 from almagest.streaming import arrived, freshness, jobs, state
-from almagest.streaming.ingest import ArrivalLog, Ingest, first_in_bucket
+from almagest.streaming.ingest import ArrivalLog, Ingest, first_in_bucket, numbered_documents
 
 DAY0 = 1_767_312_000  # 2026-01-02
 
@@ -312,3 +312,39 @@ def test_arrivals_and_their_boards(spark, tmp_path):
     assert alive and {r.arrived_ms for r in alive} == {now}
     assert board.read(last, now + 600_000).where("layer = 'earthquake'").count() == 0
     assert board.read(last, now + 600_000).where("layer = 'weather'").count() == 7
+
+
+def test_slot_state_ends_and_late_rows_are_counted(spark, tmp_path):
+    rng = random.Random(7)
+    start, slots_n = 1_700_000_100, 40
+    rows = []
+    for batch in range(slots_n):
+        for _ in range(30):
+            landed = start + batch * 900 + rng.randrange(900)
+            rows.append((landed - rng.choice([0, 5, 300, 900, 2_000, 9_000]), landed))
+        part = spark.createDataFrame(rows[-30:], "t bigint, l bigint").select(F.timestamp_seconds("t").alias("ts"), F.timestamp_seconds("l").alias("landed_at"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.stream_table(spark, str(tmp_path / "in"), "*.parquet", 4)
+    work = str(tmp_path / "work")
+    on_time, late = jobs.bounded_slot_counts(stream, work)
+    want = {"slots": {}, "late": {}}
+    for t, landed in rows:
+        now, slot = landed // 900 * 900, t // 900 * 900
+        kind, key = ("slots", slot) if slot >= now - 900 else ("late", now)
+        want[kind][key] = want[kind].get(key, 0) + 1
+    for kind, counts in want.items():
+        assert {r.slot: r.records for r in jobs.current_rows(spark, f"{work}/{kind}", ["slot"]).collect()} == counts
+    for query in (on_time, late):
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert len(held) >= 10 and max(held) <= 12 < slots_n
+
+
+def test_numbers_of_documents_of_one_second(spark):
+    """However many documents and elements share a second, their numbers stay apart and in order."""
+    docs = [(f"p{i:04d}", DAY0 + (i >= 5000), json.dumps({"features": [{}] * (i % 4)}) if i % 9 else "broken") for i in range(6000)]
+    df = spark.createDataFrame(docs, "path string, s long, body string").select("path", "body", F.timestamp_seconds("s").alias("landed_at"))
+    numbered = numbered_documents(df, "features")
+    rows = feeds.elements(numbered, "features", ["path"]).select("path", "pos", "arrival_seq").orderBy("arrival_seq").collect()
+    assert len({r.arrival_seq for r in rows}) == len(rows) == sum(i % 4 for i in range(6000) if i % 9)
+    assert [(r.path, r.pos) for r in rows] == sorted((r.path, r.pos) for r in rows)
+    assert numbered.select("doc_no").distinct().count() == 6000

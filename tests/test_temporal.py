@@ -129,3 +129,15 @@ def test_world_state_takes_new_layers(spark):
 def test_news_instant(spark):
     row = spark.range(1).select(temporal.news_instant(F.lit(5), F.lit(9)).alias("t")).first()
     assert row.t == 9
+
+
+def test_news_files_ahead_of_the_clock(spark):
+    rows = [(1, T + 300_000, T - 1), (2, T + 600_000, T + 1), (3, T - 100, T - 400_000), (4, T + 300_000 - 1_000, T - 5_000), (5, T + 300_000 - 1_001, T - 5_000)]
+    df = spark.createDataFrame(rows, "id long, at long, seen long").select(
+        "id", F.timestamp_millis("at").alias("occurred_at"), F.timestamp_millis("seen").alias("ingested_at")
+    )
+    # record 2 is not there yet; 1 moves T ahead, so that the window ends with it
+    assert {r.id for r in temporal.slice_files(df, T, 1_000).collect()} == {1, 4}
+    assert {r.id for r in temporal.slice_files(df, T + 10_000_000, 10_000_000).collect()} == {1, 2, 4, 5}
+    assert temporal.slice_files(df.limit(0), T, 1_000).count() == 0
+    assert {r.id for r in temporal.world_state({"news": df}, T).collect()} == {1, 3, 4, 5}
