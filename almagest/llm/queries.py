@@ -97,7 +97,7 @@ def op4_reply_trees(spark, sf):
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], conversations.schema)
     messages = settled(reply_trees.by_turn(conversations.unionByName(extra)), "tree-messages")
-    written = settled(reply_trees.formatted(messages, reply_trees.paths(messages, per_tree=1)), "tree-texts")
+    written = settled(reply_trees.formatted(messages, reply_trees.steps(messages, per_tree=1)), "tree-texts")
     return reply_trees.read_back(written)
 
 

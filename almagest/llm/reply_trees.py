@@ -1,9 +1,9 @@
 """Chat formatting from reply trees.
 
-Messages form trees by parent. Starting from the roots, self-joins extend every path by
-one reply per round, with ids only; a path ends where a message has no reply. Paths of a
-tree are ranked by their score (the sum over their messages), and the best `per_tree` are
-formatted, each as one conversation.
+Messages form trees by parent. Rounds of self-joins, over ids, parents and scores alone,
+climb from every message to its root; a path ends where a message has no reply. Paths of a
+tree are ranked by their score (the sum over their messages), and the best `per_tree` get
+their members by the same joins downwards and are formatted, each as one conversation.
 
 Template. A turn is `[INST] text [/INST]` for a user, `text</s>` after `<s>` for an
 assistant, `<<SYS>>text<</SYS>>` for a system, and `<<ROLE>>name<</ROLE>>text<</SYS>>` for
@@ -101,46 +101,85 @@ def _once(messages: DataFrame, *fields: str) -> DataFrame:
     return messages.groupBy("conv_id", "msg").agg(F.min(F.struct(*[values[f].alias(f) for f in fields])).alias("one"))
 
 
-def paths(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
-    """(conv_id, leaf, rank, path): root-to-leaf paths, ranked within their conversation.
+def _climbed(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Leaves (conv_id, msg, score, depth) with the sums of their paths, and the jumps.
+
+    Table k of the jumps holds (conv_id, msg, up) for the messages with an ancestor 2**k
+    replies above. A message starts as a stretch of itself that hangs on its parent; every
+    round joins the stretches that have not reached their root with those they hang on, so
+    their length doubles. Rows are of fixed size, and there are as many as messages.
 
-    Rounds of self-joins; only ids, parents and scores take part. Every round doubles the
-    reach: a path to a message is joined with the path to the message it hangs on.
+    Of the stretches that can still reach a root, one is a single reply longer than the
+    round's length, as all its ancestors are messages too: a round that brings none to its
+    root leaves only messages in cycles or below them, and they are dropped.
     """
     ids = settled(_once(messages, "minus", "parent").select("conv_id", "msg", "one.parent", (-F.col("one.minus")).alias("score")), "tree-ids")
     known = ids.select(F.col("conv_id").alias("k_conv"), F.col("msg").alias("k_msg"))
     there = F.col("conv_id").eqNullSafe(F.col("k_conv")) & (F.col("parent") == F.col("k_msg"))
     up = F.when(F.col("k_msg").isNotNull() & (F.col("parent") != F.col("msg")), F.col("parent"))
-    hung = ids.join(known, there, "left").select("conv_id", "msg", "score", up.alias("up"), F.array("msg").alias("path"))
-    leaf_test = settled(hung, "tree-steps")
-    parents = leaf_test.where("up IS NOT NULL").select(F.col("conv_id").alias("p_conv"), F.col("up").alias("p_msg")).distinct()
-    # a path that has reached its root waits in `whole`; only the others are joined again
-    whole, state = leaf_test.where("up IS NULL"), leaf_test.where("up IS NOT NULL")
+    first = ids.join(known, there, "left").select("conv_id", "msg", "score", up.alias("up"), F.lit(1).cast("long").alias("depth"))
+    first = settled(first, "tree-steps")
+    # a stretch that has reached its root waits in `whole`; only the others are joined again
+    whole, state = first.where("up IS NULL"), first.where("up IS NOT NULL")
+    parents = state.select(F.col("conv_id").alias("p_conv"), F.col("up").alias("p_msg")).distinct()
+    jumps = []
     while not state.isEmpty():
+        jumps.append(state.select("conv_id", "msg", "up"))
         top = whole.unionByName(state).select(
-            F.col("conv_id").alias("t_conv"), F.col("msg").alias("t_msg"), F.col("up").alias("t_up"), F.col("path").alias("t_path"), F.col("score").alias("t_score")
+            F.col("conv_id").alias("t_conv"), F.col("msg").alias("t_msg"), F.col("up").alias("t_up"), F.col("score").alias("t_score"), F.col("depth").alias("t_depth")
         )
-        joined = state.join(top, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("up") == F.col("t_msg")))
         longer = settled(
-            joined.where(~F.arrays_overlap("path", "t_path")).select(
-                "conv_id", "msg", (F.col("score") + F.col("t_score")).alias("score"), F.col("t_up").alias("up"), F.concat("t_path", "path").alias("path")
+            state.join(top, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("up") == F.col("t_msg"))).select(
+                "conv_id", "msg", (F.col("score") + F.col("t_score")).alias("score"), F.col("t_up").alias("up"), (F.col("depth") + F.col("t_depth")).alias("depth")
             ),
-            "tree-paths",
+            "tree-stretches",
         )
-        whole, state = whole.unionByName(longer.where("up IS NULL")), longer.where("up IS NOT NULL")
+        arrived = longer.where("up IS NULL")
+        if arrived.isEmpty():
+            break
+        whole, state = whole.unionByName(arrived), longer.where("up IS NOT NULL")
     leaves = whole.join(parents, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("msg") == F.col("p_msg")), "left_anti")
+    return leaves.select("conv_id", "msg", "score", "depth"), jumps
+
+
+def steps(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
+    """(conv_id, leaf, rank, score, pos, msg): the messages of ranked root-to-leaf paths.
+
+    Rounds of self-joins over ids, parents and scores alone. They first climb from every
+    message to its root, then descend from the chosen leaves only: with the longest jumps
+    first, every listed message adds the one that its jump leads to, so that each ancestor
+    is listed once and the rows joined are at most twice the rows listed.
+    """
+    leaves, jumps = _climbed(messages)
     order = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "msg")
     ranked = leaves.withColumn("rank", F.row_number().over(order))
     if per_tree is not None:
         ranked = ranked.where(F.col("rank") <= per_tree)
-    return ranked.select("conv_id", F.col("msg").alias("leaf"), "rank", "score", "path")
+    listed = settled(ranked.select("conv_id", F.col("msg").alias("leaf"), "rank", "score", (F.col("depth") - 1).alias("pos"), "msg"), "tree-leaves")
+    for k, jump in reversed(list(enumerate(jumps))):
+        to = jump.select(F.col("conv_id").alias("j_conv"), F.col("msg").alias("j_msg"), "up")
+        met = listed.join(to, F.col("conv_id").eqNullSafe(F.col("j_conv")) & (F.col("msg") == F.col("j_msg")))
+        added = met.select("conv_id", "leaf", "rank", "score", (F.col("pos") - (1 << k)).alias("pos"), F.col("up").alias("msg"))
+        listed = listed.unionByName(settled(added, "tree-members"))
+    return listed
+
+
+def paths(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
+    """(conv_id, leaf, rank, score, path): root-to-leaf paths, ranked within their conversation."""
+    members = F.array_sort(F.collect_list(F.struct("pos", "msg")))["msg"]
+    return steps(messages, per_tree).groupBy("conv_id", "leaf", "rank", "score").agg(members.alias("path"))
 
 
 def formatted(messages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(conv_id, leaf, rank, text, loss): one formatted text per path, with its loss mask."""
-    steps = chosen.select(F.col("conv_id").alias("s_conv"), "leaf", "rank", F.posexplode("path").alias("pos", "s_msg"))
+    """(conv_id, leaf, rank, text, loss): one formatted text per path, with its loss mask.
+
+    `chosen` are rows of `steps`, or of `paths`.
+    """
+    if "path" in chosen.columns:
+        chosen = chosen.select("conv_id", "leaf", "rank", F.posexplode("path").alias("pos", "msg"))
+    members = chosen.select(F.col("conv_id").alias("s_conv"), "leaf", "rank", "pos", F.col("msg").alias("s_msg"))
     once = _once(messages, "minus", "parent", "role", "text").select("conv_id", "msg", "one.role", "one.text")
-    turns = steps.join(once, F.col("s_conv").eqNullSafe(F.col("conv_id")) & (F.col("s_msg") == F.col("msg")))
+    turns = members.join(once, F.col("s_conv").eqNullSafe(F.col("conv_id")) & (F.col("s_msg") == F.col("msg")))
     role = F.coalesce("role", F.lit(""))
     body = escape(F.coalesce("text", F.lit("")))
     before = (

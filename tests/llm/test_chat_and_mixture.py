@@ -74,6 +74,46 @@ def test_deep_chains_need_few_rounds(spark):
     assert path.path == list(range(150))
 
 
+def test_a_conversation_of_twenty_thousand_turns(spark):
+    n = 20_000
+    chain = spark.range(n).selectExpr(
+        "1L conv_id", "id msg", "if(id > 0, id - 1, null) parent", "if(id % 2 = 0, 'user', 'assistant') role", "cast(id as string) text", "1.0D score"
+    )
+    found = reply_trees.steps(chain, 1)
+    assert found.where("pos <> msg OR leaf <> 19999 OR score <> 20000.0D").isEmpty()
+    assert (found.count(), found.distinct().count()) == (n, n)
+
+
+def brute_paths(rows):
+    """Root-to-leaf paths of a conversation {msg: (parent, score)}, best first."""
+    above = {m: p if p in rows and p != m else None for m, (p, _) in rows.items()}
+    out = []
+    for leaf in set(rows) - set(above.values()):
+        path = [leaf]
+        while above[path[-1]] is not None and len(path) <= len(rows):
+            path.append(above[path[-1]])
+        if len(path) <= len(rows):
+            out.append((-sum(rows[m][1] for m in path), leaf, path[::-1]))
+    return [path for _, _, path in sorted(out)]
+
+
+def test_random_trees_and_cycles_against_brute_force(spark):
+    rng = random.Random(12)
+    convs = {}
+    for conv in [None, *range(40)]:
+        n = rng.choice([1, 3, 8, 40])
+        near = rng.choice([1, 2, n])  # the nearer the parents, the deeper the trees
+        rows = {m: (rng.choice([max(0, m - rng.randint(1, near)), None, 99]) if rng.random() < 0.2 else max(0, m - rng.randint(1, near)), float(rng.randint(0, 3))) for m in range(n)}
+        if rng.random() < 0.5:
+            rows[rng.randrange(n)] = (rng.randrange(n), 1.0)  # maybe a cycle
+        convs[conv] = rows
+    messages = spark.createDataFrame([(c, m, p, "user", "", s) for c, rows in convs.items() for m, (p, s) in rows.items()], MESSAGES)
+    got = {}
+    for r in reply_trees.paths(messages).collect():
+        got.setdefault(r.conv_id, {})[r["rank"]] = r.path
+    assert {c: [p[i] for i in sorted(p)] for c, p in got.items()} == {c: b for c, rows in convs.items() if (b := brute_paths(rows))}
+
+
 def test_no_conversations(spark):
     assert digests(spark, []) == {}
 
