@@ -54,6 +54,8 @@ INDEX_MAGIC = 0x184D2A50
 FRAME_TOKENS = 1 << 17
 END_ID = 2
 CACHED_WORDS = 300_000
+#: Bytes of text that are split and encoded at a time; a longer text is taken whole.
+ENCODED_BYTES = 256 * 1024
 _NEAR_SPACE = re.compile(r"\s | \s")
 
 
@@ -252,7 +254,7 @@ def write_tokens(df: DataFrame, path: str, end_id: int | None = END_ID, folder:
         seen: list[int | None] = []
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
-            for batch in sliced(batches, 1):
+            for batch in sliced(batches, 1, ENCODED_BYTES):
                 ids = batch.column(0).to_pylist()
                 seen.extend(ids[:1] if not seen else ())
                 for doc, data in zip(ids, coder.encode(batch.column(1).to_pylist()), strict=True):
