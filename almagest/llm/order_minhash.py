@@ -23,9 +23,14 @@ alone hardly makes a bucket. How many depends on a text's number of runs, in tie
 overlap so far that two similar texts always have one in common. In the fine buckets every
 node is compared with the best node, the best one of another component, and the last, and
 once more with what is then the best of another component. Rows grow with the members
-of the buckets, never with their pairs. Two similar texts meet in no bucket of their own
-with a chance of (1 - FINE_CHANCE) ** FINE_SKETCHES, below 1 in 7,000. The answer is one
-class per document; copies never appear in pairs.
+of the buckets there, never with their pairs.
+
+What the pivots leave apart is searched exactly: all pairs of nodes of open buckets that are
+still in different components and can reach the threshold. Two such texts share one of their
+rarest labelled runs, the first fifth and one more in an order common to all (prefix filter),
+and for the first shared one the runs after it must suffice in both (positional filter).
+So every two similar texts that share a value of the first sketches are in one class. The
+answer is one class per document; copies never appear in pairs.
 
 Defined cases. A null text is an empty one; all texts without words are one class. Texts
 of fewer than five words are one run and equal only to copies. The class is the smallest
@@ -41,7 +46,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -68,6 +73,8 @@ FINE_SKETCHES = 40
 FINE_CHANCE = 0.2
 TIER = 1.6
 FINE_ROUNDS = 2
+#: Rows of one run that one task compares with; a run with more is dealt over several.
+BLOCK_ROWS = 2_000
 _STEP = 2 << 20
 
 
@@ -269,6 +276,62 @@ def _open_nodes(placed: DataFrame) -> DataFrame:
     return settled(placed.join(several.select("band", "value"), ["band", "value"], "left_semi").select("node").distinct(), "omh-open")
 
 
+def _node_runs(texts: DataFrame, size: int) -> DataFrame:
+    """(node, n_runs, run) of texts (node, text): their labelled runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1, _STEP):
+            runs, at, _, _ = runs_of(batch.column(1), size)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(runs.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), lists], names=["node", "n_runs", "runs"])
+
+    lists = texts.select("node", "text").mapInArrow(run, "node binary, n_runs long, runs array<long>")
+    return lists.select("node", "n_runs", F.explode("runs").alias("run"))
+
+
+def _reach(similarity: float) -> Column:
+    """Whether two texts with a run at their places l_place and r_place can reach the similarity, if it is the first they share.
+
+    With the runs after it, as many as l_runs + r_runs - n times the similarity must be
+    common. Texts too different in length fail too.
+    """
+    most = F.least(F.col("l_runs") - F.col("l_place"), F.col("r_runs") - F.col("r_place")) + 1
+    return most * (1 + similarity) >= (F.col("l_runs") + F.col("r_runs")) * similarity - 1e-6
+
+
+def _rare_pairs(texts: DataFrame, labels: DataFrame, similarity: float, size: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): all pairs of nodes with different labels whose labelled runs can reach the similarity.
+
+    Of n runs that reach it with another text's, all but (1 - similarity) * n are common, so
+    two texts share a run among their first (1 - similarity) * n + 1 in any common order.
+    The order is by the number of texts that have the run.
+    """
+    runs = settled(_node_runs(texts, size), "omh-runs")
+    often = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # counted from the end, as the runs of one text only come first and meet nothing
+    back = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), F.desc("run")))
+    first = F.floor(F.col("n_runs") * (1 - similarity) + 1e-6) + 1
+    shared = runs.join(often, "run").withColumn("place", F.col("n_runs") - back + 1).where(F.col("place") <= first)
+    kept = settled(shared.join(labels, "node"), "omh-rare")
+    # one row per run, component and length is paired first, so that members of one component never meet
+    groups = kept.groupBy("run", "label", "n_runs").agg(F.min("place").alias("place"), F.any_value("n").alias("n"))
+    blocks = F.ceil(F.col("n") / block_rows)
+    left = groups.select(
+        "run", F.col("label").alias("l_label"), F.col("n_runs").alias("l_runs"), F.col("place").alias("l_place"),
+        F.pmod(F.xxhash64("label", "n_runs"), blocks).alias("block"),
+    )
+    right = groups.select(
+        "run", F.col("label").alias("r_label"), F.col("n_runs").alias("r_runs"), F.col("place").alias("r_place"),
+        F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"),
+    )
+    met = left.join(right, (left["run"] == right["run"]) & (left["block"] == right["block"]) & (F.col("l_label") < F.col("r_label")) & _reach(similarity))
+    met = settled(met.select(left["run"], "l_label", "l_runs", "r_label", "r_runs"), "omh-groups")
+    a = kept.select("run", F.col("label").alias("l_label"), F.col("n_runs").alias("l_runs"), F.col("node").alias("l_node"), F.col("place").alias("l_place"))
+    b = kept.select("run", F.col("label").alias("r_label"), F.col("n_runs").alias("r_runs"), F.col("node").alias("r_node"), F.col("place").alias("r_place"))
+    both = met.join(a, ["run", "l_label", "l_runs"]).join(b, ["run", "r_label", "r_runs"]).where(_reach(similarity))
+    return both.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
+
+
 def links(nodes: DataFrame, keyed: DataFrame, similarity: float = SIMILARITY, size: int = WORDS) -> DataFrame:
     """Verified (a, b) pairs of nodes with different words, whose components are the classes."""
     members = _buckets(nodes.where("n_runs > 0").select("node", F.posexplode("values").alias("band", "value")))
@@ -292,6 +355,12 @@ def links(nodes: DataFrame, keyed: DataFrame, similarity: float = SIMILARITY, si
             if fresh.isEmpty():
                 break
             done = done.unionByName(settled(verified(fresh, texts, similarity, size), "omh-pairs"))
+        # what the pivots left apart
+        labels = components(done.where("similar")).withColumnRenamed("node", "l_node")
+        known = open_.join(labels, F.col("node") == F.col("l_node"), "left").select("node", F.coalesce("label", "node").alias("label"))
+        pairs = _rare_pairs(texts.join(open_, "node", "left_semi"), settled(known, "omh-known"), similarity, size)
+        fresh = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        done = done.unionByName(settled(verified(fresh, texts, similarity, size), "omh-pairs"))
     return done.where("similar").select("a", "b")
 
 
