@@ -66,3 +66,26 @@ def test_a_hot_cell_is_many_tasks_work(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == len(brute(hot + cold, 300.0, 3_600_000)) and len(sizes) >= 5 and max(sizes) < 0.5 * sum(sizes)
+
+
+def shuffled_rows(plan) -> int:
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_few_copies_of_a_row_are_shuffled(spark):
+    """Six copies in the mean and one at home, each shuffled once; near the poles there are more."""
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(100 * 3_600_000), rng.uniform(-180, 180), rng.uniform(-60, 60)) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "20000"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = related_events(df, "id", "ms")
+        assert {(r.a, r.b) for r in pairs.collect()} == brute(rows, 300.0, 3_600_000)
+        assert shuffled_rows(pairs._jdf.queryExecution().executedPlan()) < 9 * len(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
