@@ -14,6 +14,8 @@ from almagest.operators.ledger import cycle_gate, missing_chunks, page_progress
 from almagest.session import read_table
 
 PAGE_KEY = ["cycle", "level", "page"]
+CYCLE_HOUR = "cycle_hour"
+HOUR_SEC = 3600
 
 
 @dataclass(frozen=True)
@@ -22,10 +24,13 @@ class GatedTable:
 
     Append-only tables below one root:
 
-      staging/records/cycle=  records of the pages, staged as they come
-      staging/pages/cycle=    one row per page: features, current, failed
-      decisions/decision=     one row per cycle that a publish decided on
-      done/                   the decisions that were carried out
+      staging/records/cycle_hour=  records of the pages, staged as they come
+      staging/pages/cycle_hour=    one row per page: features, current, failed
+      decisions/decision=          one row per cycle that a publish decided on
+      done/                        the decisions that were carried out
+
+    A staging folder holds the cycles that began in one hour (cycles are seconds since 1970), so
+    that neither files nor their listing grow with the number of cycles.
 
     and the latest snapshot (`LatestTable`) that readers see. A cycle passes when every level
     is complete or capped and each page it promises is staged. Of the passing cycles
@@ -48,7 +53,10 @@ class GatedTable:
 
     def _staged(self, name: str) -> DataFrame | None:
         found = read_table(self.spark, f"{self.root}/staging/{name}", [])
-        return None if found is None else found.withColumn("cycle", F.col("cycle").cast("bigint"))
+        if found is None:
+            return None
+        others = [c for c in found.columns if c not in ("cycle", CYCLE_HOUR)]
+        return found.select(*others, F.col("cycle").cast("bigint").alias("cycle"))
 
     def stage(self, records: DataFrame, pages: DataFrame) -> None:
         """Add pages (cycle, level, page, features, current, failed) and their records.
@@ -56,10 +64,13 @@ class GatedTable:
         `records` has cycle, level, page, part, id and the payload. A page that is staged again
         counts once, with its last statistics; of its records each id counts once.
         """
-        # Rebalance: a cycle's rows meet in few files, and a large cycle is still split.
-        records.hint("rebalance", "cycle").write.partitionBy("cycle").mode("append").parquet(f"{self.root}/staging/records")
-        stamped = pages.withColumn("staged_at", F.current_timestamp())
-        stamped.hint("rebalance", "cycle").write.partitionBy("cycle").mode("append").parquet(f"{self.root}/staging/pages")
+        self._stage("records", records)
+        self._stage("pages", pages.withColumn("staged_at", F.current_timestamp()))
+
+    def _stage(self, name: str, rows: DataFrame) -> None:
+        # Rebalance: an hour's rows meet in few files, and a large hour is still split.
+        dated = rows.withColumn(CYCLE_HOUR, F.floor(F.col("cycle").cast("bigint") / HOUR_SEC))
+        dated.hint("rebalance", CYCLE_HOUR).write.partitionBy(CYCLE_HOUR).mode("append").parquet(f"{self.root}/staging/{name}")
 
     def outcomes(self) -> DataFrame | None:
         """Every decision that was carried out."""
@@ -98,7 +109,8 @@ class GatedTable:
         records = self._staged("records")
         if records is None:
             return told.where("features = 0")
-        held = records.groupBy(*PAGE_KEY).agg(F.count_distinct("id").alias("held"))
+        # the records of published cycles are not counted again
+        held = records.join(told.select("cycle").distinct(), "cycle", "left_semi").groupBy(*PAGE_KEY).agg(F.count_distinct("id").alias("held"))
         return told.join(held, PAGE_KEY, "left").where(F.coalesce("held", F.lit(0)) >= F.col("features"))
 
     def publish(self, as_of: Column | None = None, halt: DataFrame | None = None) -> DataFrame:

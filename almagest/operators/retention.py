@@ -168,9 +168,12 @@ def vacuum_latest(table: LatestTable, now_ms: int, grace_ms: int = GRACE_MS) ->
 
 
 def vacuum_staging(spark: SparkSession, root: str, now_ms: int, hours: int = STAGING_HOURS) -> int:
-    """Delete staged cycles (seconds since 1970) that started too long ago to be finished; the number of folders."""
+    """Delete staged cycles (seconds since 1970) that started too long ago to be finished; the number of folders.
+
+    A folder holds the cycles of one hour and goes when all of that hour is too long ago.
+    """
     folders = [f for name in ("records", "pages") for f in _folders(spark, f"{root}/staging/{name}", 1)]
-    old = [f for f in folders if (c := _value(f, "cycle")) is not None and c.lstrip("-").isdigit() and int(c) * 1000 < now_ms - hours * HOUR_MS]
+    old = [f for f in folders if (h := _value(f, "cycle_hour")) is not None and h.lstrip("-").isdigit() and (int(h) + 1) * HOUR_MS <= now_ms - hours * HOUR_MS]
     return _delete(spark, old)
 
 

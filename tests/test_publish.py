@@ -61,6 +61,24 @@ def test_gate(spark, tmp_path):
     assert table.publish().count() == 0
 
 
+def test_many_cycles_make_few_folders(spark, tmp_path):
+    """Staged files grow with the rows: forty cycles of two hours lie in two folders."""
+    table = GatedTable(spark, str(tmp_path))
+    both = [cycle(spark, 7200 + 180 * i, f"p{i}") for i in range(40)]
+    records, pages = (both[0][k] for k in (0, 1))
+    for r, p in both[1:]:
+        records, pages = records.unionByName(r), pages.unionByName(p)
+    table.stage(records, pages)
+    for name in ("records", "pages"):
+        assert len([f for f in os.listdir(tmp_path / "staging" / name) if "=" in f]) == 2
+    assert {r.outcome for r in table.publish().collect()} == {"published"}
+    assert shown(table) == {(f"p{i}", 7200 + 180 * i): 9 for i in range(40)}
+    assert table.latest.read().columns == ["part", "publish_id", "level", "page", "id", "value", "cycle"]
+    # an hour is kept until its last cycle is too old
+    assert retention.vacuum_staging(spark, str(tmp_path), 10_800_000 + 3 * 3_600_000 - 1) == 0
+    assert retention.vacuum_staging(spark, str(tmp_path), 10_800_000 + 3 * 3_600_000) == 2
+
+
 def test_halt_row_withholds_everything(spark, tmp_path):
     table = GatedTable(spark, str(tmp_path))
     table.stage(*cycle(spark, 3600, "a"))
