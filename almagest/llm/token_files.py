@@ -26,15 +26,18 @@ no file and an empty result. Other columns are not read.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from almagest.llm.common import settled, sliced, text_or_empty
+from almagest.llm.common import bytes_of, settled, sliced, text_or_empty
 from almagest.session import shared_dir
 
 # fixed values of the seekable zstandard format
@@ -53,83 +56,182 @@ INDEX_MAGIC = 0x184D2A50
 
 FRAME_TOKENS = 1 << 17
 END_ID = 2
-CACHED_WORDS = 300_000
-#: Bytes of text that are split and encoded at a time; a longer text is taken whole.
-ENCODED_BYTES = 256 * 1024
-_NEAR_SPACE = re.compile(r"\s | \s")
+#: Pieces remembered by a Python worker, and the longest of them in bytes.
+CACHED_PIECES = 500_000
+CACHED_BYTES = 40
+#: Bytes of text that are cut and encoded at a time; a longer text is taken whole.
+ENCODED_BYTES = 4 * 1024**2
+#: Characters that the library gets at a time; it takes much memory for each token.
+PASSED_CHARS = 256 * 1024
+
+# classes of bytes; what is in none of them may be anything
+_ANY, _LETTER, _DIGIT, _SIGN, _QUOTE, _SPACE, _BREAK = range(7)
+
+
+def _classes() -> np.ndarray:
+    out = np.full(256, _ANY, dtype=np.uint8)
+    for chars, kind in (
+        (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", _LETTER),
+        (b"0123456789", _DIGIT),
+        (b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', _SIGN),
+        (b"'", _QUOTE),
+        (b" ", _SPACE),
+        (b"\t\n\r", _BREAK),
+    ):
+        out[list(chars)] = kind
+    return out
+
+
+_CLASS = _classes()
+#: First bytes of two-byte letters: Latin, Cyrillic; of those with 0xC3 two are signs.
+_LETTER_LEADS = np.isin(np.arange(256), [0xC3, 0xC4, 0xC5, 0xD0, 0xD1])
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts that lie end to end are cut into pieces, as ascending offsets with both ends.
+
+    The byte-level pre-tokenizer takes a run of letters, of digits or of other signs, each
+    with one space before it, or a run of white space without the space that belongs to
+    what follows; an apostrophe may begin a contraction. Cut is only where one of its
+    matches begins whatever else the text holds. Characters not known here are never cut
+    off, and neither is an apostrophe: their pieces hold several matches.
+    """
+    kind = _CLASS[data]
+    after = data[1:]
+    pair = _LETTER_LEADS[data[:-1]] & ~((data[:-1] == 0xC3) & ((after == 0x97) | (after == 0xB7)))
+    kind[:-1][pair] = _LETTER
+    kind[1:][pair] = _LETTER
+    seen = (kind >= _LETTER) & (kind <= _QUOTE)  # surely no white space
+    run = seen & (kind != _QUOTE)
+    space = kind >= _SPACE
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[1:-1] = run[:-1] & run[1:] & (kind[:-1] != kind[1:])
+    cut[1:-1] |= seen[:-1] & space[1:]
+    cut[:-2] |= space[:-1] & seen[1:]
+    cut[1:-1] |= (kind[:-1] == _BREAK) & seen[1:]
+    # across the end of a text nothing follows
+    last = offsets[offsets > 1] - 1
+    last = last[space[last]]
+    cut[last] = seen[last - 1]
+    cut[offsets] = True
+    return np.flatnonzero(cut)
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of every run, one run after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
 class Encoder:
-    """Ids of whole texts, with the ids of frequent space-led words remembered.
+    """Ids of whole texts, with the ids of pieces remembered.
 
-    Byte-level pre-tokenizers start a new piece at a single space between two other
-    characters, and merges never cross pieces, so there the ids of a text are those of
-    its words in a row. Texts with any white space beside a space go through the library
-    in one piece. Words not yet known are encoded many at a time, joined by spaces, and
-    cut where an id starts with a space.
+    Merges never cross the pieces of a byte-level pre-tokenizer, so the ids of a text are
+    those of its pieces in a row (see `cuts`). The library encodes each piece of a batch
+    once, unless it is remembered. Texts that hold an added token go through the library in
+    one piece, and so do all texts if the tokenizer is another than plain byte-level BPE.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        highest = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.width = 2 if highest < 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        lead = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        for token, k in vocabulary.items():
-            lead[k] = token.startswith("Ġ")  # the byte-level sign for a space
-        self.lead = lead
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in encoded]
-
-    def _plain(self, text: str) -> bool:
-        return _NEAR_SPACE.search(text) is None and not any(a in text for a in self.added)
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, each led by a space."""
-        out: dict[str, bytes] = {}
-        step = 2_000
-        groups = [words[i : i + step] for i in range(0, len(words), step)]
-        for group, e in zip(
-            groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True
-        ):
-            ids = np.array(e.ids)
-            starts = np.flatnonzero(self.lead[ids])
-            if len(starts) != len(group):
-                out.update(zip(group, self.whole([" " + w for w in group]), strict=True))
-                continue
-            data = ids.astype(self.dtype).tobytes()
-            at = (starts * self.width).tolist() + [len(data)]
-            out.update((w, data[at[k] : at[k + 1]]) for k, w in enumerate(group))
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [self._plain(t) for t in texts]
-        split = [t.split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
-        known = self.known
-        asked = {w for s in split if s for w in s[1:] if w not in known}
-        asked.discard("")
-        fresh = self._words(list(asked))
-        fresh[""] = self.whole([" "])[0]  # a space at the very end
-        firsts = self.whole([s[0] if s else t for t, s in zip(texts, split, strict=True)])
-        for s, first in zip(split, firsts, strict=True):
-            if s is None or len(s) == 1:
-                yield first
-            else:
-                yield first + b"".join([known.get(w) or fresh[w] for w in s[1:]])
-        room = CACHED_WORDS - len(known)
-        if room > 0:
-            known.update(list(fresh.items())[:room])
+        self.by_pieces = plain_byte_level(json.loads(self.tokenizer.to_str()))
+        self.known: dict[bytes, int] = {}
+        # of the known pieces, in order: ids, first id, number of ids
+        self.ids = np.zeros(0, dtype=self.dtype)
+        self.first = np.zeros(0, dtype=np.int64)
+        self.count = np.zeros(0, dtype=np.int64)
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has."""
+        ids, counts = [np.zeros(0, dtype=self.dtype)], [np.zeros(0, dtype=np.int64)]
+        ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + PASSED_CHARS, side="right")))
+            encoded = self.tokenizer.encode_batch_fast(texts[start:end], add_special_tokens=False)
+            counts.append(np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)))
+            ids.append(np.fromiter(chain.from_iterable(e.ids for e in encoded), dtype=self.dtype, count=int(counts[-1].sum())))
+            start = end
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As `whole`, for distinct pieces."""
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        new = np.flatnonzero(at < 0)
+        fresh = [pieces[k] for k in new.tolist()]
+        fresh_ids, fresh_counts = self.whole([p.decode() for p in fresh])
+        first, count = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+        old = at >= 0
+        first[old], count[old] = self.first[at[old]], self.count[at[old]]
+        fresh_first = np.cumsum(fresh_counts) - fresh_counts
+        first[new], count[new] = fresh_first + len(self.ids), fresh_counts
+        ids = np.concatenate((self.ids, fresh_ids))[runs(first, count)]
+        room = CACHED_PIECES - len(self.known)
+        kept = [k for k, p in enumerate(fresh) if len(p) <= CACHED_BYTES][: max(room, 0)]
+        if kept:
+            kept_counts = fresh_counts[kept]
+            self.known.update(zip([fresh[k] for k in kept], range(len(self.known), len(self.known) + len(kept)), strict=True))
+            self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(kept_counts) - kept_counts))
+            self.count = np.concatenate((self.count, kept_counts))
+            self.ids = np.concatenate((self.ids, fresh_ids[runs(fresh_first[kept], kept_counts)]))
+        return ids, count
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = bytes_of(texts) if len(texts) else (b"", None)
+        if not len(data):
+            return np.zeros(0, dtype=self.dtype), np.zeros(len(texts), dtype=np.int64)
+        at = cuts(data, offsets)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        distinct, ends = bytes_of(coded.dictionary)
+        raw = distinct.tobytes()
+        ids, count = self._pieces([raw[a:b] for a, b in pairwise(ends.tolist())])
+        piece = coded.indices.to_numpy()
+        counts = count[piece]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        return ids[runs((np.cumsum(count) - count)[piece], counts)], np.diff(ends[np.searchsorted(at, offsets)])
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text as bytes."""
+        apart = np.full(len(texts), not self.by_pieces)
+        for added in self.added if self.by_pieces else ():
+            apart |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
+        cut = self._by_pieces(texts.filter(pa.array(~apart)))
+        one = self.whole(texts.filter(pa.array(apart)).to_pylist())
+        at = [0, 0]
+        data = [cut[0].tobytes(), one[0].tobytes()]
+        counts = [iter((c * self.width).tolist()) for c in (cut[1], one[1])]
+        for k in apart.tolist():
+            end = at[k] + next(counts[k])
+            yield data[k][at[k] : end]
+            at[k] = end
+
+
+def plain_byte_level(tokenizer: dict) -> bool:
+    """Whether a tokenizer, as its file says, encodes the matches of the byte-level pattern one by one."""
+    split, model = tokenizer["pre_tokenizer"] or {}, tokenizer["model"]
+    return (
+        model["type"] == "BPE"
+        and not model.get("dropout")
+        and split.get("type") == "ByteLevel"
+        and split.get("use_regex", True)
+        and not split.get("add_prefix_space")
+        and not any(tokenizer.get(k) for k in ("normalizer", "truncation", "padding"))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in tokenizer["added_tokens"])
+    )
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per Python worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Encoder(path)
 
 
@@ -257,7 +359,7 @@ def write_tokens(df: DataFrame, path: str, end_id: int | None = END_ID, folder:
             for batch in sliced(batches, 1, ENCODED_BYTES):
                 ids = batch.column(0).to_pylist()
                 seen.extend(ids[:1] if not seen else ())
-                for doc, data in zip(ids, coder.encode(batch.column(1).to_pylist()), strict=True):
+                for doc, data in zip(ids, coder.encode(batch.column(1)), strict=True):
                     yield doc, data + end
 
         rows = documents()

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -39,6 +42,38 @@ def test_tokens_round_trip(spark):
     assert got == sorted(expected, key=repr)
 
 
+def test_pieces_have_the_ids_of_the_library():
+    """Any mix of signs, white space, contractions and letters that the cuts don't know."""
+    rng = random.Random(8)
+    parts = [*"ab zé''s.t,r e\n\t\r  01'llvemd×÷ñ漢—’\u00a0\u0085\x0b\x1c\x00\u0301²½Ⅷ٣жЯſß_^|#😀\u3000\u200d", "'re", " '", "  ", "\n\n", "x" * 50, "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.choice([0, 1, 2, 5, 20, 60]))) for _ in range(6_000)]
+    coder, library = token_files.Encoder(BPE), Tokenizer.from_file(BPE)
+    assert coder.by_pieces
+    got = [data for k in range(0, len(texts), 500) for data in coder.encode(pa.array(texts[k : k + 500]))]
+    assert got == [np.array(e.ids, dtype="<u2").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_are_few_and_encoded_once():
+    texts = [f"word{k % 7},\nother{k % 5}. {k % 3} it's\tit" for k in range(3_000)]
+    coder = token_files.Encoder(BPE)
+    passed = []
+    whole = coder.whole
+    coder.whole = lambda pieces: passed.extend(pieces) or whole(pieces)
+    for _ in range(2):
+        assert len(list(coder.encode(pa.array(texts)))) == 3_000
+    assert len(passed) == len(set(passed)) <= 25  # of 39 words between spaces
+
+
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    other = json.loads(Path(BPE).read_text())
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    coder, texts = token_files.Encoder(str(tmp_path / "other.json")), ["one two", "", "it's\n\n x"]
+    assert not coder.by_pieces
+    expected = [np.array(e.ids, dtype="<u2").tobytes() for e in Tokenizer.from_file(str(tmp_path / "other.json")).encode_batch(texts, add_special_tokens=False)]
+    assert list(coder.encode(pa.array(texts))) == expected
+
+
 def test_tokens_of_an_empty_table(spark):
     manifest = token_files.write_tokens(spark.createDataFrame([], SCHEMA), BPE)
     assert token_files.read_tokens(manifest).count() == 0
