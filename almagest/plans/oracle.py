@@ -154,6 +154,31 @@ ORACLE["track_view"] = f"""
 WITH {PATHS} SELECT entity_id, span, count(*) AS points, min(ms) AS first_ms, max(ms) AS last_ms FROM path GROUP BY 1, 2"""
 ORACLE["unwrap_tracks"] = f"""
 WITH RECURSIVE {WALK} SELECT entity_id, span, pos, round(lon, 6) AS lon, round(lat, 6) AS lat FROM walk"""
+ORACLE["simplify_tracks"] = f"""
+WITH RECURSIVE {PATHS}, vec AS (
+  SELECT entity_id, span, pos, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM path),
+stretch AS (
+  SELECT entity_id, span, min(pos) AS a, max(pos) AS b FROM path GROUP BY 1, 2
+  UNION ALL
+  SELECT entity_id, span, CASE WHEN side = 0 THEN a ELSE far END, CASE WHEN side = 0 THEN far ELSE b END
+  FROM (
+    SELECT entity_id, span, a, b, arg_max(pos, (d, -pos)) AS far, max(d) AS d FROM (
+      SELECT entity_id, span, a, b, pos, CASE
+        WHEN size >= 1e-12 AND ((ny * az - nz * ay) * x + (nz * ax - nx * az) * y + (nx * ay - ny * ax) * z) > 0
+          AND ((by_ * nz - bz * ny) * x + (bz * nx - bx * nz) * y + (bx * ny - by_ * nx) * z) > 0
+        THEN asin(least(1, abs(x * nx + y * ny + z * nz) / size))
+        ELSE 2 * asin(least(1, sqrt(least((x - ax) ** 2 + (y - ay) ** 2 + (z - az) ** 2, (x - bx) ** 2 + (y - by_) ** 2 + (z - bz) ** 2)) / 2)) END AS d
+      FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS size FROM (
+        SELECT s.entity_id, s.span, s.a, s.b, p.pos, p.x, p.y, p.z, f.x AS ax, f.y AS ay, f.z AS az, t.x AS bx, t.y AS by_, t.z AS bz,
+          f.y * t.z - f.z * t.y AS nx, f.z * t.x - f.x * t.z AS ny, f.x * t.y - f.y * t.x AS nz
+        FROM stretch s JOIN vec p ON p.entity_id = s.entity_id AND p.span = s.span AND p.pos > s.a AND p.pos < s.b
+        JOIN vec f ON f.entity_id = s.entity_id AND f.span = s.span AND f.pos = s.a
+        JOIN vec t ON t.entity_id = s.entity_id AND t.span = s.span AND t.pos = s.b)))
+    GROUP BY 1, 2, 3, 4), (VALUES (0), (1)) sides(side)
+  WHERE d * 6371.0088 > 500),
+ends AS (SELECT entity_id, span, a AS pos FROM stretch UNION SELECT entity_id, span, b FROM stretch)
+SELECT entity_id, span, points, kept FROM (SELECT entity_id, span, count(*) AS points FROM path GROUP BY 1, 2)
+JOIN (SELECT entity_id, span, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS kept FROM ends GROUP BY 1, 2) USING (entity_id, span)"""
 ORACLE["densify_tracks"] = f"""
 WITH RECURSIVE {WALK}, leg AS (
   SELECT a.entity_id, a.span, b.pos AS leg, a.lon AS lon_a, radians(a.lon) AS l0, radians(a.lat) AS p0, radians(b.lon) AS l1, radians(b.lat) AS p1
